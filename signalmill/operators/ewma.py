@@ -181,23 +181,23 @@ def _corrected(folded: DataFrame, columns: list[str], keys: list[str], alpha: fl
         T.StructType(
             [T.StructField("_chunk", T.IntegerType())]
             + [T.StructField(f"_head_{k}", folded.schema[k].dataType) for k in keys]
-            + [T.StructField(c, T.DoubleType()) for c in ("_M", "_V", "_N")]
+            + [T.StructField(c, T.DoubleType()) for c in ("_mean0", "_var0", "_n0")]
         ),
     )
     in_head = F.lit(True)
     for k in keys:
         in_head = in_head & F.col(k).eqNullSafe(F.col(f"_head_{k}"))
-    fix = in_head & F.col("_M").isNotNull()
+    fix = in_head & F.col("_mean0").isNotNull()
     joined = folded.where(F.col("_rank") == 1).join(F.broadcast(heads), "_chunk", "left")
 
     def state_at(m: str, v: str, t: str, suffix: str) -> list[Column]:
         qt = F.pow(F.lit(q), F.col(t))
-        delta = F.col("_M") - F.col("_first")
+        delta = F.col("_mean0") - F.col("_first")
         true_mean = F.col(m) + qt * delta
         true_var = (
-            F.col(v) + qt * F.col("_V") - 2 * qt * (F.col(m) - F.col("_first")) * delta + qt * (1 - qt) * delta * delta
+            F.col(v) + qt * F.col("_var0") - 2 * qt * (F.col(m) - F.col("_first")) * delta + qt * (1 - qt) * delta * delta
         )
-        count = (F.col(t) + F.when(fix, F.col("_N")).otherwise(0.0)).cast("long")
+        count = (F.col(t) + F.when(fix, F.col("_n0")).otherwise(0.0)).cast("long")
         return [
             F.when(fix, true_mean).otherwise(F.col(m)).alias("mean" + suffix),
             F.when(fix, F.greatest(true_var, F.lit(0.0))).otherwise(F.col(v)).alias("var" + suffix),

@@ -1,6 +1,6 @@
 """Imports every query module, so that the registry is complete."""
 
-from signalmill.plans import select_queries  # noqa: F401
+from signalmill.plans import rule_queries, select_queries, series_queries, trace_queries  # noqa: F401
 from signalmill.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
