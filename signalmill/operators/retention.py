@@ -7,10 +7,11 @@ import operator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from signalmill.functions.time import instant
 from signalmill.operators.skew import checked_broadcast
-from signalmill.schemas import TIME_COLUMN
+from signalmill.schemas import SOURCES, TIME_COLUMN
 from signalmill.session import reliable, scratch_path
 
 # Default (hot, total) days and the largest allowed number of days per table.
@@ -66,46 +67,58 @@ def retention_tier(df: DataFrame, table: str, specs: DataFrame, *, as_of) -> Dat
 
 
 def retention_apply(
-    spark: SparkSession, hot_path: str, cold_path: str, table: str, specs: DataFrame, *, as_of: str
+    spark: SparkSession,
+    hot_path: str,
+    cold_path: str,
+    table: str,
+    specs: DataFrame,
+    *,
+    as_of: str,
+    partitions: tuple[str, ...] = ("date", "tenant_id"),
 ) -> DataFrame:
-    """Move cold rows and drop expired ones in a hot table partitioned by ``date``.
+    """Move cold rows and drop expired ones in a hot table partitioned by ``partitions`` (day first).
 
-    Only dates that lose rows are rewritten. Cold rows go under a ``run`` partition named by
+    Only days that lose rows are rewritten. Cold rows go under a ``run`` partition named by
     ``as_of``; a repeated run finds fewer rows in the hot table and leaves what it wrote before.
-    Returns per date the rows kept, moved and dropped.
+    Returns per day the rows kept, moved and dropped.
     """
-    hot = spark.read.parquet(hot_path)
-    tiered = retention_tier(hot, table, specs, as_of=as_of)
-    report = reliable(
-        tiered.groupBy("date").agg(
+    day = partitions[0]
+    schema = T.StructType([*SOURCES[table].fields, T.StructField(day, T.DateType())])
+    tiered = retention_tier(spark.read.schema(schema).parquet(hot_path), table, specs, as_of=as_of)
+    per_partition = reliable(
+        tiered.groupBy(*partitions).agg(
             F.count_if(F.col("tier") == "hot").alias("kept"),
             F.count_if(F.col("tier") == "cold").alias("moved"),
             F.count_if(F.col("tier") == "expired").alias("dropped"),
         )
     )
-    touched = report.where("moved + dropped > 0")
+    report = per_partition.groupBy(day).agg(*[F.sum(c).alias(c) for c in ("kept", "moved", "dropped")])
     # One row per day of the table's lifetime.
-    dates = [row["date"] for row in touched.select("date").collect()]
-    if not dates:
+    days = {row[day]: row["kept"] for row in report.where("moved + dropped > 0").collect()}
+    if not days:
         return report
-    affected = tiered.where(F.col("date").isin(dates))
-    columns = hot.columns
-    affected.where("tier = 'cold'").select(*columns).withColumn(
-        "run", F.lit(str(as_of).replace(" ", "T").replace(":", ""))
-    ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "date").parquet(cold_path)
+    affected = tiered.where(F.col(day).isin(list(days))).select(*schema.names, "tier")
+    run = F.lit(str(as_of).replace(" ", "T").replace(":", ""))
+
+    def overwrite(rows: DataFrame, path: str, by: tuple[str, ...]) -> None:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+    overwrite(affected.where("tier = 'cold'").drop("tier").withColumn("run", run), cold_path, ("run", *partitions))
+    # The hot table is read while it is rewritten, so kept rows pass through a staged copy.
     staged = scratch_path(spark, "retention")
-    affected.where("tier = 'hot'").select(*columns).write.partitionBy("date").parquet(staged)
-    emptied = [row["date"] for row in touched.where("kept = 0").select("date").collect()]
-    if len(emptied) < len(dates):
-        spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            "date"
-        ).parquet(hot_path)
-    for date in emptied:
-        _drop_partition(spark, f"{hot_path.rstrip('/')}/date={date}")
+    affected.where("tier = 'hot'").drop("tier").write.partitionBy(*partitions).parquet(staged)
+    if any(days.values()):
+        overwrite(spark.read.schema(schema).parquet(staged), hot_path, partitions)
+    for date, kept in days.items():
+        if not kept:
+            _drop_folder(spark, f"{hot_path.rstrip('/')}/{day}={date}")
+    emptied = per_partition.where((F.col("kept") == 0) & F.col(day).isin([d for d, kept in days.items() if kept]))
+    for row in emptied.select(*partitions).toLocalIterator():
+        _drop_folder(spark, "/".join([hot_path.rstrip("/"), *[f"{c}={row[c]}" for c in partitions]]))
     return report
 
 
-def _drop_partition(spark: SparkSession, path: str) -> None:
+def _drop_folder(spark: SparkSession, path: str) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 

@@ -15,6 +15,10 @@ ERROR_RATE = 6e-5
 LATENCY_MS = 200.0
 SLO_TARGET = 0.9
 
+# Early baselines are short decimals that can lie exactly between two rounded values, where the last
+# bit decides; both engines shift them off that point before rounding.
+_NUDGE = 1e-9
+
 _RANKED = f"""rows_m AS (SELECT *, epoch_us(event_time) // 60000000 AS m FROM rule_rows),
 counted AS (SELECT *,
   sum(CAST(is_error AS INTEGER)) OVER (PARTITION BY tenant_id, service_name ORDER BY m, event_time, signal_id ROWS UNBOUNDED PRECEDING)
@@ -41,7 +45,7 @@ FROM edges WHERE breach AND NOT coalesce(was, false)"""
 
 HIGH_LATENCY_SQL = f"""WITH {_RANKED}
 SELECT tenant_id, service_name, epoch_us(event_time) AS event_time, signal_id,
-       round(peak, 6) AS peak_latency, {LATENCY_MS} AS threshold
+       round(peak, 6) AS peak_latency, CAST({LATENCY_MS} AS DOUBLE) AS threshold
 FROM slow WHERE peak >= {LATENCY_MS} AND NOT coalesce(was, false)"""
 
 
@@ -108,25 +112,25 @@ def _fold(rows: str, key: str, x: str) -> str:
 _SPAN_ROWS = """SELECT tenant_id, service_name, trace_id, start_time AS event_time, event_id AS signal_id,
     status_code AS severity, operation_name, duration_ns / 1e6 AS duration_ms FROM spans_v"""
 _SPAN_FOLD = _fold(_SPAN_ROWS, "tenant_id, service_name", "duration_ms")
-_Z = "CASE WHEN rn - 1 < 30 OR sqrt(v0) < 1e-9 THEN 0.0 ELSE (x - m0) / sqrt(v0) END"
+_Z = "CASE WHEN f.rn - 1 < 30 OR sqrt(v0) < 1e-9 THEN 0.0 ELSE (x - m0) / sqrt(v0) END"
 
 
 @query(
     "ewma_baseline",
     f"""{_SPAN_FOLD}
-    SELECT tenant_id, service_name, signal_id, round(x, 6) AS duration_ms, round(m, 6) AS mean, round(v, 6) AS var,
-           rn AS n FROM fold""",
+    SELECT tenant_id, service_name, signal_id, round(x, 6) AS duration_ms, round(m + {_NUDGE}, 6) AS mean,
+           round(v + {_NUDGE}, 6) AS var, rn AS n FROM fold""",
 )
 def ewma_baseline(spark, sf):
     rows = views.sampler_rows(spark, sf).select("tenant_id", "service_name", "signal_id", "event_time", "duration_ms")
     state = ewma.ewma_baseline(rows, ["tenant_id", "service_name"], "duration_ms", "event_time", "signal_id")
-    return state.drop("event_time")
+    return state.drop("event_time").withColumns({c: F.col(c) + _NUDGE for c in ("mean", "var")})
 
 
 @query(
     "latency_zscore",
     f"""{_SPAN_FOLD}
-    SELECT tenant_id, service_name, signal_id, round({_Z}, 6) AS z FROM fold""",
+    SELECT tenant_id, service_name, signal_id, round({_Z}, 6) AS z FROM fold f""",
 )
 def latency_zscore(spark, sf):
     rows = views.sampler_rows(spark, sf).select("tenant_id", "service_name", "signal_id", "event_time", "duration_ms")
@@ -203,12 +207,13 @@ _METRIC_FOLD = _fold(
 _ANOMALY_SQL = f"""{_METRIC_FOLD},
     z AS (SELECT *, CASE WHEN rn < 50 OR sqrt(v) < 1e-9 THEN 0.0 ELSE (x - m) / sqrt(v) END AS score FROM fold)
     SELECT tenant_id, metric_name, signal_id, round(x, 6) AS value, round(score, 6) AS score,
-           round(m, 6) AS baseline, 3.0 AS threshold, abs(score) >= 3 AS anomaly FROM z"""
+           round(m + {_NUDGE}, 6) AS baseline, CAST(3 AS DOUBLE) AS threshold, abs(score) >= 3 AS anomaly FROM z"""
 
 
 @query("anomaly_zscore", _ANOMALY_SQL)
 def anomaly_zscore(spark, sf):
-    return anomaly.anomaly_zscore(views.metrics(spark, sf)).drop("timestamp")
+    scored = anomaly.anomaly_zscore(views.metrics(spark, sf)).drop("timestamp")
+    return scored.withColumn("baseline", F.col("baseline") + _NUDGE)
 
 
 _SLO_MINUTES = """minutes AS (SELECT concat(tenant_id, ':', service_name) AS slo, epoch_us(timestamp) // 60000000 AS minute,
@@ -312,7 +317,7 @@ def score_model(spark, sf):
 @query(
     "model_counts",
     """SELECT count(*) AS samples, count(*) FILTER (len(list_filter(embedding[1:24], lambda x: x > 0)) >= 14) AS anomalies,
-              0 AS errors FROM embeddings""",
+              CAST(0 AS BIGINT) AS errors FROM embeddings""",
 )
 def model_counts(spark, sf):
     def load():

@@ -69,7 +69,7 @@ _SQL = {
                CASE WHEN o_orderpriority LIKE '5%' THEN '' ELSE concat('user-', CAST(o_custkey AS VARCHAR)) END AS actor,
                concat('order.', lower(o_orderstatus)) AS action, o_orderpriority AS details,
                concat('10.0.0.', CAST(o_custkey % 250 AS VARCHAR)) AS source_ip,
-               o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)) AS occurred_at
+               TIMESTAMP '2024-01-01' + to_seconds(CAST(o_orderkey * 7919 % 259200 AS INTEGER)) AS occurred_at
         FROM orders""",
     "signals_v": """
         SELECT event_id, ts, user_id, event_type, value, k, service_name,
@@ -262,7 +262,7 @@ def retention_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     user = F.concat(F.lit("user-"), F.col("o_custkey").cast("string"))
-    at = F.col("o_orderdate").cast("timestamp")
+    second = F.pmod(F.col("o_orderkey") * 7919, F.lit(259_200))
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"),
         _modulo_name("t", F.col("o_custkey"), 4).alias("tenant_id"),
@@ -270,7 +270,7 @@ def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("order."), F.lower("o_orderstatus")).alias("action"),
         F.col("o_orderpriority").alias("details"),
         _modulo_name("10.0.0.", F.col("o_custkey"), 250).alias("source_ip"),
-        F.timestamp_micros(F.unix_micros(at) + F.pmod("o_orderkey", F.lit(24)) * 3_600_000_000).alias("occurred_at"),
+        F.timestamp_seconds(F.unix_seconds(F.lit(T0).cast("timestamp")) + second).alias("occurred_at"),
     )
 
 

@@ -128,7 +128,7 @@ def _nanos(text: Column) -> Column:
 
 
 def _micros_time(nanos: Column) -> Column:
-    return F.timestamp_micros(((nanos - F.pmod(nanos, F.lit(1000))) / 1000).cast("long"))
+    return F.timestamp_micros(F.call_function("div", nanos, F.lit(1000)))
 
 
 def _enum_name(text: Column, names: tuple[str, ...]) -> Column:
