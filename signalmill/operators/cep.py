@@ -101,41 +101,80 @@ def _count_threshold(threshold: float, window: Duration) -> int:
     return count
 
 
-def error_minutes(df: DataFrame) -> DataFrame:
-    """Rows and errors per key and minute."""
-    return df.groupBy(*KEYS, bucket_number(F.col("event_time"), "1m").alias("_b")).agg(
+def _with_carried(here: DataFrame, carried: DataFrame | None, sums: list[str], peaks: list[str]) -> DataFrame:
+    """This batch's minutes and the carried ones, one row per (key, minute).
+
+    ``_old_<c>`` holds the carried part of each column, ``_old_firing`` the state at its end.
+    """
+    columns = sums + peaks
+    if carried is None:
+        return here.withColumns(
+            {f"_old_{c}": (F.lit(0) if c in sums else F.lit(None)).cast(here.schema[c].dataType) for c in columns}
+        ).withColumns({"_new": F.lit(True), "_old_firing": F.lit(None).cast("boolean")})
+    extra = [c for c in here.columns if c not in (*KEYS, "_b", *columns)]
+    old = carried.select(
+        *KEYS, "_b", *[F.col(c).alias(f"_old_{c}") for c in columns], F.col("_firing").alias("_old_firing")
+    )
+    # A carried minute only meets the batch in the minute the batch boundary cuts.
+    both = here.withColumn("_new", F.lit(True)).join(old, [*KEYS, "_b"], "full_outer")
+    return both.select(
+        *KEYS,
+        "_b",
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in sums],
+        *peaks,
+        *extra,
+        *[F.coalesce(f"_old_{c}", F.lit(0)).alias(f"_old_{c}") for c in sums],
+        *[f"_old_{c}" for c in peaks],
+        F.coalesce("_new", F.lit(False)).alias("_new"),
+        "_old_firing",
+    )
+
+
+def _edge_state(minutes: DataFrame, breached: Column) -> DataFrame:
+    """Adds the rule's state at the end of each minute, and just before its new rows."""
+    firing = F.when(F.col("_new"), breached).otherwise(F.col("_old_firing"))
+    before = F.lag("_firing").over(Window.partitionBy(*KEYS).orderBy("_b"))
+    return minutes.withColumn("_firing", firing).withColumn(
+        "_was_firing", F.coalesce("_old_firing", before, F.lit(False))
+    )
+
+
+def error_minutes(
+    df: DataFrame, window: Duration, threshold: float, carried: DataFrame | None = None
+) -> DataFrame:
+    """Per key and minute: rows, errors, both over the minutes before, and the rule's state."""
+    n = _buckets(window, "1m")
+    needed = _count_threshold(threshold, window)
+    here = df.groupBy(*KEYS, bucket_number(F.col("event_time"), "1m").alias("_b")).agg(
         F.count("*").alias("_rows"), F.count_if(F.col("is_error")).alias("_errors")
     )
+    minutes = _with_carried(here, carried, ["_rows", "_errors"], [])
+
+    def base(name: str) -> Column:
+        earlier = F.sum(F.col(name) + F.col(f"_old_{name}")).over(_earlier_buckets(KEYS, n)) if n > 1 else F.lit(0)
+        return F.coalesce(earlier, F.lit(0)) + F.col(f"_old_{name}")
+
+    minutes = minutes.withColumn("_base_errors", base("_errors")).withColumn("_base_rows", base("_rows"))
+    return _edge_state(minutes, F.col("_base_errors") + F.col("_errors") >= needed)
 
 
 def high_error_rate(
     df: DataFrame,
     window: Duration = WINDOW,
     threshold: float = ERROR_RATE_THRESHOLD,
-    carried: DataFrame | None = None,
+    minutes: DataFrame | None = None,
 ) -> DataFrame:
     """One event per rising edge of the per-service error rate.
 
     ``df`` has tenant_id, service_name, event_time, signal_id, is_error (logs and spans).
-    ``carried`` holds minutes of earlier batches as :func:`error_minutes` gives them.
+    ``minutes`` is its :func:`error_minutes`, given where earlier minutes are carried in.
     """
-    n = _buckets(window, "1m")
     needed = _count_threshold(threshold, window)
-    here = error_minutes(df).withColumn("_new", F.lit(True))
-    minutes = here if carried is None else here.unionByName(carried.withColumn("_new", F.lit(False)))
-    earlier = _earlier_buckets(KEYS, n)
-    base = lambda col: F.coalesce(F.sum(col).over(earlier) if n > 1 else F.lit(0), F.lit(0))
-    breached = F.col("_base_errors") + F.col("_errors") >= needed
-    candidates = (
-        minutes.withColumn("_base_errors", base("_errors"))
-        .withColumn("_base_rows", base("_rows"))
-        .withColumn(
-            "_was_firing",
-            F.coalesce(F.lag(breached).over(Window.partitionBy(*KEYS).orderBy("_b")), F.lit(False)),
-        )
-        .where(F.col("_new") & (F.col("_base_errors") < needed) & breached)
-        .select(*KEYS, "_b", "_base_errors", "_base_rows", "_was_firing", (needed - F.col("_base_errors")).alias("nth"))
-    )
+    if minutes is None:
+        minutes = error_minutes(df, window, threshold)
+    candidates = minutes.where(
+        F.col("_new") & (F.col("_base_errors") < needed) & (F.col("_base_errors") + F.col("_errors") >= needed)
+    ).select(*KEYS, "_b", "_base_rows", "_was_firing", (needed - F.col("_base_errors")).alias("nth"))
     candidates = checked_broadcast(candidates)
     rows = df.select(*KEYS, "event_time", "signal_id", "is_error").withColumn(
         "_b", bucket_number(F.col("event_time"), "1m")
@@ -146,7 +185,7 @@ def high_error_rate(
     return (
         crossing.drop("nth")
         .join(candidates, [*KEYS, "_b"])
-        # The minute's first row continues a breach that held at the end of the previous one.
+        # The minute's first row continues a breach that held just before it.
         .where(~(F.col("_was_firing") & (F.col("position") == 1)))
         .select(
             *KEYS,
@@ -159,63 +198,80 @@ def high_error_rate(
     )
 
 
-def latency_minutes(df: DataFrame, threshold_ms: float) -> DataFrame:
-    """Per key and minute: peak, first row, and first row at or above the threshold."""
-    at = F.struct("event_time", "signal_id")
+def latency_minutes(
+    df: DataFrame, window: Duration, threshold_ms: float, carried: DataFrame | None = None
+) -> DataFrame:
+    """Per key and minute: peak, first row, first row at or above the threshold, and the rule's state."""
+    if threshold_ms <= 0:
+        raise ValueError("threshold must be positive")
+    n = _buckets(window, "1m")
     slow = F.struct("event_time", "signal_id", "duration_ms")
-    return (
+    here = (
         df.where(F.col("duration_ms").isNotNull())
         .groupBy(*KEYS, bucket_number(F.col("event_time"), "1m").alias("_b"))
         .agg(
             F.max("duration_ms").alias("_peak"),
-            F.min(at).alias("_first"),
+            F.min(F.struct("event_time", "signal_id")).alias("_first"),
             F.min(F.when(F.col("duration_ms") >= threshold_ms, slow)).alias("_crossing"),
         )
     )
+    minutes = _with_carried(here, carried, [], ["_peak"])
+    whole = F.greatest("_peak", "_old__peak")
+    earlier = F.max(whole).over(_earlier_buckets(KEYS, n)) if n > 1 else F.lit(None).cast("double")
+    minutes = minutes.withColumn("_base", F.coalesce(F.greatest(earlier, F.col("_old__peak")), F.lit(0.0)))
+    return _edge_state(minutes, F.greatest("_base", "_peak") >= threshold_ms)
 
 
 def high_latency(
     df: DataFrame,
     window: Duration = WINDOW,
     threshold_ms: float = LATENCY_THRESHOLD_MS,
-    carried: DataFrame | None = None,
+    minutes: DataFrame | None = None,
 ) -> DataFrame:
     """One event per rising edge of the per-service latency peak.
 
     ``df`` has tenant_id, service_name, event_time, signal_id, duration_ms (spans). One aggregate
-    per (key, minute) decides every edge; no row-level window is needed.
+    per (key, minute) decides every edge; no row-level window is needed. ``minutes`` is its
+    :func:`latency_minutes`, given where earlier minutes are carried in.
     """
-    if threshold_ms <= 0:
-        raise ValueError("threshold must be positive")
+    if minutes is None:
+        minutes = latency_minutes(df, window, threshold_ms)
+    crossing, first = F.col("_crossing"), F.col("_first")
+    at_first = (crossing["event_time"] == first["event_time"]) & (crossing["signal_id"] == first["signal_id"])
+    return minutes.where(
+        F.col("_new")
+        & (F.col("_base") < threshold_ms)
+        & crossing.isNotNull()
+        & ~(F.col("_was_firing") & at_first)
+    ).select(
+        *KEYS,
+        crossing["event_time"].alias("event_time"),
+        crossing["signal_id"].alias("signal_id"),
+        crossing["duration_ms"].alias("peak_latency"),
+        F.lit(float(threshold_ms)).alias("threshold"),
+    )
+
+
+def carried_minutes(minutes: DataFrame, columns: dict[str, Column], window: Duration) -> DataFrame:
+    """What later batches need: minutes still inside the window, and each key's last minute."""
     n = _buckets(window, "1m")
-    here = latency_minutes(df, threshold_ms).withColumn("_new", F.lit(True))
-    minutes = here if carried is None else here.unionByName(carried.withColumn("_new", F.lit(False)))
-    base = F.max("_peak").over(_earlier_buckets(KEYS, n)) if n > 1 else F.lit(None).cast("double")
-    peak = F.greatest(F.coalesce("_base", F.lit(0.0)), F.col("_peak"))
-    was_firing = F.lag(peak >= threshold_ms).over(Window.partitionBy(*KEYS).orderBy("_b"))
+    newest = F.max("_b").over(Window.partitionBy(*KEYS))
     return (
-        minutes.withColumn("_base", base)
-        .withColumn("_was_firing", F.coalesce(was_firing, F.lit(False)))
-        .where(
-            F.col("_new")
-            & (F.coalesce("_base", F.lit(0.0)) < threshold_ms)
-            & F.col("_crossing").isNotNull()
-            & ~(
-                F.col("_was_firing")
-                & (F.col("_crossing.event_time") == F.col("_first.event_time"))
-                & (F.col("_crossing.signal_id") == F.col("_first.signal_id"))
-            )
-        )
-        .select(
-            *KEYS,
-            F.col("_crossing.event_time").alias("event_time"),
-            F.col("_crossing.signal_id").alias("signal_id"),
-            F.greatest(F.col("_crossing.duration_ms"), F.lit(0.0)).alias("peak_latency"),
-            F.lit(float(threshold_ms)).alias("threshold"),
-        )
+        minutes.select(*KEYS, "_b", *[c.alias(name) for name, c in columns.items()], "_firing", newest.alias("_newest"))
+        .where((F.col("_b") > F.col("_newest") - n))
+        .drop("_newest")
     )
 
 
+def error_state(minutes: DataFrame, window: Duration) -> DataFrame:
+    columns = {c: F.col(c) + F.col(f"_old_{c}") for c in ("_rows", "_errors")}
+    return carried_minutes(minutes, columns, window)
+
+
+def latency_state(minutes: DataFrame, window: Duration) -> DataFrame:
+    return carried_minutes(minutes, {"_peak": F.greatest("_peak", "_old__peak")}, window)
+
+
 def rule_engine(rule_events: list[tuple[str, DataFrame]]) -> DataFrame:
     """All rules' events in rule order; a signal that trips several keeps the first rule's event."""
     merged = None

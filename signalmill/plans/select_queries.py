@@ -75,10 +75,13 @@ def export_ndjson(spark, sf):
 
     path = scratch_path(spark, "export")
     meta = tables.export_ndjson(_metric_rows(views.metrics(spark, sf)), path, "metrics")
-    back = spark.read.schema("value double").json(path).agg(
-        F.count("*").alias("rows_read"), F.round(F.sum("value"), 3).alias("total")
+    trailer = meta.head()
+    return spark.read.schema("value double").json(path).agg(
+        F.lit(trailer["source"]).alias("source"),
+        F.lit(trailer["rows_returned"]).alias("rows_returned"),
+        F.count("*").alias("rows_read"),
+        F.round(F.sum("value"), 3).alias("total"),
     )
-    return meta.select("source", "rows_returned").join(back)
 
 
 @query("select_columns", "SELECT tenant_id, metric_name, round(value, 6) AS value FROM metrics_v")
