@@ -73,7 +73,8 @@ def first_sightings(df: DataFrame) -> DataFrame:
 
 def queue_cutoffs(sightings: DataFrame, limit: int, step: Duration = "1m") -> DataFrame:
     """Per tenant the time and id at which the queue first exceeds its limit."""
-    wanted = sightings.select("tenant_id").distinct().withColumn("nth", F.lit(limit + 1).cast("long"))
+    tenants = sightings.select("tenant_id").distinct()
+    wanted = checked_broadcast(tenants.withColumn("nth", F.lit(limit + 1).cast("long")))
     crossing = nth_flagged(sightings, ["tenant_id"], "event_time", "signal_id", F.lit(True), wanted, step)
     return crossing.select("tenant_id", F.struct("event_time", "signal_id").alias("_cutoff"))
 

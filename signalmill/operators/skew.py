@@ -42,7 +42,8 @@ def nth_flagged(
 ) -> DataFrame:
     """Per group, the ``nth`` row (by time, id) whose flag is true.
 
-    ``wanted`` has the group columns and ``nth`` (1-based). Adds ``position``, the number of rows
+    ``wanted`` has the group columns and ``nth`` (1-based); pass it through
+    :func:`checked_broadcast` where it is small against the rows. Adds ``position``, the number of rows
     of the group up to and including the found one. Groups with fewer flagged rows give no row.
     """
     rows = df.select(
@@ -52,10 +53,9 @@ def nth_flagged(
         F.coalesce(flag, F.lit(False)).cast("long").alias("_flag"),
         bucket_number(F.col(time), step).alias("_sub"),
     )
-    wanted = checked_broadcast(wanted.select(*group, "nth"))
     before = Window.partitionBy(*group).orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
     hist = (
-        rows.join(wanted, group)
+        rows.join(wanted.select(*group, "nth"), group)
         .groupBy(*group, "_sub", "nth")
         .agg(F.sum("_flag").alias("_flags"), F.count("*").alias("_rows"))
         .withColumn("_flags_before", F.coalesce(F.sum("_flags").over(before), F.lit(0)))
