@@ -28,7 +28,7 @@ def test_quantiles_are_exact_at_any_refinement(spark, leaf_rows):
             assert got[g][name] == pytest.approx(models.quantile(vs, p), rel=1e-12, abs=1e-15), (g, name)
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.floats(-1e300, 1e300), min_size=1, max_size=60), st.floats(0, 1))
 def test_quantile_of_any_floats(spark, values, p):
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
