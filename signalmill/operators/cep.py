@@ -45,6 +45,16 @@ def _earlier_buckets(keys: list[str], n: int):
     return Window.partitionBy(*keys).orderBy("_b").rangeBetween(-(n - 1), -1)
 
 
+def _earlier_sum(value: Column, keys: list[str], n: int) -> Column:
+    """Sum over the ``n - 1`` buckets before the current one, as a difference of running sums."""
+    order = Window.partitionBy(*keys).orderBy("_b")
+
+    def running(lag: int) -> Column:
+        return F.coalesce(F.sum(value).over(order.rangeBetween(Window.unboundedPreceding, -lag)), F.lit(0))
+
+    return running(1) - running(n)
+
+
 def sliding_rate(
     df: DataFrame,
     keys: list[str],
@@ -73,7 +83,7 @@ def sliding_rate(
         .withColumn("_b", ((F.col("_s") - F.pmod("_s", per_slice)) / per_slice).cast("long"))
     )
     earlier = counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_c")).select(
-        *keys, "_b", F.coalesce(F.sum("_c").over(_earlier_buckets(keys, n)) if n > 1 else F.lit(0), F.lit(0)).alias("_base")
+        *keys, "_b", _earlier_sum(F.col("_c"), keys, n).alias("_base")
     )
     in_bucket = Window.partitionBy(*keys, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     before = (
@@ -151,8 +161,7 @@ def error_minutes(
     minutes = _with_carried(here, carried, ["_rows", "_errors"], [])
 
     def base(name: str) -> Column:
-        earlier = F.sum(F.col(name) + F.col(f"_old_{name}")).over(_earlier_buckets(KEYS, n)) if n > 1 else F.lit(0)
-        return F.coalesce(earlier, F.lit(0)) + F.col(f"_old_{name}")
+        return _earlier_sum(F.col(name) + F.col(f"_old_{name}"), KEYS, n) + F.col(f"_old_{name}")
 
     minutes = minutes.withColumn("_base_errors", base("_errors")).withColumn("_base_rows", base("_rows"))
     return _edge_state(minutes, F.col("_base_errors") + F.col("_errors") >= needed)

@@ -58,15 +58,21 @@ def _windows(pairs) -> list[int]:
 def burn_rates(minutes: DataFrame, targets: DataFrame, pairs=WINDOW_PAIRS) -> DataFrame:
     """Burn rate per window ending at each minute that has events: ``burn_<minutes>``.
 
-    ``targets`` has (slo, target). All frames share one window sort over minutes, whose number per
+    ``targets`` has (slo, target). A window's sum is the difference of two running sums, which cost
+    one step per row whatever the width; all of them share one sort over minutes, whose number per
     SLO depends on the time range only.
     """
     rows = minutes.join(targets, "slo")
     budget = 1 - F.col("target")
+    order = Window.partitionBy("slo").orderBy("minute")
+
+    def running(name: str, lag: int) -> Column:
+        return F.coalesce(F.sum(name).over(order.rangeBetween(Window.unboundedPreceding, -lag)), F.lit(0))
+
+    rows = rows.withColumns({f"_{name}_{lag}": running(name, lag) for name in ("good", "bad") for lag in (0, *_windows(pairs))})
     burns = []
     for width in _windows(pairs):
-        frame = Window.partitionBy("slo").orderBy("minute").rangeBetween(-(width - 1), 0)
-        good, bad = F.sum("good").over(frame), F.sum("bad").over(frame)
+        good, bad = (F.col(f"_{name}_0") - F.col(f"_{name}_{width}") for name in ("good", "bad"))
         burn = F.when((good + bad > 0) & (budget > 0), bad / (good + bad) / budget).otherwise(F.lit(0.0))
         burns.append(burn.alias(f"burn_{width}"))
     return rows.select("slo", "target", "minute", *burns)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +24,8 @@ _WATERFALL = (
     "left_pct double, width_pct double, duration_ms double, is_error boolean"
 )
 
+_WATERFALL_COLUMNS = [field.split()[0] for field in _WATERFALL.split(", ")]
+
 
 def service_map(spans: DataFrame, per_trace: bool = False) -> DataFrame:
     """Calls between different services: one edge per (parent service, child service).
@@ -95,72 +99,96 @@ def waterfall(spans: DataFrame, large_trace: int = 50_000) -> DataFrame:
     Children follow their parent by start time (then span id); a span whose parent is absent is a
     root. Spans on a cycle have no root and do not appear; a repeated span id keeps its first span.
 
-    Traces up to ``large_trace`` spans are laid out whole, one pandas group each. Larger ones never
-    form a group: they are walked level by level with joins and numbered from subtree sizes.
+    Traces up to ``large_trace`` spans are laid out whole, many of them per Arrow batch. Larger ones
+    never come together in one task: they are walked level by level with joins and numbered from
+    subtree sizes.
     """
-    start, end = F.unix_micros("start_time"), F.unix_micros("end_time")
-    rows = (
-        spans.groupBy(*_TRACE, "span_id")
-        .agg(
-            F.min_by(
-                F.struct(
-                    F.coalesce("parent_span_id", F.lit("")).alias("parent"),
-                    start.alias("start_us"),
-                    end.alias("end_us"),
-                    F.coalesce("duration_ns", F.lit(0)).alias("duration_ns"),
-                    _is_error(F.col("status_code")).alias("is_error"),
-                ),
-                F.struct(start.alias("a"), end.alias("b")),
-            ).alias("s")
-        )
-        .select(*_TRACE, "span_id", "s.*")
+    rows = spans.select(
+        *_TRACE,
+        "span_id",
+        F.coalesce("parent_span_id", F.lit("")).alias("parent"),
+        F.unix_micros("start_time").alias("start_us"),
+        F.unix_micros("end_time").alias("end_us"),
+        F.coalesce("duration_ns", F.lit(0)).cast("long").alias("duration_ns"),
+        _is_error(F.col("status_code")).alias("is_error"),
     )
-    sizes = spans.groupBy(*_TRACE).agg(F.count("*").alias("_n")).where(F.col("_n") > large_trace).select(*_TRACE)
+    sizes = rows.groupBy(*_TRACE).agg(F.count("*").alias("_n")).where(F.col("_n") > large_trace).select(*_TRACE)
     big = reliable(sizes)
     if big.isEmpty():
         return _waterfall_whole(rows)
     big = checked_broadcast(big)
     small = _waterfall_whole(rows.join(big, _TRACE, "left_anti"))
-    return small.unionByName(_waterfall_by_level(rows.join(big, _TRACE, "left_semi")))
+    return small.unionByName(_waterfall_by_level(_first_spans(rows.join(big, _TRACE, "left_semi"))))
 
 
-def _waterfall_whole(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(*_TRACE).applyInPandas(_layout, _WATERFALL)
+def _first_spans(rows: DataFrame) -> DataFrame:
+    """The first span of every span id."""
+    rest = [c for c in rows.columns if c not in (*_TRACE, "span_id")]
+    first = F.min_by(F.struct(*rest), F.struct("start_us", "end_us")).alias("s")
+    return rows.groupBy(*_TRACE, "span_id").agg(first).select(*_TRACE, "span_id", "s.*")
 
 
-def _layout(trace: pd.DataFrame) -> pd.DataFrame:
-    trace = trace.sort_values(["start_us", "span_id"], kind="stable").reset_index(drop=True)
-    row_of = {span: i for i, span in enumerate(trace["span_id"])}
-    children: dict[int, list[int]] = {}
-    roots = []
-    for i, parent in enumerate(trace["parent"]):
-        if parent in row_of:
-            children.setdefault(row_of[parent], []).append(i)
-        else:
-            roots.append(i)
-    order, depths = [], []
-    todo = [(i, 0) for i in reversed(roots)]
-    while todo:
-        i, depth = todo.pop()
-        order.append(i)
-        depths.append(depth)
-        todo.extend((c, depth + 1) for c in reversed(children.get(i, ())))
-    first, last = trace["start_us"].min(), trace["end_us"].max()
-    width = max(1, last - first)
-    out = trace.iloc[order]
-    return pd.DataFrame(
-        {
-            "tenant_id": out["tenant_id"],
-            "trace_id": out["trace_id"],
-            "ordinal": range(len(out)),
-            "span_id": out["span_id"],
-            "depth": depths,
-            "left_pct": (out["start_us"] - first) / width * 100,
-            "width_pct": ((out["end_us"] - out["start_us"]) / width * 100).clip(lower=MIN_WIDTH_PCT),
-            "duration_ms": out["duration_ns"] / 1e6,
-            "is_error": out["is_error"],
-        }
-    )
+def _waterfall_whole(rows: DataFrame) -> DataFrame:
+    ordered = rows.repartition(*_TRACE).sortWithinPartitions(*_TRACE, "start_us", "span_id", "end_us")
+    return ordered.mapInPandas(_layouts, _WATERFALL)
+
+
+def _layouts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Lay out every complete trace of a batch; the last one waits for the next batch."""
+    waiting = None
+    for batch in batches:
+        rows = batch if waiting is None else pd.concat([waiting, batch], ignore_index=True)
+        if rows.empty:
+            continue
+        keys = list(zip(rows["tenant_id"], rows["trace_id"], strict=True))
+        start = len(keys)
+        while start > 0 and keys[start - 1] == keys[-1]:
+            start -= 1
+        waiting = rows.iloc[start:].reset_index(drop=True)
+        if start:
+            yield _layout(rows.iloc[:start], keys[:start])
+    if waiting is not None:
+        yield _layout(waiting, list(zip(waiting["tenant_id"], waiting["trace_id"], strict=True)))
+
+
+def _layout(rows: pd.DataFrame, keys: list[tuple]) -> pd.DataFrame:
+    """Layout of whole traces, sorted by trace and start."""
+    rows = rows.reset_index(drop=True)
+    span_ids, parents = rows["span_id"].tolist(), rows["parent"].tolist()
+    order: list[int] = []
+    depths: list[int] = []
+    ordinals: list[int] = []
+    begin = 0
+    while begin < len(keys):
+        end = begin
+        row_of: dict[str, int] = {}
+        while end < len(keys) and keys[end] == keys[begin]:
+            row_of.setdefault(span_ids[end], end)
+            end += 1
+        children: dict[int, list[int]] = {}
+        roots = []
+        for i in row_of.values():
+            above = row_of.get(parents[i])
+            (roots if above is None else children.setdefault(above, [])).append(i)
+        todo = [(i, 0) for i in reversed(roots)]
+        ordinal = 0
+        while todo:
+            i, depth = todo.pop()
+            order.append(i)
+            depths.append(depth)
+            ordinals.append(ordinal)
+            ordinal += 1
+            todo.extend((c, depth + 1) for c in reversed(children.get(i, ())))
+        begin = end
+    # A repeated span id keeps its first span, also in the extent of the trace.
+    kept = rows.drop_duplicates([*_TRACE, "span_id"])
+    trace = kept.groupby(_TRACE, sort=False, dropna=False)
+    first, last = trace["start_us"].transform("min"), trace["end_us"].transform("max")
+    width = (last - first).clip(lower=1)
+    left = (kept["start_us"] - first) / width * 100
+    bar = ((kept["end_us"] - kept["start_us"]) / width * 100).clip(lower=MIN_WIDTH_PCT)
+    out = kept.assign(left_pct=left, width_pct=bar, duration_ms=kept["duration_ns"] / 1e6).loc[order]
+    return out.assign(ordinal=ordinals, depth=depths)[_WATERFALL_COLUMNS]
 
 
 def _waterfall_by_level(rows: DataFrame) -> DataFrame:

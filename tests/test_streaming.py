@@ -40,11 +40,11 @@ def slices(spark, rows, parts, tmp_path, schema, start):
 def test_rules(spark, tmp_path, parts):
     rows = rule_rows()
     store = Store(str(tmp_path / "store"))
-    slices(spark, rows, parts, tmp_path, ROW, lambda s: jobs.stream_cep(s, store, "3m", 0.04, 900.0))
+    slices(spark, rows, parts, tmp_path, ROW, lambda s: jobs.stream_cep(s, store, "3m", 0.025, 900.0))
     errors = {r["signal_id"] for r in store.output(spark, "high_error_rate").collect()}
     slow = {r["signal_id"]: r["peak_latency"] for r in store.output(spark, "high_latency").collect()}
     keyed = [((t, s), sec, rid, e, ms) for t, s, sec, rid, e, ms in rows]
-    want_errors = models.error_edges([r[:4] for r in keyed], 3, 0.04)
+    want_errors = models.error_edges([r[:4] for r in keyed], 3, 0.025)
     want_slow = models.latency_edges([(*r[:3], r[4]) for r in keyed], 3, 900.0)
     assert want_errors and want_slow
     assert (errors, slow) == (set(want_errors), want_slow)
@@ -54,7 +54,7 @@ def test_late_rows_are_counted(spark, tmp_path):
     rows = rule_rows(60)
     late = [("t", "hot", 0, 1000 + i, True, 1.0) for i in range(3)]
     store = Store(str(tmp_path / "store"))
-    slices(spark, rows[:30] + late + rows[30:57], 2, tmp_path, ROW, lambda s: jobs.stream_cep(s, store, "3m", 0.04, 900.0))
+    slices(spark, rows[:30] + late + rows[30:57], 2, tmp_path, ROW, lambda s: jobs.stream_cep(s, store, "3m", 0.025, 900.0))
     assert store.output(spark, "late").agg(F.sum("late")).head()[0] == 3
 
 
