@@ -9,13 +9,14 @@ per-minute aggregates.
 from __future__ import annotations
 
 import math
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalmill.functions import match
 from signalmill.functions.time import Duration, bucket_number, micros, seconds
-from signalmill.operators.skew import checked_broadcast, nth_flagged
+from signalmill.operators.skew import checked_broadcast, fitting_step, nth_flagged
 
 KEYS = ["tenant_id", "service_name"]
 
@@ -68,11 +69,13 @@ def sliding_rate(
     """Per row: flagged rows in the last N buckets up to and including it, and that per second.
 
     Rows are windowed per (key, slice) only; everything before the slice comes from counts per
-    slice and per bucket, so a hot key is spread over its slices.
+    slice and per bucket, so a hot key is spread over its slices, which shrink while one of them is
+    too large.
     """
     n = _buckets(window, bucket)
     if micros(bucket) % micros(slice_width):
         raise ValueError("bucket must be a multiple of slice_width")
+    slice_width = timedelta(microseconds=fitting_step(df, keys, time, slice_width))
     rows = df.withColumn("_flag", F.coalesce(flag, F.lit(False)).cast("long")).withColumn(
         "_s", bucket_number(F.col(time), slice_width)
     )

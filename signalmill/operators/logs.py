@@ -59,13 +59,24 @@ def log_lines(df, matchers=(), filters=(), t0=None, t1=None, tenant=None, limit:
     return rows.orderBy(F.desc("timestamp"), F.desc("span_id")).limit(limit)
 
 
-def log_streams(logs: DataFrame, page: Duration = "1m") -> DataFrame:
-    """Lines grouped per (service, severity) with ordered (ts_ns, body) entries.
+def log_streams(logs: DataFrame, page_rows: int = STREAM_LIMIT) -> DataFrame:
+    """Lines per (service, severity) with ordered (ts_ns, body) entries.
 
-    A stream is cut into pages of one time bucket each, so a hot stream never becomes one array;
-    ``page_start`` orders the pages of a stream.
+    A stream comes as pages of at most ``page_rows`` lines; ``page_start`` orders them. Lines are
+    range-partitioned on (stream, time), so a hot stream is cut into many partitions and never
+    becomes one array. Where partitions end, pages may be shorter.
     """
+    stream = ["service_name", "severity"]
+    order = [*stream, "timestamp", "body"]
+    paged = (
+        logs.select(*order)
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumn("_row", F.monotonically_increasing_id())
+    )
+    page = (F.col("_row") - F.pmod("_row", F.lit(page_rows))).alias("_page")
     entry = F.struct((F.unix_micros("timestamp") * 1000).alias("ts_ns"), "body")
-    return logs.groupBy(
-        "service_name", "severity", bucket_start(F.col("timestamp"), page).alias("page_start")
-    ).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    pages = paged.groupBy(*stream, page).agg(
+        F.min("timestamp").alias("page_start"), F.array_sort(F.collect_list(entry)).alias("entries")
+    )
+    return pages.drop("_page")

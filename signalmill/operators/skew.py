@@ -12,13 +12,17 @@ Three ideas recur:
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalmill.functions.time import Duration, bucket_number
+from signalmill.functions.time import Duration, bucket_number, micros
 from signalmill.session import reliable
 
+# Rows of the largest table to broadcast, and of the largest bucket to window in one task.
 BROADCAST_ROWS = 200_000
+LEAF_ROWS = 1_000_000
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -31,6 +35,20 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(fixed) if fixed.count() <= max_rows else fixed
 
 
+def fitting_step(
+    df: DataFrame, keys: list[str], time: str, step: Duration, leaf_rows: int = LEAF_ROWS
+) -> int:
+    """``step`` in microseconds, cut by 1000 until no (key, bucket) holds more than ``leaf_rows`` rows."""
+    width = micros(step)
+    while width > 1:
+        counts = df.groupBy(*keys, bucket_number(F.col(time), timedelta(microseconds=width)).alias("_b")).count()
+        largest = counts.agg(F.max("count")).head()[0]
+        if largest is None or largest <= leaf_rows:
+            break
+        width = max(1, width // 1000)
+    return width
+
+
 def nth_flagged(
     df: DataFrame,
     group: list[str],
@@ -39,35 +57,32 @@ def nth_flagged(
     flag: Column,
     wanted: DataFrame,
     step: Duration,
+    leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
     """Per group, the ``nth`` row (by time, id) whose flag is true.
 
     ``wanted`` has the group columns and ``nth`` (1-based); pass it through
-    :func:`checked_broadcast` where it is small against the rows. Adds ``position``, the number of rows
-    of the group up to and including the found one. Groups with fewer flagged rows give no row.
+    :func:`checked_broadcast` where it is small against the rows. Adds ``position``, the number of
+    rows of the group up to and including the found one. Groups with fewer flagged rows give no row.
+
+    Rows are counted per time bucket and only the bucket with the wanted row is looked into, first
+    by smaller buckets while it holds more than ``leaf_rows`` rows.
     """
-    rows = df.select(
-        *group,
-        time,
-        row_id,
-        F.coalesce(flag, F.lit(False)).cast("long").alias("_flag"),
-        bucket_number(F.col(time), step).alias("_sub"),
-    )
-    before = Window.partitionBy(*group).orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
-    hist = (
-        rows.join(wanted.select(*group, "nth"), group)
-        .groupBy(*group, "_sub", "nth")
-        .agg(F.sum("_flag").alias("_flags"), F.count("*").alias("_rows"))
-        .withColumn("_flags_before", F.coalesce(F.sum("_flags").over(before), F.lit(0)))
-        .withColumn("_rows_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-    )
-    hit = hist.where(
-        (F.col("_flags_before") < F.col("nth"))
-        & (F.col("nth") <= F.col("_flags_before") + F.col("_flags"))
-    ).select(*group, "_sub", "nth", "_flags_before", "_rows_before")
-    running = Window.partitionBy(*group, "_sub").orderBy(time, row_id).rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.select(*group, time, row_id, F.coalesce(flag, F.lit(False)).cast("long").alias("_flag"))
+    zero = F.lit(0).cast("long")
+    hit = wanted.select(*group, "nth", zero.alias("_flags_before"), zero.alias("_rows_before"))
+    inside, width = list(group), micros(step)
+    while True:
+        rows = rows.withColumn(f"_sub{width}", bucket_number(F.col(time), timedelta(microseconds=width)))
+        hit = checked_broadcast(_bucket_with_nth(rows, inside, f"_sub{width}", hit))
+        inside.append(f"_sub{width}")
+        largest = hit.agg(F.max("_rows")).head()[0]
+        if width == 1 or largest is None or largest <= leaf_rows:
+            break
+        width = max(1, width // 1000)
+    running = Window.partitionBy(*inside).orderBy(time, row_id).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        rows.join(checked_broadcast(hit), [*group, "_sub"])
+        rows.join(hit, inside)
         .withColumn("_nth_here", F.col("_flags_before") + F.sum("_flag").over(running))
         .withColumn("position", F.col("_rows_before") + F.count("*").over(running))
         .where((F.col("_flag") == 1) & (F.col("_nth_here") == F.col("nth")))
@@ -75,6 +90,23 @@ def nth_flagged(
     )
 
 
+def _bucket_with_nth(rows: DataFrame, inside: list[str], sub: str, hit: DataFrame) -> DataFrame:
+    """The bucket of each group that holds its wanted row, with the counts before it."""
+    before = Window.partitionBy(*inside).orderBy(sub).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = ["nth", "_flags_before", "_rows_before"]
+    hist = rows.join(hit.select(*inside, *earlier), inside).groupBy(*inside, sub, *earlier).agg(
+        F.sum("_flag").alias("_flags"), F.count("*").alias("_rows")
+    )
+    placed = hist.withColumns(
+        {
+            "_flags_before": F.col("_flags_before") + F.coalesce(F.sum("_flags").over(before), F.lit(0)),
+            "_rows_before": F.col("_rows_before") + F.coalesce(F.sum("_rows").over(before), F.lit(0)),
+        }
+    )
+    found = (F.col("_flags_before") < F.col("nth")) & (F.col("nth") <= F.col("_flags_before") + F.col("_flags"))
+    return placed.where(found).select(*inside, sub, *earlier, "_rows")
+
+
 def ordered_chunks(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Rows sorted by (keys, order) within range partitions; a hot key spans many partitions.
 
@@ -94,9 +126,10 @@ def previous_value(
     """``lag(col)`` per key in (time, id) order, windowed per (key, time bucket).
 
     Across buckets the last value comes from a per-bucket aggregate, so a hot key is spread over
-    its buckets.
+    its buckets; the step shrinks while one of them is too large.
     """
-    bucketed = df.withColumn("_b", bucket_number(F.col(time), step))
+    width = timedelta(microseconds=fitting_step(df, keys, time, step))
+    bucketed = df.withColumn("_b", bucket_number(F.col(time), width))
     order = F.struct(time, row_id)
     last = (
         bucketed.groupBy(*keys, "_b")
@@ -128,7 +161,7 @@ def exact_quantiles(
     value: str,
     probabilities: dict[str, float],
     slots: int = 1024,
-    leaf_rows: int = 1_000_000,
+    leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
     """Exact interpolated quantiles per group without sorting or buffering a whole group.
 

@@ -265,16 +265,19 @@ def log_volume(spark, sf):
 
 @query(
     "log_streams",
-    f"""SELECT service_name, severity, {_D} AS page_start, count(*) AS entries,
-               min(epoch_us(timestamp)) * 1000 AS first_ns, arg_min(body, timestamp) AS first_body
-        FROM logs_v GROUP BY 1, 2, 3""",
+    """SELECT service_name, severity, count(*) AS entries, min(epoch_us(timestamp)) * 1000 AS first_ns,
+              arg_min(body, timestamp) AS first_body, arg_max(body, timestamp) AS last_body
+       FROM logs_v GROUP BY 1, 2""",
 )
 def log_streams(spark, sf):
-    pages = L.log_streams(views.logs(spark, sf), page="1d")
-    first = F.get("entries", 0)
-    return pages.select(
-        "service_name", "severity", "page_start", F.size("entries").alias("entries"),
-        first["ts_ns"].alias("first_ns"), first["body"].alias("first_body"),
+    """Streams put together again from their pages."""
+    pages = L.log_streams(views.logs(spark, sf))
+    first, last = F.get("entries", 0), F.element_at("entries", -1)
+    return pages.groupBy("service_name", "severity").agg(
+        F.sum(F.size("entries")).alias("entries"),
+        F.min(first["ts_ns"]).alias("first_ns"),
+        F.min_by(first["body"], "page_start").alias("first_body"),
+        F.max_by(last["body"], last["ts_ns"]).alias("last_body"),
     )
 
 

@@ -65,13 +65,19 @@ def cold_scan(spark: SparkSession, path: str, base_path: str | None = None) -> D
 
 
 def hot_cold_union(*stores: DataFrame) -> DataFrame:
-    """Rows of several stores in time order; equal times keep the order of the stores."""
+    """Rows of several stores in time order; equal times keep the order of the stores and their rows.
+
+    The row position also splits a time that very many rows share over several sort partitions.
+    """
     columns = stores[0].columns
-    tagged = [store.withColumn("_store", F.lit(i)) for i, store in enumerate(stores)]
+    tagged = [
+        store.withColumns({"_store": F.lit(i), "_row": F.monotonically_increasing_id()})
+        for i, store in enumerate(stores)
+    ]
     union = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
     times = [F.col(c) for c in UNION_ORDER if c in union.columns]
     order = [F.coalesce(*times)] if times else []
-    return union.orderBy(*order, "_store").select(*columns)
+    return union.orderBy(*order, "_store", "_row").select(*columns)
 
 
 def export_parquet(df: DataFrame, path: str, codec: str = "snappy", rows_per_group: int = EXPORT_ROW_GROUP) -> None:

@@ -279,5 +279,6 @@ def stream_ingest(
         }
         return outputs, new_state
 
-    return run_stateful(stream, store, _SAMPLER_STATE, step, time="received_at")
+    by_day = {name: ["date", "tenant_id"] for name in ("metrics", "logs", "traces")}
+    return run_stateful(stream, store, _SAMPLER_STATE, step, time="received_at", partitions=by_day)
 

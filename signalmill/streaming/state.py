@@ -50,11 +50,13 @@ def run_stateful(
     step: Step,
     time: str | None = "event_time",
     trigger: dict | None = None,
+    partitions: dict[str, list[str]] | None = None,
 ) -> StreamingQuery:
     """Start a query that applies ``step(rows, state) -> (outputs, new state)`` to every micro-batch.
 
     Rows are folded in time order across batches: a row older than the newest time of an earlier
-    batch is late, is left out and counted in the ``late`` output.
+    batch is late, is left out and counted in the ``late`` output. ``partitions`` names the partition
+    columns of outputs that have any.
     """
     names = [*state_names, *([_CLOCK] if time else [])]
 
@@ -80,7 +82,10 @@ def run_stateful(
                 seen = max((t for t in (before, newest) if t is not None), default=None)
                 new_state = {**new_state, _CLOCK: spark.createDataFrame([(seen,)], "newest long")}
             for name, df in outputs.items():
-                df.write.mode("overwrite").parquet(f"{store.output_path(name)}/batch={batch_id}")
+                by = (partitions or {}).get(name, [])
+                # Small partitions share a task, a hot one is split over several.
+                laid_out = df.hint("rebalance", *by) if by else df
+                laid_out.write.mode("overwrite").partitionBy(*by).parquet(f"{store.output_path(name)}/batch={batch_id}")
             for name, df in new_state.items():
                 df.write.mode("overwrite").parquet(store.state_path(name, batch_id))
         finally:

@@ -81,6 +81,21 @@ def test_broadcast_only_below_the_limit(spark):
 def test_hot_log_stream_is_paged(spark):
     rows = [("api", "INFO", START + timedelta(seconds=i), f"line {i}") for i in range(300)]
     df = spark.createDataFrame(rows, "service_name string, severity string, timestamp timestamp, body string")
-    pages = log_streams(df).orderBy("page_start").collect()
-    assert [len(p["entries"]) for p in pages] == [60] * 5
+    pages = log_streams(df, page_rows=70).orderBy("page_start").collect()
+    assert len(pages) > 4 and all(len(p["entries"]) <= 70 for p in pages)
     assert [e["body"] for p in pages for e in p["entries"]] == [r[3] for r in rows]
+
+
+@pytest.mark.parametrize("leaf_rows", [1_000_000, 5])
+def test_steps_shrink_for_hot_buckets(spark, leaf_rows):
+    rng = random.Random(1)
+    rows = [("g", rng.randrange(3_000_000), i, rng.random() < 0.5) for i in range(300)]
+    df = spark.createDataFrame(
+        [(g, START + timedelta(microseconds=us), i, f) for g, us, i, f in rows], "g string, at timestamp, rid long, f boolean"
+    )
+    assert skew.fitting_step(df, ["g"], "at", "1s", leaf_rows) == (1_000_000 if leaf_rows > 300 else 1_000)
+    wanted = df.select("g").distinct().withColumn("nth", F.lit(90).cast("long"))
+    got = skew.nth_flagged(df, ["g"], "at", "rid", F.col("f"), wanted, "1s", leaf_rows).head()
+    ordered = sorted(rows, key=lambda r: (r[1], r[2]))
+    hits = [(r[2], i + 1) for i, r in enumerate(ordered) if r[3]]
+    assert (got["rid"], got["position"]) == hits[89]
