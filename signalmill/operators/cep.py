@@ -213,18 +213,20 @@ def high_error_rate(
 def latency_minutes(
     df: DataFrame, window: Duration, threshold_ms: float, carried: DataFrame | None = None
 ) -> DataFrame:
-    """Per key and minute: peak, first row, first row at or above the threshold, and the rule's state."""
+    """Per key and minute: peak, first time, first time at or above the threshold, and the rule's state.
+
+    Every aggregate has a fixed-width buffer, so this is a hash aggregate without a sort.
+    """
     if threshold_ms <= 0:
         raise ValueError("threshold must be positive")
     n = _buckets(window, "1m")
-    slow = F.struct("event_time", "signal_id", "duration_ms")
     here = (
         df.where(F.col("duration_ms").isNotNull())
         .groupBy(*KEYS, bucket_number(F.col("event_time"), "1m").alias("_b"))
         .agg(
             F.max("duration_ms").alias("_peak"),
-            F.min(F.struct("event_time", "signal_id")).alias("_first"),
-            F.min(F.when(F.col("duration_ms") >= threshold_ms, slow)).alias("_crossing"),
+            F.min("event_time").alias("_first_at"),
+            F.min(F.when(F.col("duration_ms") >= threshold_ms, F.col("event_time"))).alias("_crossing_at"),
         )
     )
     minutes = _with_carried(here, carried, [], ["_peak"])
@@ -243,23 +245,31 @@ def high_latency(
     """One event per rising edge of the per-service latency peak.
 
     ``df`` has tenant_id, service_name, event_time, signal_id, duration_ms (spans). One aggregate
-    per (key, minute) decides every edge; no row-level window is needed. ``minutes`` is its
-    :func:`latency_minutes`, given where earlier minutes are carried in.
+    per (key, minute) decides every edge; the rows at the few crossing times are then looked up for
+    their ids. ``minutes`` is its :func:`latency_minutes`, given where earlier minutes are carried in.
     """
     if minutes is None:
         minutes = latency_minutes(df, window, threshold_ms)
-    crossing, first = F.col("_crossing"), F.col("_first")
-    at_first = (crossing["event_time"] == first["event_time"]) & (crossing["signal_id"] == first["signal_id"])
-    return minutes.where(
-        F.col("_new")
-        & (F.col("_base") < threshold_ms)
-        & crossing.isNotNull()
-        & ~(F.col("_was_firing") & at_first)
-    ).select(
+    crossings = checked_broadcast(
+        minutes.where(F.col("_new") & (F.col("_base") < threshold_ms) & F.col("_crossing_at").isNotNull()).select(
+            *KEYS, F.col("_crossing_at").alias("event_time"), (F.col("_crossing_at") == F.col("_first_at")).alias("_at_first"),
+            "_was_firing",
+        )
+    )
+    rows = df.where(F.col("duration_ms").isNotNull()).select(*KEYS, "event_time", "signal_id", "duration_ms")
+    slow = F.when(F.col("duration_ms") >= threshold_ms, F.struct("signal_id", "duration_ms"))
+    found = (
+        rows.join(crossings, [*KEYS, "event_time"])
+        .groupBy(*KEYS, "event_time", "_at_first", "_was_firing")
+        .agg(F.min(slow).alias("_row"), F.min("signal_id").alias("_least"))
+    )
+    # The minute's first row continues a breach that held just before it.
+    continues = F.col("_was_firing") & F.col("_at_first") & (F.col("_row.signal_id") == F.col("_least"))
+    return found.where(~continues).select(
         *KEYS,
-        crossing["event_time"].alias("event_time"),
-        crossing["signal_id"].alias("signal_id"),
-        crossing["duration_ms"].alias("peak_latency"),
+        "event_time",
+        F.col("_row.signal_id").alias("signal_id"),
+        F.col("_row.duration_ms").alias("peak_latency"),
         F.lit(float(threshold_ms)).alias("threshold"),
     )
 
