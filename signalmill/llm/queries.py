@@ -8,8 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalmill.llm import bpe, decontaminate, pii, quality_rules, simhash
+from signalmill.llm import (
+    bpe,
+    chat,
+    decontaminate,
+    license_scan,
+    packing,
+    pii,
+    quality_knn,
+    quality_rules,
+    simhash,
+    warc,
+)
 from signalmill.llm.common import table
+from signalmill.session import scratch_path
+from signalmill.sources.tables import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,12 +41,41 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query(
+    "op1_warc",
+    """
+    WITH p AS (
+      SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+      FROM pages),
+    last AS (SELECT payload_digest AS d, max(page_id) AS last_id FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+    SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 1000 AND page_id < last_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 1000 AND page_id < last_id THEN last_id END AS refers_to
+    FROM p LEFT JOIN last ON d = payload_digest
+    """,
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as archives with one gzip member per record, read back through the sidecar index."""
+    root = scratch_path(spark, "warc")
+    warc.write_streams(table(spark, sf_dir, "pages"), f"{root}/streams")
+    warc.normalize(spark, f"{root}/streams", f"{root}/archives")
+    index = warc.write_index(spark, f"{root}/archives", f"{root}/index")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op2_simhash")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components by 64-bit SimHash, 4-word shingles, 4 differing bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, budget=4)
 
 
+@query("op3_quality_knn")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by its nearest labelled neighbours."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_knn.score(docs, quality_knn.train(docs, table(spark, sf_dir, "labels")))
+
+
 @query("op4_quality_rules")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rules and the calibrated classifier's verdict on every document."""
@@ -41,6 +83,49 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
 
 
+@query("op5_license_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence paragraphs of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return license_scan.scan(docs, license_scan.train(license_scan.unknown_paragraphs(docs)))
+
+
+@query(
+    "op6_chat",
+    """
+    WITH t AS (
+      SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+    p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t),
+    s AS (
+      SELECT t.*, perspective, speaker = perspective AS is_assistant,
+             CASE WHEN speaker = perspective THEN '<|assistant|>' || chr(10)
+                  ELSE '<|user name=' || speaker || '|>' || chr(10) END AS head
+      FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+    r AS (
+      SELECT *, head || text || '<|end|>' || chr(10) AS segment,
+             row_number() OVER w - 1 AS position,
+             coalesce(sum(length(head || text || '<|end|>' || chr(10))) OVER w, 0) AS seg_end
+      FROM s WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, speaker, text
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+    SELECT conv_id, perspective, CAST(position AS BIGINT) AS position, turn, speaker, is_assistant, segment,
+           CAST(seg_end - length(segment) AS BIGINT) AS seg_start, CAST(seg_end AS BIGINT) AS seg_end,
+           CAST(CASE WHEN is_assistant THEN seg_end - length(segment) + length(head) END AS BIGINT) AS mask_start,
+           CAST(CASE WHEN is_assistant THEN seg_end END AS BIGINT) AS mask_end
+    FROM r
+    """,
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from every participant's perspective."""
+    return chat.segments(table(spark, sf_dir, "conversations"))
+
+
+@query("op7_packing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as packed id rows, written and read back."""
+    rows = packing.pack(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+    return packing.digest(written(rows, "packed"))
+
+
 @query("op8_pii")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document under pseudonyms, with the number of values replaced by kind."""
