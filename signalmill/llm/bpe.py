@@ -23,8 +23,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from signalmill.llm.common import BLOCK_CHARS, blocks, narrow
+from signalmill.llm.common import blocks, narrow
 
+#: Characters encoded at a time: a queue serves more pre-tokens the larger a block is.
+BLOCK_CHARS = 4_000_000
 #: Pre-tokens of so many bytes have a queue of their own.
 LONG_BYTES = 512
 #: Entries of a worker's memory of encoded words; beyond it the memory is emptied. Results don't depend on it.
@@ -278,7 +280,7 @@ class Bpe:
 
     def encode_blocks(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text in turn, in blocks of bounded size."""
-        for start, end in blocks(texts):
+        for start, end in blocks(texts, BLOCK_CHARS):
             block = [t or "" for t in texts[start:end]]
             if end - start == 1 and len(block[0]) > BLOCK_CHARS:
                 yield np.concatenate([self.encode([part])[0] for part in cut(block[0])])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters handled at a time inside a task; longer texts are cut, shorter ones gathered.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from signalmill.llm.bpe import cut, rank_file
-from signalmill.llm.common import BLOCK_CHARS, narrow
+from signalmill.llm.bpe import BLOCK_CHARS, cut, rank_file
+from signalmill.llm.common import narrow
 
 #: Ids in a row, and ids in a block that is packed at once.
 ROW_IDS, BLOCK_IDS = 2048, 1 << 22

@@ -368,10 +368,14 @@ def one_of_each(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: st
 
     Rows without a key stay where no document of their component has one, one row per fingerprint.
     """
-    gone = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
-    repeated = found.where(F.col(key) == F.col("component_id")).groupBy(key).count().where("count > 1").select(key)
-    repeated = checked_broadcast(repeated)
-    first = docs.join(checked_broadcast(gone.unionByName(repeated)), key, "left_anti").where(F.col(key).isNotNull())
+    by_key = found.where(F.col(key).isNotNull()).groupBy(key).agg(
+        F.max(F.col(key) == F.col("component_id")).alias("_stays"), F.count("*").alias("_n")
+    )
+    # Most keys stay and occur once; only the others are looked up.
+    odd = reliable(by_key.where(~F.col("_stays") | (F.col("_n") > 1)))
+    others = checked_broadcast(odd.select(key))
+    repeated = checked_broadcast(odd.where("_stays").select(key))
+    first = docs.join(others, key, "left_anti").where(F.col(key).isNotNull())
     again = docs.join(repeated, key, "left_semi").dropDuplicates([key])
     named = first.select(*docs.columns).unionByName(again.select(*docs.columns))
     bare = docs.where(F.col(key).isNull())
