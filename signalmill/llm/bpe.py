@@ -283,7 +283,7 @@ class Bpe:
         for start, end in blocks(texts, BLOCK_CHARS):
             block = [t or "" for t in texts[start:end]]
             if end - start == 1 and len(block[0]) > BLOCK_CHARS:
-                yield np.concatenate([self.encode([part])[0] for part in cut(block[0])])
+                yield np.concatenate([self.encode([part])[0] for part in cut(block[0], BLOCK_CHARS)])
             else:
                 yield from self.encode(block)
 

@@ -2,9 +2,9 @@
 
 Paragraphs (lines; long ones in overlapping pieces) are classified by multinomial logistic regression on
 hashed words and word pairs. It is trained on the notices below, each in many worn copies (words lost,
-replaced or framed by corpus text), against paragraphs of the corpus as the unknown class. A calibrated
-probability of "any licence" must reach a threshold, and the paragraph must hold enough of the words and
-word pairs of a template of the predicted family.
+replaced or framed by corpus text), against paragraphs of the corpus as the unknown class. Families whose
+calibrated probability reaches a threshold are predicted; of these the one of whose templates the paragraph
+holds most words and word pairs is confirmed, if it holds enough.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased; a version number is several
 words. Null, empty and wordless texts have no paragraph. Repeated rows give repeated results.
@@ -79,9 +79,10 @@ NO_FAMILY = (
 )
 FAMILIES = tuple(NOTICES)
 
-#: Hash buckets; words of a piece and how far pieces overlap; worn copies of each notice; corpus
-#: paragraphs of the unknown class, at most; least probability and template share.
-BUCKETS, PIECE, OVERLAP, COPIES, UNKNOWN_ROWS, KNOWN_FROM, SHARE_FROM = 1 << 15, 60, 30, 40, 3000, 0.5, 0.8
+#: Hash buckets; words of a piece, how far pieces overlap, and words around a piece that are compared too.
+BUCKETS, PIECE, OVERLAP, AROUND = 1 << 15, 20, 10, 40
+#: Worn copies of each notice; corpus paragraphs of the unknown class, at most; least probability and template share.
+COPIES, UNKNOWN_ROWS, KNOWN_FROM, SHARE_FROM = 40, 3000, 0.2, 0.8
 
 _CLASS = np.zeros(256, np.uint8)
 for _c in range(256):
@@ -113,6 +114,7 @@ class Pieces:
         step = (np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * (PIECE - OVERLAP)
         self.first, self.last = first[at] + step, np.minimum(first[at] + step + PIECE, last[at])
         self.text, self.line = text[at], number[at]
+        self.line_first, self.line_last = first[at], last[at]
 
     def buckets(self) -> tuple[np.ndarray, np.ndarray]:
         """Bucket of each word, and of each word with its follower."""
@@ -145,7 +147,9 @@ class Pieces:
         return out
 
     def spelt(self, i: int) -> list[bytes]:
-        return [self.low[a:b].tobytes() for a, b in zip(self.start[self.first[i] : self.last[i]], self.end[self.first[i] : self.last[i]])]
+        """A piece's words with those around it on its line: a template may be longer than a piece."""
+        own = slice(max(self.first[i] - AROUND, self.line_first[i]), min(self.last[i] + AROUND, self.line_last[i]))
+        return [self.low[a:b].tobytes() for a, b in zip(self.start[own], self.end[own])]
 
 
 def of_texts(texts: list[str | None]) -> Pieces:
@@ -172,23 +176,27 @@ class Classifier:
     slope: float
     shift: float
 
-    def of(self, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
-        """Most likely family of each piece, and the calibrated probability that it is a licence at all."""
+    def of(self, pieces: Pieces) -> np.ndarray:
+        """Calibrated probability of each family against the unknown class, for every piece."""
         z = pieces.linear(self.weights) + self.bias
-        family = z[:, :-1].argmax(axis=1)
-        margin = z[np.arange(len(z)), family] - z[:, -1]
-        return family, 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -500, 500)))
+        margin = z[:, :-1] - z[:, -1:]
+        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -500, 500)))
 
 
 def worn(notice: str, frame: np.ndarray, rng: np.random.Generator) -> str:
-    """A copy of a notice with some words lost or replaced, often between words of the corpus."""
+    """A piece of a copy of a notice with some words lost or replaced, often between words of the corpus."""
     own = notice.split()
     for _ in range(int(rng.integers(0, 1 + len(own) // 8))):
         at = int(rng.integers(len(own)))
         own[at] = frame[int(rng.integers(len(frame)))] if rng.random() < 0.5 else ""
-    before, after = (int(rng.integers(0, 12)) if rng.random() < 0.5 else 0 for _ in range(2))
+    own = [w for w in own if w]
+    before, after = (int(rng.integers(0, PIECE)) if rng.random() < 0.6 else 0 for _ in range(2))
     pick = lambda n: frame[rng.integers(len(frame), size=n)].tolist()
-    return " ".join([*pick(before), *own, *pick(after)])
+    whole = [*pick(before), *own, *pick(after)]
+    # A piece has half its words, or half the notice, from the notice at least.
+    most = max(0, min(len(whole) - PIECE, before + len(own) - min(len(own), PIECE) // 2 - 1))
+    at = int(rng.integers(max(0, min(most, before + min(len(own), PIECE) // 2 - PIECE)), most + 1))
+    return " ".join(whole[at : at + PIECE])
 
 
 def train(unknown: list[str], seed: int = 11) -> Classifier:
@@ -248,14 +256,17 @@ def scan(
                 pieces = Pieces(*text_bytes(column.slice(start, end - start)))
                 if not len(pieces.first):
                     continue
-                family, chance = own.of(pieces)
+                chance = own.of(pieces)
                 best: dict[tuple[int, int, str], tuple[float, float]] = {}
-                for i in np.flatnonzero(chance >= known_from).tolist():
-                    name = FAMILIES[family[i]]
-                    share = template_share(pieces.spelt(i), name)
+                for i in np.flatnonzero(chance.max(axis=1) >= known_from).tolist():
+                    words_of = pieces.spelt(i)
+                    share, found, k = max(
+                        (template_share(words_of, FAMILIES[k]), float(chance[i, k]), -k)
+                        for k in np.flatnonzero(chance[i] >= known_from).tolist()
+                    )
                     if share >= share_from:
-                        place = (int(pieces.text[i]), int(pieces.line[i]), name)
-                        best[place] = max(best.get(place, (0.0, 0.0)), (share, float(chance[i])))
+                        place = (int(pieces.text[i]), int(pieces.line[i]), FAMILIES[-k])
+                        best[place] = max(best.get(place, (0.0, 0.0)), (share, found))
                 if best:
                     found = sorted((*place, chance, share) for place, (share, chance) in best.items())
                     rows, *rest = zip(*found)

@@ -28,6 +28,8 @@ from signalmill.llm.quality_rules import fold, sample
 
 #: Terms by family, dimensions of the space, labelled rows in it at most, neighbours that vote.
 TERMS, DIMENSIONS, LABELLED_ROWS, NEIGHBOURS = (2048, 512, 512), 48, 3000, 15
+#: Cosines that differ by less are ties: equal vectors may differ in the last bits of a product.
+TIE = 1e-6
 #: Documents whose cosines are held at a time.
 COSINE_BLOCK = 512
 
@@ -48,7 +50,7 @@ class Space:
         for at in range(0, len(found), COSINE_BLOCK):
             cosine = np.maximum(found[at : at + COSINE_BLOCK] @ self.vectors.T, 0)
             last = np.partition(cosine, -nth, axis=1)[:, -nth, None]
-            weight = np.where(cosine >= last, cosine, 0)
+            weight = np.where(cosine >= last - TIE, cosine, 0)
             total = weight.sum(axis=1)
             some = total > 0
             out[at : at + COSINE_BLOCK][some] = (weight @ self.labels)[some] / total[some]

@@ -229,8 +229,8 @@ def parse(data: bytes) -> tuple[str, int | None, str | None, int, str, int | Non
 
 
 def _archives(spark: SparkSession, target: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(target)
-    return files.select(F.col("archive").cast("string").alias("archive"), "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true")
+    return files.load(target).select(F.regexp_extract("path", "archive=([^/]+)", 1).alias("archive"), "content")
 
 
 def read_archives(spark: SparkSession, target: str) -> DataFrame:
@@ -254,7 +254,7 @@ def read_archives(spark: SparkSession, target: str) -> DataFrame:
 def write_index(spark: SparkSession, target: str, index: str) -> DataFrame:
     """The sidecar index of the archives under ``target``, written and read again."""
     read_archives(spark, target).write.parquet(index)
-    return spark.read.parquet(index)
+    return spark.read.schema(INDEX).parquet(index)
 
 
 def fetch(spark: SparkSession, target: str, wanted: DataFrame) -> DataFrame:
