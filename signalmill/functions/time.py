@@ -42,6 +42,14 @@ def seconds(duration: Duration) -> float:
     return micros(duration) / 1_000_000
 
 
+def duration_text(duration: Duration) -> str:
+    """``24h0m0s``, ``5m0s`` or ``1.5s``: hours and minutes from the largest that is not zero on."""
+    hours, rest = divmod(micros(duration), 3_600_000_000)
+    minutes, rest = divmod(rest, 60_000_000)
+    text = f"{rest / 1_000_000:.6f}".rstrip("0").rstrip(".") + "s"
+    return f"{hours}h{minutes}m{text}" if hours else f"{minutes}m{text}" if minutes else text
+
+
 def instant(value: str | datetime | Column) -> Column:
     """A timestamp literal (UTC session time zone) from a string, datetime or column."""
     if isinstance(value, Column):

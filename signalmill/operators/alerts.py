@@ -67,7 +67,7 @@ def burn_description() -> Column:
 def slo_to_alerts(decisions: DataFrame, previous: DataFrame | None = None) -> DataFrame:
     """Decisions as alert events: every burning minute fires, the minute a severity ends resolves it.
 
-    ``slo`` is ``tenant:name``. ``previous`` holds (slo, minute, severity) of the last decision of
+    ``slo`` is ``tenant:name``; names may hold colons. ``previous`` holds (slo, minute, severity) of the last decision of
     earlier batches.
     """
     rows = decisions.withColumn("_new", F.lit(True))
@@ -83,7 +83,7 @@ def slo_to_alerts(decisions: DataFrame, previous: DataFrame | None = None) -> Da
         F.struct(F.col("_before").alias("severity"), F.lit(True).alias("resolved")),
     )
     events = rows.withColumn("_e", F.explode(F.filter(F.array(ended, fired), lambda e: e.isNotNull())))
-    name = F.substring_index("slo", ":", -1)
+    name = F.substr("slo", F.instr("slo", ":") + 1)
     return events.select(
         F.substring_index("slo", ":", 1).alias("tenant_id"),
         F.concat(F.lit("slo:"), name).alias("rule_id"),

@@ -69,11 +69,7 @@ def score_model(
     def batches(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = loader()
         for part in parts:
-            matrix = np.zeros((len(part), width), dtype="float32")
-            for i, vector in enumerate(part):
-                if vector is not None:
-                    cut = np.asarray(vector, dtype="float32")[:width]
-                    matrix[i, : len(cut)] = cut
+            matrix = np.stack(part.to_numpy()) if len(part) else np.zeros((0, width), dtype="float32")
             try:
                 scores = np.asarray(model(matrix), dtype="float64").reshape(len(part))
                 errors: list[str | None] = [None] * len(part)
@@ -88,7 +84,10 @@ def score_model(
 
     result = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("error", T.StringType())])
     predict = F.pandas_udf(batches, result)
-    out = df.withColumn("_p", predict(F.col(features)))
+    zeros = F.array_repeat(F.lit(0.0).cast("float"), F.lit(width))
+    given = F.coalesce(F.col(features).cast("array<float>"), F.array().cast("array<float>"))
+    fitted = F.slice(F.concat(F.transform(given, lambda x: F.coalesce(x, F.lit(0.0).cast("float"))), zeros), 1, width)
+    out = df.withColumn("_p", predict(fitted))
     failed = F.col("_p.error").isNotNull()
     return (
         out.withColumn("score", F.when(~failed, F.col("_p.score")))

@@ -63,6 +63,6 @@ def export_audit(df: DataFrame, prefix: str, batch_records: int = BATCH_RECORDS)
 
 
 def recent_audit(audit: DataFrame, tenant: str | None = None, k: int = LIST_DEFAULT) -> DataFrame:
-    """Newest records by id; the limit is kept within 1..500."""
-    k = LIST_DEFAULT if k <= 0 or k > LIST_MAX else k
+    """Newest records by id; the limit is kept within 1..500, none or a negative one is 100."""
+    k = LIST_DEFAULT if k <= 0 else min(k, LIST_MAX)
     return for_tenant(audit, tenant).orderBy(F.desc("id")).limit(k)

@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalmill.functions import match
-from signalmill.functions.time import Duration, bucket_number, micros, seconds
-from signalmill.operators.skew import checked_broadcast, fitting_step, nth_flagged
+from signalmill.functions.time import bucket_number, Duration, duration_text, micros, seconds
+from signalmill.operators.skew import LEAF_ROWS, checked_broadcast, fitting_ids, fitting_step, id_slot, nth_flagged
 
 KEYS = ["tenant_id", "service_name"]
 
@@ -65,41 +65,43 @@ def sliding_rate(
     time: str = "event_time",
     row_id: str = "signal_id",
     slice_width: Duration = "1s",
+    leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
     """Per row: flagged rows in the last N buckets up to and including it, and that per second.
 
     Rows are windowed per (key, slice) only; everything before the slice comes from counts per
     slice and per bucket, so a hot key is spread over its slices, which shrink while one of them is
-    too large.
+    too large; what shares one microsecond is split by id.
     """
     n = _buckets(window, bucket)
     if micros(bucket) % micros(slice_width):
         raise ValueError("bucket must be a multiple of slice_width")
-    slice_width = timedelta(microseconds=fitting_step(df, keys, time, slice_width))
-    rows = df.withColumn("_flag", F.coalesce(flag, F.lit(False)).cast("long")).withColumn(
-        "_s", bucket_number(F.col(time), slice_width)
+    slice_width = timedelta(microseconds=fitting_step(df, keys, time, slice_width, leaf_rows))
+    ids = fitting_ids(df, keys, time, row_id, micros(slice_width), leaf_rows)
+    rows = df.withColumn("_flag", F.coalesce(flag, F.lit(False)).cast("long")).withColumns(
+        {"_s": bucket_number(F.col(time), slice_width), "_i": id_slot(row_id, ids)}
     )
     per_slice = F.lit(micros(bucket) // micros(slice_width))
     counts = (
-        rows.groupBy(*keys, "_s")
+        rows.groupBy(*keys, "_s", "_i")
         .agg(F.sum("_flag").alias("_c"))
         .withColumn("_b", ((F.col("_s") - F.pmod("_s", per_slice)) / per_slice).cast("long"))
     )
     earlier = counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_c")).select(
         *keys, "_b", _earlier_sum(F.col("_c"), keys, n).alias("_base")
     )
-    in_bucket = Window.partitionBy(*keys, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    in_bucket = Window.partitionBy(*keys, "_b").orderBy("_s", "_i").rowsBetween(Window.unboundedPreceding, -1)
     before = (
         counts.withColumn("_in", F.coalesce(F.sum("_c").over(in_bucket), F.lit(0)))
         .join(earlier, [*keys, "_b"])
-        .select(*keys, "_s", (F.col("_base") + F.col("_in")).alias("_before"))
+        .select(*keys, "_s", "_i", (F.col("_base") + F.col("_in")).alias("_before"))
     )
-    running = Window.partitionBy(*keys, "_s").orderBy(time, row_id).rowsBetween(Window.unboundedPreceding, 0)
+    running = Window.partitionBy(*keys, "_s", "_i").orderBy(time, row_id).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        rows.join(before, [*keys, "_s"])
+        rows.join(before, [*keys, "_s", "_i"])
         .withColumn("n", F.col("_before") + F.sum("_flag").over(running))
         .withColumn("rate", F.col("n") / F.lit(seconds(window)))
-        .drop("_flag", "_s", "_before")
+        .drop("_flag", "_s", "_i", "_before")
     )
 
 
@@ -206,6 +208,7 @@ def high_error_rate(
             (F.lit(needed) / span).alias("error_rate"),
             (F.lit(needed) / total).alias("error_ratio"),
             (total / span).alias("total_rate"),
+            F.lit(duration_text(window)).alias("window"),
         )
     )
 
@@ -271,6 +274,7 @@ def high_latency(
         F.col("_row.signal_id").alias("signal_id"),
         F.col("_row.duration_ms").alias("peak_latency"),
         F.lit(float(threshold_ms)).alias("threshold"),
+        F.lit(duration_text(window)).alias("window"),
     )
 
 

@@ -31,13 +31,25 @@ def split(df: DataFrame, good: Column, reason: str) -> tuple[DataFrame, DataFram
     return df.where(passes), df.where(~passes).withColumn("reason", F.lit(reason))
 
 
+def readable(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that could be read, and those that still carry the text of an unreadable line (reason ``decode``)."""
+    if "_corrupt_record" not in df.columns:
+        return df, df.limit(0).withColumn("reason", F.lit("decode"))
+    return split(df, F.col("_corrupt_record").isNull(), "decode")
+
+
 def decode_gate(df: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """A non-empty payload must be JSON: for metrics, or for every type when ``strict``."""
+    """A non-empty payload must be JSON: for metrics, or for every type when ``strict``.
+
+    Unreadable lines do not pass either.
+    """
     text = F.decode(F.col("payload"), "UTF-8")
     empty = F.col("payload").isNull() | (F.octet_length("payload") == 0)
     good = empty | F.try_parse_json(text).isNotNull()
     if not strict:
         good = good | (F.col("type") != "METRIC")
+    if "_corrupt_record" in df.columns:
+        good = good & F.col("_corrupt_record").isNull()
     return split(df, good, "decode")
 
 

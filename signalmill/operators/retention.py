@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from signalmill.functions.time import instant
 from signalmill.operators.skew import checked_broadcast
 from signalmill.schemas import SOURCES, TIME_COLUMN
-from signalmill.session import reliable, scratch_path
+from signalmill.session import listed, reliable, remove, rename
 
 # Default (hot, total) days and the largest allowed number of days per table.
 DEFAULT_DAYS = {"metrics": (30, 90), "logs": (14, 30), "traces": (7, 30)}
@@ -76,51 +76,71 @@ def retention_apply(
     as_of: str,
     partitions: tuple[str, ...] = ("date", "tenant_id"),
 ) -> DataFrame:
-    """Move cold rows and drop expired ones in a hot table partitioned by ``partitions`` (day first).
+    """Move hot rows that are due to the cold store and drop rows past their total age from both.
 
-    Only days that lose rows are rewritten. Cold rows go under a ``run`` partition named by
-    ``as_of``; a repeated run finds fewer rows in the hot table and leaves what it wrote before.
-    Returns per day the rows kept, moved and dropped.
+    Both stores are partitioned by ``partitions`` (day first); only days that change are replaced. The
+    new content of those days is first staged beside each store, then a plan is written, then whole days
+    are swapped. A run that finds the plan of an interrupted one swaps its days first, so no row is lost
+    or stored twice wherever a run breaks off. Returns per day the hot rows kept and moved, and the rows
+    dropped from either store.
     """
     day = partitions[0]
+    hot, cold = hot_path.rstrip("/"), cold_path.rstrip("/")
+    _finish(spark, hot, cold, day)
     schema = T.StructType([*SOURCES[table].fields, T.StructField(day, T.DateType())])
-    tiered = retention_tier(spark.read.schema(schema).parquet(hot_path), table, specs, as_of=as_of)
-    per_partition = reliable(
-        tiered.groupBy(*partitions).agg(
-            F.count_if(F.col("tier") == "hot").alias("kept"),
-            F.count_if(F.col("tier") == "cold").alias("moved"),
-            F.count_if(F.col("tier") == "expired").alias("dropped"),
-        )
-    )
-    report = per_partition.groupBy(day).agg(*[F.sum(c).alias(c) for c in ("kept", "moved", "dropped")])
+
+    def tiered(path: str) -> DataFrame:
+        stored = any(name.startswith(f"{day}=") for name in listed(spark, path))
+        rows = spark.read.schema(schema).parquet(path) if stored else spark.createDataFrame([], schema)
+        return retention_tier(rows, table, specs, as_of=as_of).select(*schema.names, "tier")
+
+    in_hot, in_cold = tiered(hot), tiered(cold)
+    is_tier = lambda *names: F.count_if(F.col("tier").isin(*names))
+    hot_days = in_hot.groupBy(day).agg(is_tier("hot").alias("kept"), is_tier("cold").alias("moved"), is_tier("expired").alias("_gone"))
+    cold_days = in_cold.groupBy(day).agg(is_tier("expired").alias("_cold_gone"), is_tier("hot", "cold").alias("_cold_kept"))
+    zero = F.lit(0).cast("long")
     # One row per day of the table's lifetime.
-    days = {row[day]: row["kept"] for row in report.where("moved + dropped > 0").collect()}
-    if not days:
-        return report
-    affected = tiered.where(F.col(day).isin(list(days))).select(*schema.names, "tier")
-    run = F.lit(str(as_of).replace(" ", "T").replace(":", ""))
-
-    def overwrite(rows: DataFrame, path: str, by: tuple[str, ...]) -> None:
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
-
-    overwrite(affected.where("tier = 'cold'").drop("tier").withColumn("run", run), cold_path, ("run", *partitions))
-    # The hot table is read while it is rewritten, so kept rows pass through a staged copy.
-    staged = scratch_path(spark, "retention")
-    affected.where("tier = 'hot'").drop("tier").write.partitionBy(*partitions).parquet(staged)
-    if any(days.values()):
-        overwrite(spark.read.schema(schema).parquet(staged), hot_path, partitions)
-    for date, kept in days.items():
-        if not kept:
-            _drop_folder(spark, f"{hot_path.rstrip('/')}/{day}={date}")
-    emptied = per_partition.where((F.col("kept") == 0) & F.col(day).isin([d for d, kept in days.items() if kept]))
-    for row in emptied.select(*partitions).toLocalIterator():
-        _drop_folder(spark, "/".join([hot_path.rstrip("/"), *[f"{c}={row[c]}" for c in partitions]]))
-    return report
-
-
-def _drop_folder(spark: SparkSession, path: str) -> None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    report = reliable(
+        hot_days.join(cold_days, day, "full_outer")
+        .na.fill(0, ["kept", "moved", "_gone", "_cold_gone", "_cold_kept"])
+        .withColumn("dropped", F.coalesce(F.col("_gone") + F.col("_cold_gone"), zero))
+    )
+    changing = report.where("moved + dropped > 0")
+    days = [row[day] for row in changing.select(day).collect()]
+    if days:
+        of_days = F.col(day).isin(days)
+        moved = in_hot.where(of_days & (F.col("tier") == "cold"))
+        kept = in_cold.where(of_days & (F.col("tier") != "expired"))
+        for rows, path in ((in_hot.where(of_days & (F.col("tier") == "hot")), hot), (kept.unionByName(moved), cold)):
+            rows.drop("tier").write.mode("overwrite").partitionBy(*partitions).parquet(f"{path}/{_STAGE}")
+        changing.select(
+            day, F.col("kept").alias("hot_rows"), (F.col("_cold_kept") + F.col("moved")).alias("cold_rows")
+        ).write.mode("overwrite").parquet(f"{hot}/{_PLAN}")
+        _finish(spark, hot, cold, day)
+    return report.where("kept + moved + dropped > 0").select(day, "kept", "moved", "dropped")
+
+
+# Folders beside a store's days; Spark's readers pass over names that begin with an underscore.
+_STAGE, _PLAN = "_retention", "_retention_plan"
+
+
+def _finish(spark: SparkSession, hot: str, cold: str, day: str) -> None:
+    """Swap the days of a complete plan, if there is one; days that were swapped before stay as they are."""
+    if "_SUCCESS" not in listed(spark, f"{hot}/{_PLAN}"):
+        return
+    for row in spark.read.parquet(f"{hot}/{_PLAN}").collect():
+        for path, rows in ((cold, row["cold_rows"]), (hot, row["hot_rows"])):
+            _swap(spark, path, f"{day}={row[day]}", rows)
+    for path in (f"{hot}/{_PLAN}", f"{hot}/{_STAGE}", f"{cold}/{_STAGE}"):
+        remove(spark, path)
+
+
+def _swap(spark: SparkSession, path: str, name: str, rows: int) -> None:
+    staged = name in listed(spark, f"{path}/{_STAGE}")
+    if staged or not rows:
+        remove(spark, f"{path}/{name}")
+    if staged:
+        rename(spark, f"{path}/{_STAGE}/{name}", f"{path}/{name}")
 
 
 def storage_tiers(spark: SparkSession, roots: dict[tuple[str, str], str]) -> DataFrame:

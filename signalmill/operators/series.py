@@ -119,7 +119,7 @@ def over_time(
     """``avg|sum|min|max|count|quantile`` over time, evaluated at every step.
 
     Without ``lookback`` the range is the step bucket. With it (a multiple of the step) the value
-    at bucket ``t`` covers the ``lookback / step`` whole buckets ending with that one.
+    at bucket ``t`` covers the ``lookback / step`` whole buckets ending with that one, also those before ``t0``.
     """
     if lookback is not None and micros(lookback) != micros(step):
         times, remainder = divmod(micros(lookback), micros(step))
@@ -135,7 +135,10 @@ def over_time(
 
 def _looking_back(df, metric, fn, matchers, by, t0, t1, step, tenant, times, phi):
     groups = ["t", *map(match.label_alias, by)]
-    rows = _selected(df, metric, matchers, t0, t1, tenant).select(_bucket(step), *_label_columns(by), "value")
+    # The first points look back behind t0: samples are read from there, points are given from t0's bucket on.
+    first = bucket_start(instant(t0), step) if t0 is not None else None
+    earliest = F.timestamp_micros(F.unix_micros(first) - F.lit((times - 1) * micros(step))) if t0 is not None else None
+    rows = _selected(df, metric, matchers, earliest, t1, tenant).select(_bucket(step), *_label_columns(by), "value")
     if fn != "quantile":
         rows = rows.groupBy(*groups).agg(
             F.sum("value").alias("_s"), F.count("value").alias("_c"),
@@ -153,6 +156,8 @@ def _looking_back(df, metric, fn, matchers, by, t0, t1, step, tenant, times, phi
     )
     if last is not None:
         shifted = shifted.where(F.col("t") <= last)
+    if first is not None:
+        shifted = shifted.where(F.col("t") >= first)
     if fn == "quantile":
         return exact_quantiles(shifted, groups, "value", {"v": phi})
     merged = {

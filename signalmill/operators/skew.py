@@ -12,8 +12,11 @@ Three ideas recur:
 
 from __future__ import annotations
 
+import functools
+import operator
 from datetime import timedelta
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +52,38 @@ def fitting_step(
     return width
 
 
+def id_slot(row_id: str, width: int) -> Column:
+    """Rows of equal time by id: a slot of ``width`` consecutive ids, or one slot where ``width`` is 0."""
+    return F.floor(F.col(row_id) / F.lit(width)).cast("long") if width else F.lit(0).cast("long")
+
+
+def fitting_ids(
+    df: DataFrame, keys: list[str], time: str, row_id: str, width_us: int, leaf_rows: int = LEAF_ROWS
+) -> int:
+    """Width of id slots that split what shares one microsecond, 0 where times alone are fine enough.
+
+    Only whole-number ids can be split.
+    """
+    if width_us > 1 or df.schema[row_id].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        return 0
+    at = [*keys, F.unix_micros(time).alias("_b")]
+    crowded = df.groupBy(*at).agg(F.count("*").alias("_n"), F.min(row_id).alias("_low"), F.max(row_id).alias("_high"))
+    crowded = checked_broadcast(crowded.where(F.col("_n") > leaf_rows))
+    spread = crowded.agg(F.max(F.col("_high") - F.col("_low"))).head()[0]
+    if spread is None:
+        return 0
+    same = [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in keys] + [F.unix_micros(time) == F.col("_c_b")]
+    names = crowded.select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.col("_b").alias("_c_b"))
+    inside = df.join(names, functools.reduce(operator.and_, same), "left_semi").select(*at, row_id)
+    width = max(1, int(spread) // 64)
+    while width > 1:
+        largest = inside.groupBy(*keys, "_b", id_slot(row_id, width).alias("_i")).count().agg(F.max("count")).head()[0]
+        if largest <= leaf_rows:
+            break
+        width = max(1, width // 64)
+    return width
+
+
 def nth_flagged(
     df: DataFrame,
     group: list[str],
@@ -66,7 +101,7 @@ def nth_flagged(
     rows of the group up to and including the found one. Groups with fewer flagged rows give no row.
 
     Rows are counted per time bucket and only the bucket with the wanted row is looked into, first
-    by smaller buckets while it holds more than ``leaf_rows`` rows.
+    by smaller buckets while it holds more than ``leaf_rows`` rows, and by id slots within one microsecond.
     """
     rows = df.select(*group, time, row_id, F.coalesce(flag, F.lit(False)).cast("long").alias("_flag"))
     zero = F.lit(0).cast("long")
@@ -77,7 +112,14 @@ def nth_flagged(
         hit = checked_broadcast(_bucket_with_nth(rows, inside, f"_sub{width}", hit))
         inside.append(f"_sub{width}")
         largest = hit.agg(F.max("_rows")).head()[0]
-        if width == 1 or largest is None or largest <= leaf_rows:
+        if largest is None or largest <= leaf_rows:
+            break
+        if width == 1:
+            slot = fitting_ids(rows, group, time, row_id, 1, leaf_rows)
+            if slot:
+                rows = rows.withColumn("_subid", id_slot(row_id, slot))
+                hit = checked_broadcast(_bucket_with_nth(rows, inside, "_subid", hit))
+                inside.append("_subid")
             break
         width = max(1, width // 1000)
     running = Window.partitionBy(*inside).orderBy(time, row_id).rowsBetween(Window.unboundedPreceding, 0)
@@ -121,38 +163,47 @@ def ordered_chunks(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
 
 
 def previous_value(
-    df: DataFrame, keys: list[str], time: str, row_id: str, col: str, out: str, step: Duration = "1m"
+    df: DataFrame, keys: list[str], time: str, row_id: str, col: str, out: str, step: Duration = "1m",
+    leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
     """``lag(col)`` per key in (time, id) order, windowed per (key, time bucket).
 
     Across buckets the last value comes from a per-bucket aggregate, so a hot key is spread over
-    its buckets; the step shrinks while one of them is too large.
+    its buckets; the step shrinks while one of them is too large, and rows of one microsecond are
+    split by id.
     """
-    width = timedelta(microseconds=fitting_step(df, keys, time, step))
-    bucketed = df.withColumn("_b", bucket_number(F.col(time), width))
+    width = timedelta(microseconds=fitting_step(df, keys, time, step, leaf_rows))
+    ids = fitting_ids(df, keys, time, row_id, micros(width), leaf_rows)
+    bucketed = df.withColumns({"_b": bucket_number(F.col(time), width), "_i": id_slot(row_id, ids)})
     order = F.struct(time, row_id)
     last = (
-        bucketed.groupBy(*keys, "_b")
+        bucketed.groupBy(*keys, "_b", "_i")
         .agg(F.max_by(F.struct(F.col(col).alias("v")), order).alias("_last"))
-        .withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_b")))
-        .select(*keys, "_b", "_carry")
+        .withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_b", "_i")))
+        .select(*keys, "_b", "_i", "_carry")
     )
-    inside = Window.partitionBy(*keys, "_b").orderBy(time, row_id)
+    inside = Window.partitionBy(*keys, "_b", "_i").orderBy(time, row_id)
     return (
-        bucketed.join(last, [*keys, "_b"])
+        bucketed.join(last, [*keys, "_b", "_i"])
         .withColumn(
             out,
             F.when(F.row_number().over(inside) == 1, F.col("_carry.v")).otherwise(F.lag(col).over(inside)),
         )
-        .drop("_b", "_carry")
+        .drop("_b", "_i", "_carry")
     )
 
 
 def _slot(value: Column, low: Column, high: Column, slots: int) -> Column:
-    """Monotone slot of ``value`` among ``slots`` equal parts of [low, high]; halves avoid overflow."""
+    """Monotone slot of ``value`` among ``slots`` equal parts of [low, high]; halves avoid overflow.
+
+    Infinities have slots of their own at the ends, so what is left between them is finite next time.
+    """
+    most = F.lit(float(np.finfo(np.float64).max))
+    low, high = F.greatest(low, -most), F.least(high, most)
     part = F.floor((value / 2 - low / 2) / (high / 2 - low / 2) * F.lit(slots))
     inside = F.greatest(F.lit(0), F.least(F.lit(slots - 1), part))
-    return F.when(high > low, inside).otherwise(F.lit(0)).cast("long")
+    ends = F.when(value > most, slots).when(value < -most, -1)
+    return ends.when(high > low, inside).otherwise(F.lit(0)).cast("long")
 
 
 def exact_quantiles(
@@ -208,7 +259,9 @@ def exact_quantiles(
     for name, rank in rank_of.items():
         low = F.element_at("_at", F.floor(rank).cast("long"))
         high = F.element_at("_at", F.ceil(rank).cast("long"))
-        out.append((low + (high - low) * (rank - F.floor(rank))).alias(name))
+        part = rank - F.floor(rank)
+        # Equal neighbours may be infinite, as may a greater one that takes no part.
+        out.append(F.when((low == high) | (part == 0) | (low == float("-inf")), low).otherwise(low + (high - low) * part).alias(name))
     return ranks.join(found, keyed).select(*by, *out)
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from signalmill.functions import match
 from signalmill.operators import alerts, audit, retention, slo
 from signalmill.operators import cep
 from signalmill.plans import views
@@ -12,7 +16,7 @@ from signalmill.plans.rule_queries import (
     DECISION_SQL, HIGH_ERROR_SQL, LATENCY_MS, WINDOW, _burns, _error_events,
 )
 from signalmill.plans.views import AS_OF, SILENCE_COVERS
-from signalmill.session import scratch_path
+from signalmill.session import listed, scratch_path
 from signalmill.sources import tables
 
 _FP = "sha256(concat(tenant_id, chr(0), rule_id, chr(0), 'service=', service_name, ';'))"
@@ -147,15 +151,19 @@ def recent_alerts(spark, sf):
     "cep_to_alerts",
     f"""WITH fired AS ({HIGH_ERROR_SQL})
     SELECT tenant_id, 'cep:HIGH_ERROR_RATE' AS rule_id, 'critical' AS severity,
-           concat('HIGH_ERROR_RATE on ', service_name) AS title, service_name AS service, service_name AS noted,
+           concat('HIGH_ERROR_RATE on ', service_name) AS title,
+           concat('event_type=HIGH_ERROR_RATE,service=', service_name) AS labels,
+           concat('service=', service_name, ',window=', "window") AS noted,
            false AS resolved, event_time AS occurred_at FROM fired""",
 )
 def cep_to_alerts(spark, sf):
     events = _error_events(spark, sf).withColumn("event_type", F.lit(cep.HIGH_ERROR_RATE))
-    out = alerts.cep_to_alerts(events, ["error_rate", "error_ratio", "total_rate"])
-    return out.withColumn("service", F.element_at("labels", F.lit("service"))).withColumn(
-        "noted", F.element_at("annotations", F.lit("service"))
-    ).drop("labels", "annotations", "description")
+    out = alerts.cep_to_alerts(events, ["error_rate", "error_ratio", "total_rate", "window"])
+    # The engines print doubles differently, so the measured annotations and the text made of them stay out.
+    noted = F.map_filter("annotations", lambda k, _: k.isin("service", "window"))
+    return out.withColumns({"labels": match.labels_text("labels"), "noted": match.labels_text(noted)}).drop(
+        "annotations", "description"
+    )
 
 
 @query(
@@ -212,40 +220,76 @@ def retention_tier(spark, sf):
     return rows.select("span_id", "tier")
 
 
-def _apply_retention(spark, sf):
-    root, cold = scratch_path(spark, "hot"), scratch_path(spark, "cold")
-    tables.write_source(views.logs(spark, sf), "logs", root)
+def _tiered(table: str, view: str, at: str, as_of: str = AS_OF) -> str:
+    """Rows of a table with their tier; the specs have the same days for every table."""
+    hot, total = retention.DEFAULT_DAYS[table]
+    return f"""SELECT '{table}' AS table_name, r.event_id, CAST(CAST(r.{at} AS DATE) AS VARCHAR) AS date, CASE
+        WHEN epoch_us(TIMESTAMP '{as_of}') - epoch_us(date_trunc('second', r.{at})) >= 86400000000 * coalesce(nullif(v.total, 0), {total}) THEN 'expired'
+        WHEN epoch_us(TIMESTAMP '{as_of}') - epoch_us(date_trunc('second', r.{at})) >= 86400000000 * coalesce(nullif(v.hot, 0), {hot}) THEN 'cold'
+        ELSE 'hot' END AS tier FROM {view} r LEFT JOIN valid v ON v.tenant_id = r.tenant_id"""
+
+
+def _all_tiered(as_of: str = AS_OF) -> str:
+    return " UNION ALL ".join(
+        _tiered(table, view, at, as_of)
+        for table, view, at in (("metrics", "metrics_v", "timestamp"), ("logs", "logs_v", "timestamp"), ("traces", "spans_v", "start_time"))
+    )
+
+
+def _stores(spark, sf, *as_of: str):
+    """Per table: the reports of successive runs, the hot and the cold path."""
+    out = {}
     specs = views.retention_specs(spark, sf)
-    report = retention.retention_apply(spark, f"{root}/logs", cold, "logs", specs, as_of=AS_OF)
-    return report, f"{root}/logs", cold
+    for table, rows in (("metrics", views.metrics), ("logs", views.logs), ("traces", views.spans)):
+        root, cold = scratch_path(spark, "hot"), scratch_path(spark, "cold")
+        tables.write_source(rows(spark, sf), table, root)
+        reports = [
+            retention.retention_apply(spark, f"{root}/{table}", cold, table, specs, as_of=at) for at in as_of
+        ]
+        out[table] = (reports, f"{root}/{table}", cold)
+    return out
 
 
 @query(
     "retention_apply",
-    f"""WITH {_TIERED}
-    SELECT CAST(CAST(timestamp AS DATE) AS VARCHAR) AS date, count(*) FILTER (tier = 'hot') AS kept,
+    f"""WITH {_VALID_SPECS}, placed AS ({_all_tiered()})
+    SELECT table_name, date, count(*) FILTER (tier = 'hot') AS kept,
            count(*) FILTER (tier = 'cold') AS moved, count(*) FILTER (tier = 'expired') AS dropped
-    FROM placed GROUP BY 1""",
+    FROM placed GROUP BY 1, 2""",
 )
 def retention_apply(spark, sf):
-    return _apply_retention(spark, sf)[0]
+    parts = [r[-1].withColumn("table_name", F.lit(t)) for t, (r, _, _) in _stores(spark, sf, AS_OF).items()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+_EARLIER = "2024-01-22 00:00:00"
 
 
 @query(
     "retention_stores",
-    f"""WITH {_TIERED} SELECT tier AS store, span_id FROM placed WHERE tier <> 'expired'""",
+    f"""WITH {_VALID_SPECS}, placed AS ({_all_tiered()})
+    SELECT table_name, tier AS store, date, count(*) AS n FROM placed WHERE tier <> 'expired' GROUP BY 1, 2, 3""",
 )
 def retention_stores(spark, sf):
-    """The rows the hot and the cold store hold after the retention job."""
-    _, hot, cold = _apply_retention(spark, sf)
-    parts = [spark.read.parquet(path).select(F.lit(store).alias("store"), "span_id") for store, path in (("hot", hot), ("cold", cold))]
-    return parts[0].unionByName(parts[1])
+    """The rows that both stores of every table hold after two runs."""
+    parts = [
+        spark.read.parquet(path).select(F.lit(table).alias("table_name"), F.lit(store).alias("store"), F.col("date").cast("string").alias("date"))
+        for table, (_, hot, cold) in _stores(spark, sf, _EARLIER, AS_OF).items()
+        for store, path in (("hot", hot), ("cold", cold)) if any(n.startswith("date=") for n in listed(spark, path))
+    ]
+    return functools.reduce(DataFrame.unionByName, parts).groupBy("table_name", "store", "date").agg(F.count("*").alias("n"))
 
 
-@query("storage_tiers")
+@query(
+    "storage_tiers",
+    f"""WITH {_VALID_SPECS}, placed AS ({_all_tiered()})
+    SELECT DISTINCT table_name, tier, true AS has_files, true AS has_bytes FROM placed WHERE tier <> 'expired'""",
+)
 def storage_tiers(spark, sf):
-    _, hot, cold = _apply_retention(spark, sf)
-    return retention.storage_tiers(spark, {("logs", "hot"): hot, ("logs", "cold"): cold})
+    """Which stores hold files; their number and size depend on how the writer splits them."""
+    roots = {(t, tier): path for t, (_, hot, cold) in _stores(spark, sf, AS_OF).items() for tier, path in (("hot", hot), ("cold", cold))}
+    found = retention.storage_tiers(spark, roots)
+    return found.select("table_name", "tier", (F.col("files") > 0).alias("has_files"), (F.col("bytes") > 0).alias("has_bytes"))
 
 
 _LINES = """lines AS (SELECT *, id // 1000 AS batch, concat('{"id":', CAST(id AS VARCHAR), ',"tenant_id":"', tenant_id, '","actor":"', actor,

@@ -106,21 +106,18 @@ def metric_payload(spark, sf):
     return clean.metric_payload(kept.where("type = 'METRIC'")).select(_event_id(), "metric_name", "value")
 
 
-@query(
-    "route_signals",
-    f"""WITH {_GATED}
+ROUTED_SQL = f"""WITH {_GATED}
     SELECT 'metrics' AS target, event_id, tenant_id, CASE event_type WHEN 'click' THEN 'm_click' ELSE 'm_purchase' END AS name,
            service_name AS service, epoch_us(ts) AS at,
            round(CASE event_type WHEN 'click' THEN CAST(user_id AS DOUBLE) ELSE value END, 6) AS number
     FROM gated WHERE reason IS NULL AND type = 'METRIC'
     UNION ALL SELECT 'logs', event_id, tenant_id, payload, service_name, epoch_us(ts), 0 FROM gated WHERE reason IS NULL AND type = 'LOG'
     UNION ALL SELECT 'traces', event_id, tenant_id, event_type, service_name, epoch_us(ts), round(round(value * 1000000), 6)
-    FROM gated WHERE reason IS NULL AND type = 'TRACE'""",
-)
-def route_signals(spark, sf):
-    kept, _, _ = _gated(spark, sf)
-    metrics, logs, traces = clean.route_signals(kept)
+    FROM gated WHERE reason IS NULL AND type = 'TRACE'"""
+
 
+def routed_rows(metrics, logs, traces):
+    """The three tables in one shape."""
     def rows(df, target, attributes, name, service, at, number):
         event_id = match.label(attributes, "event_id").cast("long").alias("event_id")
         return df.select(
@@ -137,6 +134,13 @@ def route_signals(spark, sf):
     )
 
 
+@query("route_signals", ROUTED_SQL)
+def route_signals(spark, sf):
+    kept, _, _ = _gated(spark, sf)
+    return routed_rows(*clean.route_signals(kept))
+
+
+
 _LINE_SQL = """CASE event_type
     WHEN 'click' THEN concat('  m_click:', CAST(user_id AS VARCHAR), '|c|@0.', CAST(user_id % 10 AS VARCHAR), '|#user:8,env:prod,flag,env:test')
     WHEN 'view' THEN concat('m_view:', CAST(user_id AS VARCHAR), '|ms|@2|#user:', CAST(user_id AS VARCHAR))
@@ -155,29 +159,33 @@ def statsd_lines(spark, sf):
         .when(kind == "signup", F.concat(F.lit("m_signup "), user, F.lit("|c")))
         .otherwise(F.concat(F.lit(":"), user, F.lit("|s")))
     )
-    return views.base(spark, sf).select(line.alias("value"))
+    return views.base(spark, sf).select(line.alias("value"), "ts")
 
 
 @query(
     "statsd_metrics",
-    f"""WITH lines AS (SELECT event_type, user_id, {_LINE_SQL} AS line FROM base),
+    f"""WITH lines AS (SELECT event_type, user_id, ts, {_LINE_SQL} AS line FROM base),
     good AS (SELECT * FROM lines WHERE event_type IN ('click', 'view') OR (event_type = 'purchase' AND user_id % 2 = 0))
     SELECT 'metric' AS kind, concat('m_', event_type) AS name,
            CASE event_type WHEN 'click' THEN 'c' WHEN 'view' THEN 'ms' ELSE 'g' END AS metric_type,
            CAST(user_id AS DOUBLE) AS value,
            CASE WHEN event_type = 'click' AND user_id % 10 > 0 THEN round((user_id % 10) / 10, 6) END AS sample_rate,
-           CASE event_type WHEN 'click' THEN 'tag.env=test,tag.flag=,tag.user=8'
-                WHEN 'view' THEN concat('tag.user=', CAST(user_id AS VARCHAR)) ELSE '' END AS labels
+           CASE event_type
+                WHEN 'click' THEN concat('metric_type=c,', CASE WHEN user_id % 10 > 0 THEN concat('sample_rate=0.', CAST(user_id % 10 AS VARCHAR), ',') ELSE '' END,
+                                         'source=statsd,tag.env=test,tag.flag=,tag.user=8')
+                WHEN 'view' THEN concat('metric_type=ms,source=statsd,tag.user=', CAST(user_id AS VARCHAR))
+                ELSE 'metric_type=g,source=statsd' END AS labels,
+           epoch_us(ts) AS timestamp
     FROM good
     UNION ALL
-    SELECT 'reject', line, NULL, NULL, NULL, NULL FROM lines
+    SELECT 'reject', line, NULL, NULL, NULL, NULL, NULL FROM lines
     WHERE NOT (event_type IN ('click', 'view') OR (event_type = 'purchase' AND user_id % 2 = 0))""",
 )
 def statsd_metrics(spark, sf):
-    metrics, rejects = statsd.statsd_metrics(statsd_lines(spark, sf), "t0")
+    metrics, rejects = statsd.statsd_metrics(statsd_lines(spark, sf), "t0", received_at=F.col("ts"))
     good = metrics.select(
         F.lit("metric").alias("kind"), F.col("metric_name").alias("name"), "metric_type", "value", "sample_rate",
-        match.labels_text("labels").alias("labels"),
+        match.labels_text("labels").alias("labels"), "timestamp",
     )
     bad = rejects.select(F.lit("reject").alias("kind"), F.col("line").alias("name"))
     return good.unionByName(bad, allowMissingColumns=True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from signalmill.functions.time import duration_text
 from signalmill.operators import anomaly, cep, ewma, sampling, slo
 from signalmill.plans import views
 from signalmill.plans.registry import query
@@ -15,9 +16,16 @@ ERROR_RATE = 6e-5
 LATENCY_MS = 200.0
 SLO_TARGET = 0.9
 
-# Early baselines are short decimals that can lie exactly between two rounded values, where the last
-# bit decides; both engines shift them off that point before rounding.
-_NUDGE = 1e-9
+
+# Early baselines are short decimals that can lie exactly between two values of six digits, where the
+# last bit of a double would decide. Both engines round them as decimals of nine digits, half up.
+def settled_sql(value: str) -> str:
+    return f"CAST(round(CAST({value} AS DECIMAL(38, 9)), 6) AS DOUBLE)"
+
+
+def settled(df, *columns: str):
+    return df.withColumns({c: F.round(F.col(c).cast("decimal(38,9)"), 6).cast("double") for c in columns})
+
 
 _RANKED = f"""rows_m AS (SELECT *, epoch_us(event_time) // 60000000 AS m FROM rule_rows),
 counted AS (SELECT *,
@@ -40,12 +48,12 @@ slow AS (SELECT *, lag(peak >= {LATENCY_MS}) OVER (PARTITION BY tenant_id, servi
 HIGH_ERROR_SQL = f"""WITH {_RANKED}
 SELECT tenant_id, service_name, epoch_us(event_time) AS event_time, signal_id,
        round(errs / {WINDOW_S}, 6) AS error_rate, round(errs / total, 6) AS error_ratio,
-       round(total / {WINDOW_S}, 6) AS total_rate
+       round(total / {WINDOW_S}, 6) AS total_rate, '{duration_text(WINDOW)}' AS "window"
 FROM edges WHERE breach AND NOT coalesce(was, false)"""
 
 HIGH_LATENCY_SQL = f"""WITH {_RANKED}
 SELECT tenant_id, service_name, epoch_us(event_time) AS event_time, signal_id,
-       round(peak, 6) AS peak_latency, CAST({LATENCY_MS} AS DOUBLE) AS threshold
+       round(peak, 6) AS peak_latency, CAST({LATENCY_MS} AS DOUBLE) AS threshold, '{duration_text(WINDOW)}' AS "window"
 FROM slow WHERE peak >= {LATENCY_MS} AND NOT coalesce(was, false)"""
 
 
@@ -118,13 +126,13 @@ _Z = "CASE WHEN f.rn - 1 < 30 OR sqrt(v0) < 1e-9 THEN 0.0 ELSE (x - m0) / sqrt(v
 @query(
     "ewma_baseline",
     f"""{_SPAN_FOLD}
-    SELECT tenant_id, service_name, signal_id, round(x, 6) AS duration_ms, round(m + {_NUDGE}, 6) AS mean,
-           round(v + {_NUDGE}, 6) AS var, rn AS n FROM fold""",
+    SELECT tenant_id, service_name, signal_id, round(x, 6) AS duration_ms, {settled_sql('m')} AS mean,
+           {settled_sql('v')} AS var, rn AS n FROM fold""",
 )
 def ewma_baseline(spark, sf):
     rows = views.sampler_rows(spark, sf).select("tenant_id", "service_name", "signal_id", "event_time", "duration_ms")
     state = ewma.ewma_baseline(rows, ["tenant_id", "service_name"], "duration_ms", "event_time", "signal_id")
-    return state.drop("event_time").withColumns({c: F.col(c) + _NUDGE for c in ("mean", "var")})
+    return settled(state.drop("event_time"), "mean", "var")
 
 
 @query(
@@ -207,13 +215,13 @@ _METRIC_FOLD = _fold(
 _ANOMALY_SQL = f"""{_METRIC_FOLD},
     z AS (SELECT *, CASE WHEN rn < 50 OR sqrt(v) < 1e-9 THEN 0.0 ELSE (x - m) / sqrt(v) END AS score FROM fold)
     SELECT tenant_id, metric_name, signal_id, round(x, 6) AS value, round(score, 6) AS score,
-           round(m + {_NUDGE}, 6) AS baseline, CAST(3 AS DOUBLE) AS threshold, abs(score) >= 3 AS anomaly FROM z"""
+           {settled_sql('m')} AS baseline, CAST(3 AS DOUBLE) AS threshold, abs(score) >= 3 AS anomaly FROM z"""
 
 
 @query("anomaly_zscore", _ANOMALY_SQL)
 def anomaly_zscore(spark, sf):
     scored = anomaly.anomaly_zscore(views.metrics(spark, sf)).drop("timestamp")
-    return scored.withColumn("baseline", F.col("baseline") + _NUDGE)
+    return settled(scored, "baseline")
 
 
 _SLO_MINUTES = """minutes AS (SELECT concat(tenant_id, ':', service_name) AS slo, epoch_us(timestamp) // 60000000 AS minute,
@@ -302,21 +310,21 @@ def slo_worst(spark, sf):
 
 @query(
     "score_model",
-    """SELECT vec_id, CAST(len(list_filter(embedding[1:24], lambda x: x > 0)) AS DOUBLE) AS score,
-              len(list_filter(embedding[1:24], lambda x: x > 0)) >= 14 AS anomaly, CAST(NULL AS VARCHAR) AS score_error
+    """SELECT vec_id, CAST(len(list_filter(embedding, lambda x: x > 0)) AS DOUBLE) AS score,
+              len(list_filter(embedding, lambda x: x > 0)) >= 36 AS anomaly, CAST(NULL AS VARCHAR) AS score_error
        FROM embeddings""",
 )
 def score_model(spark, sf):
     def load():
         return lambda matrix: (matrix > 0).sum(axis=1)
 
-    scored = anomaly.score_model(views.table(spark, sf, "embeddings"), load, 24, 14.0, features="embedding")
+    scored = anomaly.score_model(views.table(spark, sf, "embeddings"), load, 64, 36.0, features="embedding")
     return scored.select("vec_id", "score", "anomaly", "score_error")
 
 
 @query(
     "model_counts",
-    """SELECT count(*) AS samples, count(*) FILTER (len(list_filter(embedding[1:24], lambda x: x > 0)) >= 14) AS anomalies,
+    """SELECT count(*) AS samples, count(*) FILTER (len(list_filter(embedding, lambda x: x > 0)) >= 36) AS anomalies,
               CAST(0 AS BIGINT) AS errors FROM embeddings""",
 )
 def model_counts(spark, sf):
@@ -324,5 +332,5 @@ def model_counts(spark, sf):
         return lambda matrix: (matrix > 0).sum(axis=1)
 
     return anomaly.model_counts(
-        anomaly.score_model(views.table(spark, sf, "embeddings"), load, 24, 14.0, features="embedding")
+        anomaly.score_model(views.table(spark, sf, "embeddings"), load, 64, 36.0, features="embedding")
     )

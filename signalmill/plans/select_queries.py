@@ -49,19 +49,19 @@ def hot_cold_union(spark, sf):
     return tables.hot_cold_union(rows.where(F.col("timestamp") >= split), rows.where(F.col("timestamp") < split))
 
 
-@query("cold_scan", f"SELECT {_LOG_COLS} FROM logs_v WHERE severity = 'ERROR'")
+@query("cold_scan", f"SELECT {_LOG_COLS} FROM logs_v")
 def cold_scan(spark, sf):
     root = _stored(spark, sf, "logs")
     cold = tables.cold_scan(spark, f"{root}/logs/date=*", base_path=f"{root}/logs")
-    return cold.where("severity = 'ERROR'").select(*_LOG_SELECT)
+    return cold.select(*_LOG_SELECT)
 
 
-@query("export_parquet", f"SELECT {_LOG_COLS} FROM logs_v WHERE severity <> 'INFO'")
+@query("export_parquet", f"SELECT {_LOG_COLS} FROM logs_v")
 def export_parquet(spark, sf):
     from signalmill.session import scratch_path
 
     path = scratch_path(spark, "export")
-    tables.export_parquet(views.logs(spark, sf).where("severity <> 'INFO'").select(*_LOG_SELECT), path)
+    tables.export_parquet(views.logs(spark, sf).select(*_LOG_SELECT), path)
     return spark.read.parquet(path)
 
 
@@ -84,6 +84,17 @@ def export_ndjson(spark, sf):
     )
 
 
+@query("export_ndjson_rows", f"SELECT {_METRIC_COLS} FROM metrics_v")
+def export_ndjson_rows(spark, sf):
+    """Every exported line, read back."""
+    from signalmill.session import scratch_path
+
+    path = scratch_path(spark, "export")
+    rows = _metric_rows(views.metrics(spark, sf))
+    tables.export_ndjson(rows, path, "metrics")
+    return spark.read.schema(rows.schema).json(path)
+
+
 @query("select_columns", "SELECT tenant_id, metric_name, round(value, 6) AS value FROM metrics_v")
 def select_columns(spark, sf):
     return S.select_columns(views.metrics(spark, sf), "metrics", ["tenant_id", "metric_name", "value"])

@@ -130,6 +130,29 @@ def quantile_over_time(spark, sf):
     return S.over_time(views.metrics(spark, sf), "m_view", "quantile", (), (), T0, T1, "1h", phi=0.25)
 
 
+_FROM = "2024-01-12 05:00:00"
+
+
+def _looking_back(value: str) -> str:
+    """Points from _FROM on that cover six hours each, those before _FROM included."""
+    return f"""SELECT s.t AS t, round({value}, 6) AS v
+        FROM (SELECT DISTINCT b.t + i * {HOUR_US} AS t
+              FROM (SELECT DISTINCT {_H} AS t FROM metrics_v WHERE metric_name = 'm_view') b, range(6) r(i)) s
+        JOIN (SELECT {_H} AS b, value FROM metrics_v WHERE metric_name = 'm_view') m
+          ON m.b <= s.t AND m.b > s.t - 6 * {HOUR_US}
+        WHERE s.t BETWEEN epoch_us(TIMESTAMP '{_FROM}') AND epoch_us(TIMESTAMP '{T1}') GROUP BY 1"""
+
+
+@query("over_time_from", _looking_back("sum(m.value)"))
+def over_time_from(spark, sf):
+    return S.over_time(views.metrics(spark, sf), "m_view", "sum", (), (), _FROM, T1, "1h", lookback="6h")
+
+
+@query("quantile_over_time_from", _looking_back("quantile_cont(m.value, 0.9)"))
+def quantile_over_time_from(spark, sf):
+    return S.over_time(views.metrics(spark, sf), "m_view", "quantile", (), (), _FROM, T1, "1h", lookback="6h", phi=0.9)
+
+
 @query(
     "metric_panel",
     f"""SELECT {_H} AS t, metric_name, round(avg(value), 6) AS v FROM metrics_v
@@ -185,19 +208,13 @@ def instant_value(spark, sf):
 
 @query(
     "series_matrix",
-    f"""SELECT service_name AS lbl_service_name, count(*) AS points, min(t) AS first_t, max(t) AS last_t,
-               round(arg_min(v, t), 6) AS first_v
-        FROM ({_DAILY}) GROUP BY 1""",
+    f"""SELECT service_name AS lbl_service_name, row_number() OVER (PARTITION BY service_name ORDER BY t) - 1 AS pos, t, round(v, 6) AS v
+        FROM ({_DAILY})""",
 )
 def series_matrix(spark, sf):
-    matrix = S.series_matrix(_daily(spark, sf))
-    return matrix.select(
-        "lbl_service_name",
-        F.size("points").alias("points"),
-        F.get("points", 0)["t"].alias("first_t"),
-        F.element_at("points", -1)["t"].alias("last_t"),
-        F.get("points", 0)["v"].alias("first_v"),
-    )
+    """Every point of every series with its place."""
+    points = S.series_matrix(_daily(spark, sf)).select("lbl_service_name", F.posexplode("points").alias("pos", "p"))
+    return points.select("lbl_service_name", "pos", "p.t", "p.v")
 
 
 @query(
@@ -247,11 +264,18 @@ def log_bytes_over_time(spark, sf):
 
 @query(
     "document_bytes",
-    """SELECT source, lang, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS v FROM documents GROUP BY 1, 2""",
+    f"""SELECT {_D.replace('timestamp', "TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id % 700 AS INTEGER))")} AS t,
+               CAST(sum(strlen(text)) AS BIGINT) AS v FROM documents WHERE lang <> 'de' GROUP BY 1""",
 )
 def document_bytes(spark, sf):
+    """Long texts as log bodies, one hour apart."""
     docs = views.table(spark, sf, "documents")
-    return docs.groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("v"))
+    at = F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-01").cast("timestamp")) + F.pmod("doc_id", F.lit(700)) * 3600)
+    logs = docs.select(
+        F.lit("t").alias("tenant_id"), F.col("source").alias("service_name"), F.col("lang").alias("severity"),
+        F.col("text").alias("body"), at.alias("timestamp"), F.create_map().cast("map<string,string>").alias("attributes"),
+    )
+    return L.log_bytes_over_time(logs, [("level", "!=", "de")], (), None, None, "1d")
 
 
 @query(
@@ -265,20 +289,13 @@ def log_volume(spark, sf):
 
 @query(
     "log_streams",
-    """SELECT service_name, severity, count(*) AS entries, min(epoch_us(timestamp)) * 1000 AS first_ns,
-              arg_min(body, timestamp) AS first_body, arg_max(body, timestamp) AS last_body
-       FROM logs_v GROUP BY 1, 2""",
+    "SELECT service_name, severity, epoch_us(timestamp) * 1000 AS ts_ns, body FROM logs_v",
 )
 def log_streams(spark, sf):
-    """Streams put together again from their pages."""
+    """Every entry of every stream's pages."""
     pages = L.log_streams(views.logs(spark, sf))
-    first, last = F.get("entries", 0), F.element_at("entries", -1)
-    return pages.groupBy("service_name", "severity").agg(
-        F.sum(F.size("entries")).alias("entries"),
-        F.min(first["ts_ns"]).alias("first_ns"),
-        F.min_by(first["body"], "page_start").alias("first_body"),
-        F.max_by(last["body"], last["ts_ns"]).alias("last_body"),
-    )
+    entries = pages.select("service_name", "severity", F.explode("entries").alias("e"))
+    return entries.select("service_name", "severity", "e.ts_ns", "e.body")
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalmill.operators.clean import signal_type
+from signalmill.operators.clean import readable, signal_type
 
 _WIRE = (
     "tenant_id string, type string, payload string, attributes map<string,string>, "
@@ -27,7 +27,7 @@ def read_signals(
     bad_payload = F.col("payload").isNotNull() & payload.isNull()
     return rows.select(
         "tenant_id",
-        signal_type(F.col("type")).alias("type"),
+        F.when(F.col("_corrupt_record").isNull(), signal_type(F.col("type"))).alias("type"),
         payload.alias("payload"),
         "attributes",
         F.coalesce("received_at", F.current_timestamp() if received_at is None else received_at).alias("received_at"),
@@ -36,11 +36,15 @@ def read_signals(
 
 
 def accept_tenant(signals: DataFrame, tenant: str) -> tuple[DataFrame, DataFrame]:
-    """Signals sent by an authenticated tenant: an empty tenant is filled in, another one rejected."""
+    """Signals sent by an authenticated tenant: an empty tenant is filled in, another one rejected.
+
+    Unreadable lines are rejected as ``decode``.
+    """
+    signals, unreadable = readable(signals)
     claimed = F.coalesce("tenant_id", F.lit(""))
     kept = signals.where((claimed == "") | (claimed == tenant)).withColumn("tenant_id", F.lit(tenant))
     rejected = signals.where((claimed != "") & (claimed != tenant)).withColumn("reason", F.lit("tenant_mismatch"))
-    return kept, rejected
+    return kept, rejected.unionByName(unreadable)
 
 
 def write_signals(signals: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -26,9 +26,11 @@ _ERROR_STATUS = ("2", "STATUS_CODE_ERROR")
 
 # Numbers are read as strings: 64-bit integers may be quoted, and their text is kept as it is.
 _SCALARS = "stringValue:string,boolValue:string,intValue:string,doubleValue:string,bytesValue:string"
-_ITEM = f"struct<{_SCALARS}>"
-_INNER = f"struct<{_SCALARS},arrayValue:struct<values:array<{_ITEM}>>>"
-_ANY = f"struct<{_SCALARS},arrayValue:struct<values:array<{_INNER}>>>"
+# Levels of nested arrays that are read apart; what lies deeper is kept as the JSON text it is.
+_LEVELS = 6
+_ANY = f"struct<{_SCALARS},arrayValue:string>"
+for _ in range(_LEVELS):
+    _ANY = f"struct<{_SCALARS},arrayValue:struct<values:array<{_ANY}>>>"
 _ATTRS = f"array<struct<key:string,value:{_ANY}>>"
 _RESOURCE = f"resource:struct<attributes:{_ATTRS}>"
 _SCOPE = "scope:struct<name:string>"
@@ -64,7 +66,7 @@ def read_otlp(spark: SparkSession, path: str, kind: str, stream: bool = False) -
     return reader.json(path)
 
 
-def _plain_double(text: Column) -> Column:
+def plain_double(text: Column) -> Column:
     """A double without exponent and without a trailing ``.0``."""
     number = text.try_cast("double")
     whole = (number == F.floor(number)) & (F.abs(number) < 1e15)
@@ -82,7 +84,7 @@ def _scalar_text(value: Column) -> Column:
         value["stringValue"],
         value["boolValue"],
         value["intValue"],
-        _plain_double(value["doubleValue"]),
+        plain_double(value["doubleValue"]),
         F.lower(F.hex(F.try_to_binary(value["bytesValue"], F.lit("base64")))),
     )
 
@@ -92,13 +94,13 @@ def _array_text(value: Column, item_text) -> Column:
     return F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
 
 
-def any_value_text(value: Column) -> Column:
-    """An attribute value as text; arrays (two levels deep) as ``[a,b]``, bytes as hex."""
-
-    def inner(item: Column) -> Column:
-        return F.coalesce(_scalar_text(item), _array_text(item, _scalar_text))
-
-    return F.coalesce(_scalar_text(value), _array_text(value, inner), F.lit(""))
+def any_value_text(value: Column, levels: int = _LEVELS) -> Column:
+    """An attribute value as text; arrays as ``[a,b]`` however nested, bytes as hex."""
+    if levels == 0:
+        return F.coalesce(_scalar_text(value), value["arrayValue"], F.lit(""))
+    return F.coalesce(
+        _scalar_text(value), _array_text(value, lambda item: any_value_text(item, levels - 1)), F.lit("")
+    )
 
 
 def _entries(attributes: Column) -> Column:

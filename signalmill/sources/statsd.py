@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalmill.sources.otlp import last_wins
+from signalmill.functions.time import instant
+from signalmill.sources.otlp import last_wins, plain_double
 
 # Metric types, and the number syntax a value must have.
 TYPES = ("c", "g", "ms", "h", "s")
 _NUMBER = r"^-?(0|[1-9]\d*)(\.\d+)?([eE][+-]?\d+)?$"
 
 
-def statsd_metrics(df_lines: DataFrame, tenant: str, line: str = "value") -> tuple[DataFrame, DataFrame]:
+def statsd_metrics(
+    df_lines: DataFrame, tenant: str, line: str = "value", received_at: str | Column | None = None
+) -> tuple[DataFrame, DataFrame]:
     """``name:value|type[|@rate][|#k:v,…]`` lines as metric rows, and the lines that are none.
 
-    Tags become labels ``tag.<k>``; a sample rate is kept when it lies strictly between 0 and 1.
+    Tags become labels ``tag.<k>``, beside ``source``, ``metric_type`` and, when it lies strictly
+    between 0 and 1, ``sample_rate``. Rows have the time of their arrival: ``received_at``, a time or a
+    column of the lines (default: now).
     """
-    lines = df_lines.select(F.trim(F.col(line), F.lit(" \t\r\n")).alias("line")).where("line <> ''")
+    at = F.current_timestamp() if received_at is None else instant(received_at)
+    lines = df_lines.select(F.trim(F.col(line), F.lit(" \t\r\n")).alias("line"), at.alias("received_at")).where("line <> ''")
     colon = F.instr("line", ":")
     parts = F.split(F.substr("line", colon + 1), r"\|")
     parsed = lines.withColumn("_colon", colon).withColumn("_parts", parts)
@@ -42,12 +48,23 @@ def statsd_metrics(df_lines: DataFrame, tenant: str, line: str = "value") -> tup
             F.when(F.instr(p, ":") > 0, F.substr(p, F.instr(p, ":") + 1)).otherwise(F.lit("")).alias("value"),
         ),
     )
+    entry = lambda key, value: F.struct(F.lit(key).alias("key"), value.alias("value"))
+    kept_rate = F.when((rate > 0) & (rate < 1), rate)
+    labels = F.concat(
+        F.array(entry("source", F.lit("statsd")), entry("metric_type", kind)),
+        tags,
+        F.when(kept_rate.isNotNull(), F.array(entry("sample_rate", plain_double(kept_rate.cast("string"))))).otherwise(
+            F.array().cast("array<struct<key:string,value:string>>")
+        ),
+    )
     metrics = parsed.where(good).select(
         F.lit(tenant).alias("tenant_id"),
         F.substr("line", F.lit(1), F.col("_colon") - 1).alias("metric_name"),
         kind.alias("metric_type"),
         raw.cast("double").alias("value"),
-        F.when((rate > 0) & (rate < 1), rate).alias("sample_rate"),
-        last_wins(tags).alias("labels"),
+        kept_rate.alias("sample_rate"),
+        last_wins(labels).alias("labels"),
+        F.col("received_at").alias("timestamp"),
+        "received_at",
     )
     return metrics, parsed.where(~good).select("line")

@@ -40,23 +40,29 @@ def stream_range_agg(
     )
 
 
-def write_append(df: DataFrame, store: Store, name: str = "rows") -> StreamingQuery:
-    """Append-mode Parquet sink of a streaming frame."""
+def write_append(df: DataFrame, store: Store, name: str = "rows", trigger: dict | None = None) -> StreamingQuery:
+    """Append-mode Parquet sink of a streaming frame; by default it ends when all input is read."""
     return (
         df.writeStream.format("parquet")
         .outputMode("append")
         .option("path", store.output_path(name))
         .option("checkpointLocation", store.checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a query's watermark has left out, as far as its progress reports go back."""
+    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+
+
 def stream_cep(
     stream: DataFrame, store: Store, window: Duration = cep.WINDOW,
     error_rate: float = cep.ERROR_RATE_THRESHOLD, latency_ms: float = cep.LATENCY_THRESHOLD_MS,
+    lateness: Duration | None = None, trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Rule events of a stream of logs and spans: outputs ``high_error_rate`` and ``high_latency``."""
+    """Rule events of a stream of logs and spans: outputs ``high_error_rate``, ``high_latency`` and ``late``."""
 
     def step(rows: DataFrame, state: Tables) -> tuple[Tables, Tables]:
         errors = cep.error_minutes(rows, window, error_rate, state.get("errors"))
@@ -70,7 +76,9 @@ def stream_cep(
             "latency": cep.latency_state(latency, window),
         }
 
-    return run_stateful(stream, store, ["errors", "latency"], step)
+    return run_stateful(
+        stream, store, ["errors", "latency"], step, keys=tuple(cep.KEYS), lateness=lateness, trigger=trigger
+    )
 
 
 _SERVICE = ["tenant_id", "service_name"]
@@ -127,22 +135,23 @@ def _queue(rows: DataFrame, state: Tables, limit: int | None) -> tuple[DataFrame
 def stream_sampler(
     stream: DataFrame, store: Store, rate: float, max_size: int,
     boosted_services: tuple[str, ...] = sampling.BOOSTED_SERVICES, recent: Duration = sampling.RECENT,
+    lateness: Duration | None = None, trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Score and keep decision of a span stream: output ``decisions``."""
+    """Score and keep decision of a span stream: outputs ``decisions`` and ``late``."""
     decide = _sampler_step(rate, max_size, boosted_services, recent)
 
     def step(rows: DataFrame, state: Tables) -> tuple[Tables, Tables]:
         decided, new_state = decide(rows, state)
         return {"decisions": decided}, new_state
 
-    return run_stateful(stream, store, _SAMPLER_STATE, step)
+    return run_stateful(stream, store, _SAMPLER_STATE, step, lateness=lateness, trigger=trigger)
 
 
 def stream_anomaly(
     stream: DataFrame, store: Store, alpha: float = ewma.ALPHA, warmup: int = anomaly.WARMUP,
-    z: float = anomaly.Z_THRESHOLD,
+    z: float = anomaly.Z_THRESHOLD, lateness: Duration | None = None, trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Anomaly scores of a metric stream: output ``scores``."""
+    """Anomaly scores of a metric stream: outputs ``scores`` and ``late``."""
     keys = ["tenant_id", "metric_name"]
 
     def step(rows: DataFrame, state: Tables) -> tuple[Tables, Tables]:
@@ -150,13 +159,16 @@ def stream_anomaly(
         baselines = _kept(state.get("baselines"), scored.select(*keys, "mean", "var", "n"), keys, "n")
         return {"scores": scored.drop("mean", "var", "n")}, {"baselines": baselines}
 
-    return run_stateful(stream, store, ["baselines"], step, time="timestamp")
+    return run_stateful(
+        stream, store, ["baselines"], step, time="timestamp", keys=tuple(keys), lateness=lateness, trigger=trigger
+    )
 
 
 def stream_slo(
-    stream: DataFrame, store: Store, targets: DataFrame, good: Column, pairs=slo.WINDOW_PAIRS
+    stream: DataFrame, store: Store, targets: DataFrame, good: Column, pairs=slo.WINDOW_PAIRS,
+    lateness: Duration | None = None, trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Burn decisions of an SLO event stream: output ``decisions``.
+    """Burn decisions of an SLO event stream: outputs ``decisions`` and ``late``.
 
     A minute cut by a batch boundary is decided again by the next batch; the later decision holds
     (:func:`latest_decisions`).
@@ -179,7 +191,7 @@ def stream_slo(
         ).drop("_newest")
         return {"decisions": decisions.join(touched, ["slo", "minute"], "left_semi")}, {"minutes": kept}
 
-    return run_stateful(stream, store, ["minutes"], step)
+    return run_stateful(stream, store, ["minutes"], step, keys=("slo",), lateness=lateness, trigger=trigger)
 
 
 def latest_decisions(decisions: DataFrame) -> DataFrame:
@@ -188,7 +200,8 @@ def latest_decisions(decisions: DataFrame) -> DataFrame:
 
 
 def stream_alerts(
-    stream: DataFrame, store: Store, silences: DataFrame | None = None, row_id: str = "event_id"
+    stream: DataFrame, store: Store, silences: DataFrame | None = None, row_id: str = "event_id",
+    lateness: Duration | None = None, trigger: dict | None = None,
 ) -> StreamingQuery:
     """Alert lifecycle of an alert event stream.
 
@@ -211,14 +224,19 @@ def stream_alerts(
         )
         return {"changes": changes.drop("step")}, {"alerts": alerts.merge_alerts(old, steps, silences, row_id)}
 
-    return run_stateful(stream, store, ["alerts"], step, time="occurred_at")
+    return run_stateful(
+        stream, store, ["alerts"], step, time="occurred_at", keys=("tenant_id", "rule_id"), lateness=lateness,
+        trigger=trigger,
+    )
 
 
 def log_tail(
     stream: DataFrame, store: Store, tenant: str, service: str | None = None, severity: str | None = None,
-    page: int = TAIL_PAGE,
+    page: int = TAIL_PAGE, trigger: dict | None = None,
 ) -> StreamingQuery:
-    """New log rows of a tenant in time order, in files of at most ``page`` rows: output ``pages``.
+    """New log rows of a tenant, each batch's in time order, in files of at most ``page`` rows: output ``pages``.
+
+    A live tail runs with ``trigger={"processingTime": "1 second"}``.
 
     The source's offsets are the cursor, so rows of equal time at a page's end are not lost.
     """
@@ -230,26 +248,31 @@ def log_tail(
         batch.orderBy("timestamp", "span_id").write.mode("overwrite").option("maxRecordsPerFile", page).parquet(
             f"{store.output_path('pages')}/batch={batch_id}"
         )
+        store.finish(batch.sparkSession, batch_id)
 
     writer = rows.writeStream.foreachBatch(on_batch).option("checkpointLocation", store.checkpoint)
-    return writer.trigger(availableNow=True).start()
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def stream_ingest(
     stream: DataFrame, store: Store, version: str = "1.0.0", at=None, strict: bool = False,
     rate: float = 1.0, max_size: int = 10_000, boosted_services: tuple[str, ...] = sampling.BOOSTED_SERVICES,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Signals through the gates, the stamp and the sampler into the stored tables.
 
-    Outputs ``metrics``, ``logs``, ``traces`` and ``dropped`` (counts per tenant, type and reason).
+    Every readable signal with a tenant and a valid payload is stored, whenever it arrives; one without
+    a time gets that of its arrival. Outputs ``metrics``, ``logs``, ``traces``, ``rejects`` (the rows
+    that did not pass a gate, with the reason) and ``dropped`` (counts per tenant, type and reason).
     """
     decide = _sampler_step(rate, max_size, boosted_services, sampling.RECENT)
 
     def step(rows: DataFrame, state: Tables) -> tuple[Tables, Tables]:
-        if "_corrupt_record" in rows.columns:
-            rows = rows.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+        rows = rows.withColumn("received_at", F.coalesce("received_at", F.current_timestamp()))
         decoded, bad_payload = clean.decode_gate(rows, strict)
         kept, no_tenant = clean.tenant_gate(decoded)
+        rejects = bad_payload.unionByName(no_tenant)
+        kept = kept.drop("_corrupt_record")
         stamped = clean.enrich_stamp(kept, version, at)
         text = lambda key: match.label("attributes", key)
         sampled, new_state = decide(
@@ -273,6 +296,7 @@ def stream_ingest(
             "metrics": metrics.withColumn("date", F.to_date("timestamp")),
             "logs": logs.withColumn("date", F.to_date("timestamp")),
             "traces": traces.withColumn("date", F.to_date("start_time")),
+            "rejects": rejects,
             "dropped": clean.drop_accounting(
                 stamped.where("type <> 'TRACE'").unionByName(spans), bad_payload, no_tenant, sampled_out
             ),
@@ -280,5 +304,5 @@ def stream_ingest(
         return outputs, new_state
 
     by_day = {name: ["date", "tenant_id"] for name in ("metrics", "logs", "traces")}
-    return run_stateful(stream, store, _SAMPLER_STATE, step, time="received_at", partitions=by_day)
+    return run_stateful(stream, store, _SAMPLER_STATE, step, time=None, trigger=trigger, partitions=by_day)
 

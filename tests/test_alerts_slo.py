@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from signalmill.operators import alerts, audit, retention, slo
 from signalmill.schemas import AUDIT, SILENCES
+from signalmill.session import listed
 from signalmill.sources import tables
 
 START = datetime(2024, 1, 1, tzinfo=UTC)
@@ -191,6 +192,44 @@ def test_retention_job_is_repeatable(spark, tmp_path):
     assert sizes[("logs", "hot")] > 0 and sizes[("logs", "cold")] > 0
 
 
+@pytest.mark.parametrize("breaks_at", [1, 4])
+def test_an_interrupted_retention_run_loses_and_doubles_nothing(spark, tmp_path, monkeypatch, breaks_at):
+    from signalmill.schemas import LOGS
+
+    rows = [(f"t{i % 3}", "s", "INFO", "x", {}, START + timedelta(hours=i), "", str(i)) for i in range(60)]
+    tables.write_source(spark.createDataFrame(rows, LOGS), "logs", str(tmp_path))
+    specs = spark.createDataFrame([("t0", *[1, 2] * 3)], SPEC)
+    run = lambda as_of: retention.retention_apply(spark, f"{tmp_path}/logs", f"{tmp_path}/cold", "logs", specs, as_of=as_of)
+    run("2024-01-16 00:00:00")
+    swap, calls = retention._swap, []
+
+    def breaking(*args):
+        calls.append(args)
+        if len(calls) == breaks_at + 1:
+            raise OSError("lost")
+        swap(*args)
+
+    monkeypatch.setattr(retention, "_swap", breaking)
+    try:
+        run("2024-01-17 12:00:00")
+    except OSError:
+        pass
+    monkeypatch.setattr(retention, "_swap", swap)
+    as_of = datetime(2024, 1, 17, 18, tzinfo=UTC)
+    run("2024-01-17 18:00:00")
+    want = {"hot": set(), "cold": set()}
+    for tenant, *_, at, _, span in rows:
+        hot, total = (1, 2) if tenant == "t0" else (14, 30)
+        age = as_of - at
+        if age < timedelta(days=total):
+            want["cold" if age >= timedelta(days=hot) else "hot"].add(span)
+    for store, path in (("hot", f"{tmp_path}/logs"), ("cold", f"{tmp_path}/cold")):
+        got = [r["span_id"] for r in spark.read.schema(LOGS).parquet(path).collect()] if want[store] else []
+        assert sorted(got) == sorted(want[store])
+    run("2024-06-01 00:00:00")
+    assert not any(n.startswith("date=") for p in ("logs", "cold") for n in listed(spark, f"{tmp_path}/{p}"))
+
+
 def test_audit_export(spark, tmp_path):
     rows = [(i, None, "ann", "key.issue", None, None, START + timedelta(minutes=i)) for i in range(130)]
     rows += [(200, None, "", "x", None, None, START), (201, None, "bob", None, None, None, START), (202, None, "bob", "x", None, None, None)]

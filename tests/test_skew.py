@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from signalmill.operators import skew
+from signalmill.operators import cep, skew
 from signalmill.operators.logs import log_streams
 
 START = datetime(2024, 1, 1, tzinfo=UTC)
@@ -99,3 +99,18 @@ def test_steps_shrink_for_hot_buckets(spark, leaf_rows):
     ordered = sorted(rows, key=lambda r: (r[1], r[2]))
     hits = [(r[2], i + 1) for i, r in enumerate(ordered) if r[3]]
     assert (got["rid"], got["position"]) == hits[89]
+
+
+def test_equal_times_are_split_by_id(spark):
+    rows = [("a", 0, 3 * i, i % 3 == 0) for i in range(600)] + [("b", i, 10_000 + i, True) for i in range(20)]
+    df = spark.createDataFrame([(k, START + timedelta(seconds=s), i, f) for k, s, i, f in rows], "k string, at timestamp, rid long, f boolean")
+    width = skew.fitting_ids(df, ["k"], "at", "rid", 1, 50)
+    sizes = df.where("k = 'a'").groupBy(skew.id_slot("rid", width)).count().agg(F.max("count")).head()[0]
+    assert width and sizes <= 50 and skew.fitting_ids(df, ["k"], "at", "rid", 1, 600) == 0
+    got = {r["rid"]: r["n"] for r in cep.sliding_rate(df, ["k"], F.col("f"), "1m", "1m", "at", "rid", leaf_rows=50).collect()}
+    assert got == {**{3 * i: i // 3 + 1 for i in range(600)}, **{10_000 + i: i + 1 for i in range(20)}}
+    got = {r["rid"]: r["p"] for r in skew.previous_value(df, ["k"], "at", "rid", "rid", "p", leaf_rows=50).collect()}
+    assert all(got[3 * i] == (3 * (i - 1) if i else None) for i in range(600))
+    wanted = spark.createDataFrame([("a", 150)], "k string, nth long")
+    found = skew.nth_flagged(df, ["k"], "at", "rid", F.col("f"), wanted, "1s", 50).head()
+    assert (found["rid"], found["position"]) == (3 * 447, 448)

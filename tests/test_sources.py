@@ -90,12 +90,14 @@ def test_statsd_lines(spark):
     good = ["a.b:1.5|c|@0.5|#user:8,env:prod,flag,env:test", "g:-3|g", "h:2e3|h|@1", "t:7|ms|#a:b:c"]
     bad = ["nocolon|c", "x:1", "x:1|z", ":1|c", "s:alice|s", "p:+5|g"]
     df = spark.createDataFrame([(x,) for x in [*good, *bad, "", "  "]], "value string")
-    metrics, rejects = statsd.statsd_metrics(df, "t")
+    metrics, rejects = statsd.statsd_metrics(df, "t", received_at="2024-01-02")
     got = {r["metric_name"]: r for r in metrics.collect()}
-    assert got["a.b"]["labels"] == {"tag.user": "8", "tag.flag": "", "tag.env": "test"}
+    assert got["a.b"]["labels"] == {
+        "source": "statsd", "metric_type": "c", "sample_rate": "0.5", "tag.user": "8", "tag.flag": "", "tag.env": "test"}
+    assert got["g"]["timestamp"] == got["g"]["received_at"] == datetime(2024, 1, 2)
     assert [(n, r["value"], r["metric_type"], r["sample_rate"]) for n, r in sorted(got.items())] == [
         ("a.b", 1.5, "c", 0.5), ("g", -3.0, "g", None), ("h", 2000.0, "h", None), ("t", 7.0, "ms", None)]
-    assert got["t"]["labels"] == {"tag.a": "b:c"}
+    assert got["t"]["labels"] == {"source": "statsd", "metric_type": "ms", "tag.a": "b:c"}
     assert sorted(r["line"] for r in rejects.collect()) == sorted(bad)
 
 

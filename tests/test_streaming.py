@@ -50,12 +50,97 @@ def test_rules(spark, tmp_path, parts):
     assert (errors, slow) == (set(want_errors), want_slow)
 
 
-def test_late_rows_are_counted(spark, tmp_path):
+def test_late_rows_are_handed_out_as_they_are(spark, tmp_path):
     rows = rule_rows(60)
     late = [("t", "hot", 0, 1000 + i, True, 1.0) for i in range(3)]
     store = Store(str(tmp_path / "store"))
     slices(spark, rows[:30] + late + rows[30:57], 2, tmp_path, ROW, lambda s: jobs.stream_cep(s, store, "3m", 0.025, 900.0))
-    assert store.output(spark, "late").agg(F.sum("late")).head()[0] == 3
+    assert sorted(r["signal_id"] for r in store.output(spark, "late").collect()) == [1000, 1001, 1002]
+
+
+def test_a_fast_clock_holds_up_nobody_else(spark, tmp_path):
+    rows = rule_rows(200)
+    fast = [("b", "api", 50_000 + i, 5000 + i, False, 1.0) for i in range(5)]
+    store = Store(str(tmp_path / "store"))
+    slices(spark, fast + rows, 4, tmp_path, ROW, lambda s: jobs.stream_cep(s, store, "3m", 0.025, 900.0))
+    assert store.output(spark, "late").count() == 0
+    got = {r["signal_id"] for r in store.output(spark, "high_error_rate").collect()}
+    assert got == set(models.error_edges([((t, s), sec, rid, e) for t, s, sec, rid, e, _ in rows + fast], 3, 0.025))
+
+
+def test_rows_out_of_order_within_the_lateness_take_their_place(spark, tmp_path):
+    rng = random.Random(4)
+    rows = rule_rows(240)
+    shuffled = sorted(rows, key=lambda r: r[2] + rng.uniform(0, 200))
+    ends = [("t", s, 9000 + i, 9000 + i, False, 1.0) for i, s in enumerate(("hot", "s0", "s1", "s2"))]
+    store = Store(str(tmp_path / "store"))
+    start = lambda s: jobs.stream_cep(s, store, "3m", 0.025, 900.0, lateness="5m")
+    slices(spark, shuffled, 4, tmp_path, ROW, start)
+    # One more row per key passes on what was held back.
+    last = [(*r[:2], START + timedelta(seconds=r[2]), *r[3:]) for r in ends]
+    spark.createDataFrame(last, ROW).write.mode("append").parquet(str(tmp_path / "in"))
+    start(spark.readStream.schema(ROW).parquet(str(tmp_path / "in"))).awaitTermination()
+    assert store.output(spark, "late").count() == 0
+    got = {r["signal_id"] for r in store.output(spark, "high_error_rate").collect()}
+    assert got == set(models.error_edges([((t, s), sec, rid, e) for t, s, sec, rid, e, _ in rows], 3, 0.025))
+
+
+def test_state_and_scratch_stop_growing(spark, tmp_path):
+    from signalmill.session import checkpoint_dir, listed
+
+    schema = "tenant_id string, metric_name string, timestamp timestamp, value double, signal_id long"
+    store = Store(str(tmp_path / "store"))
+    source, sizes = str(tmp_path / "in"), []
+    for i in range(5):
+        rows = [("t", "m", START + timedelta(seconds=60 * i + k), float(k), 10 * i + k) for k in range(10)]
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+        query = jobs.stream_anomaly(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), store)
+        query.awaitTermination()
+        scratch = [n for n in listed(spark, checkpoint_dir(spark)) if n.startswith("ewma")]
+        sizes.append((len(listed(spark, f"{store.path}/state/baselines")), len(scratch)))
+    assert sizes[-1][0] <= 2 and sizes[-1][1] == sizes[0][1]
+    assert store.output(spark, "scores").count() == 50
+
+
+def test_live_tail_runs_until_it_is_stopped(spark, tmp_path):
+    schema = "tenant_id string, service_name string, timestamp timestamp, severity string, body string, trace_id string, span_id string"
+    store, source = Store(str(tmp_path / "store")), str(tmp_path / "in")
+    write = lambda i: spark.createDataFrame([("t", "api", START, "INFO", f"line {i}", "tr", str(i))], schema).write.mode("append").parquet(source)
+    write(0)
+    query = jobs.log_tail(spark.readStream.schema(schema).parquet(source), store, "t", trigger={"processingTime": "200 milliseconds"})
+    try:
+        query.processAllAvailable()
+        write(1)
+        query.processAllAvailable()
+        assert query.isActive and sorted(r["body"] for r in store.output(spark, "pages").collect()) == ["line 0", "line 1"]
+    finally:
+        query.stop()
+
+
+def test_ingest_stores_every_valid_signal(spark, tmp_path):
+    import base64
+    import json
+
+    def line(tenant, at, body):
+        return json.dumps({"tenant_id": tenant, "type": "log", "payload": base64.b64encode(body.encode()).decode(), "attributes": {}, **({"received_at": at} if at else {})})
+
+    source, store = tmp_path / "in", Store(str(tmp_path / "store"))
+    source.mkdir()
+    batches = [
+        [line("b", "2024-01-01T00:50:00Z", "fast")],
+        [*(line("a", f"2024-01-01T00:{m:02d}:00Z", f"old {m}") for m in range(2, 12)), line("a", None, "no time"), "not json", line("", "2024-01-01T00:00:00Z", "nobody")],
+    ]
+    from signalmill.sources import envelope
+
+    for i, lines in enumerate(batches):
+        (source / f"{i}.json").write_text("\n".join(lines) + "\n")
+        jobs.stream_ingest(envelope.read_signals(spark, str(source), stream=True), store).awaitTermination()
+    stored = sorted(r["body"] for r in store.output(spark, "logs").collect())
+    assert stored == sorted(["fast", "no time", *(f"old {m}" for m in range(2, 12))])
+    rejects = {(r["reason"], r["_corrupt_record"]) for r in store.output(spark, "rejects").collect()}
+    assert rejects == {("decode", "not json"), ("no_tenant", None)}
+    dropped = {(r["tenant_id"], r["reason"]): r["n"] for r in store.output(spark, "dropped").groupBy("tenant_id", "reason").agg(F.sum("n").alias("n")).collect()}
+    assert dropped["a", "received"] == 11 and dropped["", "decode"] == 1 and dropped["", "no_tenant"] == 1
 
 
 def test_sampler_across_batches(spark, tmp_path):
