@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +22,14 @@ def narrow(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*(F.col(f"`{c}`") for c in columns))
 
 
-def in_arrow(docs: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """``fn`` on every Arrow batch."""
+def least_hashes(rows: DataFrame, by: list[str], n: int, count: int) -> DataFrame:
+    """About ``n`` or more of ``count`` rows: those whose hash of ``by`` is low, all if there are few.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
-
-    return docs.mapInArrow(run, schema)
+    A choice of the n least hashes may follow: what each task sends for it no longer grows with the input.
+    """
+    share = min(1.0, (2 * n + 100) / max(1, count))
+    low = F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in by], F.lit("sample")), F.lit(1 << 30))
+    return rows if share == 1.0 else rows.where(low < int(share * (1 << 30)))
 
 
 def blocks(texts: list[str | None], chars: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from signalmill.llm.common import SpanHash, blocks, mix, narrow, runs_of, spans, text_bytes
+from signalmill.llm.common import SpanHash, blocks, least_hashes, mix, narrow, runs_of, spans, text_bytes
 from signalmill.llm.linear import fit, platt
 
 # Notices by family, as their licences or common practice word them.
@@ -228,11 +228,12 @@ def train(unknown: list[str], seed: int = 11) -> Classifier:
 
 
 def unknown_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: int = UNKNOWN_ROWS) -> list[str]:
-    """First paragraphs of a bounded choice of texts (least hashes) that do not mention licences."""
-    bare = docs.select(F.element_at(F.split(F.col(f"`{text}`"), "\n", 2), 1).alias("p")).where(
+    """First paragraphs of a bounded choice of texts (low hashes of their keys) that do not mention licences."""
+    some = least_hashes(narrow(docs, key, text), [key], rows, docs.count())
+    bare = some.select(F.element_at(F.split(F.col(f"`{text}`"), "\n", 2), 1).alias("p")).where(
         ~F.lower("p").rlike("licen[sc]|copyright|permi(t|ssion)|spdx") & (F.length("p") > 0)
     )
-    chosen = bare.select(F.substring("p", 1, 2000).alias("p")).orderBy(F.xxhash64("p"), "p").limit(rows)
+    chosen = bare.select(F.substring("p", 1, 400).alias("p")).orderBy(F.xxhash64("p"), "p").limit(rows)
     return sorted({r[0] for r in chosen.collect()})
 
 
