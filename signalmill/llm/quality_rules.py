@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from signalmill.llm.common import blocks, mix, narrow, runs_of
+from signalmill.llm.common import blocks, least_hashes, mix, narrow, runs_of
 from signalmill.llm.linear import BUCKETS, FAMILIES, Block, fit, platt
 
 #: Labelled rows that the classifier is fitted on (half of each class) and calibrated on, at most.
@@ -88,8 +88,9 @@ def _repeats(keys: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
 
 
 def sample(labels: DataFrame, rows: int, key: str, label: str) -> DataFrame:
-    """At most ``rows`` labelled keys, those of the least hash; a key with several labels takes the least."""
-    marked = labels.select(key, label).dropna().withColumn("_h", F.xxhash64(F.col(key).cast("string"), F.lit("sample")))
+    """At most ``rows`` labelled keys, chosen by hash; a key with several labels takes the least."""
+    known = labels.select(key, label).dropna()
+    marked = least_hashes(known, [key], rows, known.count()).withColumn("_h", F.xxhash64(F.col(key).cast("string")))
     return marked.orderBy("_h", key, label).limit(rows).groupBy(key).agg(F.min(label).alias(label))
 
 
