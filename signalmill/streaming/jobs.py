@@ -265,7 +265,8 @@ def stream_ingest(
     a time gets that of its arrival. Outputs ``metrics``, ``logs``, ``traces``, ``rejects`` (the rows
     that did not pass a gate, with the reason) and ``dropped`` (counts per tenant, type and reason).
     """
-    decide = _sampler_step(rate, max_size, boosted_services, sampling.RECENT)
+    # A rate of 1 keeps every span, so nothing has to be scored.
+    decide = _sampler_step(rate, max_size, boosted_services, sampling.RECENT) if rate < 1 else None
 
     def step(rows: DataFrame, state: Tables) -> tuple[Tables, Tables]:
         rows = rows.withColumn("received_at", F.coalesce("received_at", F.current_timestamp()))
@@ -275,20 +276,22 @@ def stream_ingest(
         kept = kept.drop("_corrupt_record")
         stamped = clean.enrich_stamp(kept, version, at)
         text = lambda key: match.label("attributes", key)
-        sampled, new_state = decide(
-            stamped.where("type = 'TRACE'").select(
-                "*",
-                F.col("received_at").alias("event_time"),
-                F.xxhash64("tenant_id", text("trace_id"), text("span_id"), "received_at").alias("signal_id"),
-                F.when(cep.service_of() == "unknown", "").otherwise(cep.service_of()).alias("service_name"),
-                text("trace_id").alias("trace_id"),
-                text("severity").alias("severity"),
-                text("duration_ms").try_cast("double").alias("duration_ms"),
-            ),
-            state,
-        )
-        spans = sampled.where("keep").select(*stamped.columns)
-        sampled_out = sampled.where(~F.col("keep")).withColumn("reason", F.lit("sampled_out"))
+        spans, sampled_out, new_state = stamped.where("type = 'TRACE'"), None, {}
+        if decide is not None:
+            sampled, new_state = decide(
+                spans.select(
+                    "*",
+                    F.col("received_at").alias("event_time"),
+                    F.xxhash64("tenant_id", text("trace_id"), text("span_id"), "received_at").alias("signal_id"),
+                    F.when(cep.service_of() == "unknown", "").otherwise(cep.service_of()).alias("service_name"),
+                    text("trace_id").alias("trace_id"),
+                    text("severity").alias("severity"),
+                    text("duration_ms").try_cast("double").alias("duration_ms"),
+                ),
+                state,
+            )
+            spans = sampled.where("keep").select(*stamped.columns)
+            sampled_out = sampled.where(~F.col("keep")).withColumn("reason", F.lit("sampled_out"))
         metrics, logs, traces = clean.route_signals(
             stamped.where("type <> 'TRACE'").unionByName(spans)
         )
@@ -298,11 +301,13 @@ def stream_ingest(
             "traces": traces.withColumn("date", F.to_date("start_time")),
             "rejects": rejects,
             "dropped": clean.drop_accounting(
-                stamped.where("type <> 'TRACE'").unionByName(spans), bad_payload, no_tenant, sampled_out
+                stamped.where("type <> 'TRACE'").unionByName(spans), bad_payload, no_tenant,
+                *([] if sampled_out is None else [sampled_out]),
             ),
         }
         return outputs, new_state
 
     by_day = {name: ["date", "tenant_id"] for name in ("metrics", "logs", "traces")}
-    return run_stateful(stream, store, _SAMPLER_STATE, step, time=None, trigger=trigger, partitions=by_day)
+    names = _SAMPLER_STATE if decide is not None else []
+    return run_stateful(stream, store, names, step, time=None, trigger=trigger, partitions=by_day)
 
