@@ -81,6 +81,11 @@ def counts(block: Block) -> dict[str, np.ndarray]:
     return out
 
 
+def base_failed(found: dict[str, np.ndarray]) -> np.ndarray:
+    n, repeated = found["n_words"], found["n_repeat_words"]
+    return (n < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * n)
+
+
 def _repeats(keys: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     """For each text its keys less its distinct keys; equal keys belong to one text."""
     distinct, first = np.unique(keys, return_index=True)
@@ -99,14 +104,18 @@ def fold(key: str):
 
 
 def training_rows(docs: DataFrame, chosen: DataFrame, key: str, text: str, label: str) -> tuple[list, np.ndarray]:
-    """Features and labels of a bounded choice of rows, ordered by key; features are computed on the executors."""
+    """Features and labels of a bounded choice of rows, ordered by key; features are computed on the executors.
+
+    Rows that the counts reject are left out: the classifier only judges what passes them.
+    """
     docs = narrow(docs, key, text).where(F.col(text).isNotNull())
     rows = docs.join(F.broadcast(chosen), key).select(key, F.substring(text, 1, FIT_CHARS).alias(text), label)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = Block(batch.column(1).to_pylist()).features()
-            yield pa.RecordBatch.from_arrays(
+            block = Block(batch.column(1).to_pylist())
+            found = block.features()
+            rows = pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(2),
                     pa.array([p.astype("<i4").tobytes() for p, _ in found], pa.binary()),
@@ -114,6 +123,7 @@ def training_rows(docs: DataFrame, chosen: DataFrame, key: str, text: str, label
                 ],
                 names=["key", "label", "place", "share"],
             )
+            yield rows.filter(pa.array(~base_failed(counts(block))))
 
     schema = T.StructType(
         [T.StructField("key", docs.schema[key].dataType), T.StructField("label", chosen.schema[label].dataType),
@@ -172,8 +182,7 @@ def judge(
             for start, end in blocks(texts):
                 block = Block(texts[start:end])
                 found = counts(block)
-                n, repeated = found["n_words"], found["n_repeat_words"]
-                failed = (n < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * n)
+                failed = base_failed(found)
                 score = own.score(block) if own is not None else np.ones(block.n)
                 kept = ~failed & (score >= keep_from)
                 part = batch.slice(start, end - start)
