@@ -58,7 +58,15 @@ def latency_percentiles(spark, sf):
     return traces.latency_percentiles(views.spans(spark, sf), "t0", None, T0, T1, "1h")
 
 
-@query("latency_percentiles_approx")
+# A sketch of fewer rows than its accuracy (10,000) holds them all: it gives the values of the ranks themselves.
+@query(
+    "latency_percentiles_approx",
+    """WITH ranked AS (
+         SELECT (epoch_us(start_time) // 3600000000) * 3600000000 AS t, duration_ns / 1e6 AS ms FROM spans_v WHERE tenant_id = 't0'),
+       placed AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY ms) AS rn, count(*) OVER (PARTITION BY t) AS n FROM ranked)
+       SELECT t, round(max(ms) FILTER (rn = ceil(0.5 * n)), 6) AS p50, round(max(ms) FILTER (rn = ceil(0.95 * n)), 6) AS p95,
+              round(max(ms) FILTER (rn = ceil(0.99 * n)), 6) AS p99 FROM placed GROUP BY t""",
+)
 def latency_percentiles_approx(spark, sf):
     return traces.latency_percentiles(views.spans(spark, sf), "t0", None, T0, T1, "1h", exact=False)
 
