@@ -14,11 +14,10 @@ from signalmill.llm.common import SpanHash, mix, runs_of, spans, text_points
 #: Buckets of a family, and families: character n-grams, words, word pairs.
 BUCKETS, FAMILIES = 1 << 16, 3
 CHAR_N = 3
-#: White space between words: U+0020 and U+0009 to U+000D.
-_BLANKS = np.array([9, 10, 11, 12, 13, 32], np.uint32)
 
 
 def is_blank(points: np.ndarray) -> np.ndarray:
+    """White space between words: U+0020 and U+0009 to U+000D."""
     return (points == 32) | ((points >= 9) & (points <= 13))
 
 

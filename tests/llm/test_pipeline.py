@@ -2,7 +2,6 @@
 
 import hashlib
 import random
-import zlib
 
 import public_tokenizers as P
 from pyspark.sql import functions as F
@@ -65,7 +64,6 @@ def test_run_equals_the_plain_version(spark, tmp_path):
             ids = coder.encode([texts[i]])[0]
             assert found[i]["n_tokens"] == len(ids)
             assert found[i]["ids_sha256"] == hashlib.sha256(coder.decimals(ids)).hexdigest()
-    assert zlib.crc32(b"0") >= 0
 
 
 def test_stages_keep_the_columns_and_take_odd_tables(spark, tmp_path):
