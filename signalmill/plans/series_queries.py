@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from signalmill.functions import match
 from signalmill.operators import logs as L
 from signalmill.operators import series as S
 from signalmill.plans import views
