@@ -1,10 +1,10 @@
 """Licence notices: a trained paragraph classifier, confirmed by comparison with templates.
 
-Paragraphs (lines; long ones in overlapping pieces) are classified by multinomial logistic regression on
-hashed words and word pairs. It is trained on the notices below, each in many worn copies (words lost,
+Paragraphs are classified by multinomial logistic regression on hashed words and word pairs: every line, and
+every run of lines with words as one, for notices are mostly wrapped; long ones in overlapping pieces. It is trained on the notices below, each in many worn copies (words lost,
 replaced or framed by corpus text), against paragraphs of the corpus as the unknown class. Families whose
 calibrated probability reaches a threshold are predicted; of these the one of whose templates the paragraph
-holds most words and word pairs is confirmed, if it holds enough.
+holds most words and word pairs is confirmed, if it holds enough. A notice belongs to the line that it begins on.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased; a version number is several
 words. Null, empty and wordless texts have no paragraph. Repeated rows give repeated results.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from copy import copy
 from dataclasses import dataclass
 
 import numpy as np
@@ -83,6 +84,8 @@ FAMILIES = tuple(NOTICES)
 BUCKETS, PIECE, OVERLAP, AROUND = 1 << 15, 20, 10, 40
 #: Worn copies of each notice; corpus paragraphs of the unknown class, at most; least probability and template share.
 COPIES, UNKNOWN_ROWS, KNOWN_FROM, SHARE_FROM = 40, 3000, 0.2, 0.8
+#: Words that a range of a template's words may grow over, where that gains more of it.
+GAP = 2
 
 _CLASS = np.zeros(256, np.uint8)
 for _c in range(256):
@@ -109,6 +112,10 @@ class Pieces:
         number = np.arange(len(first)) - np.searchsorted(text, text)
         filled = last > first
         first, last, text, number = first[filled], last[filled], text[filled], number[filled]
+        self.lines = first, last, text, number
+        self._cut(first, last, text, number)
+
+    def _cut(self, first: np.ndarray, last: np.ndarray, text: np.ndarray, number: np.ndarray) -> None:
         pieces = np.maximum(1, -(-(last - first - OVERLAP) // (PIECE - OVERLAP)))
         at = np.repeat(np.arange(len(first)), pieces)
         step = (np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * (PIECE - OVERLAP)
@@ -116,6 +123,18 @@ class Pieces:
         self.text, self.line = text[at], number[at]
         self.line_first, self.line_last = first[at], last[at]
 
+    def across(self) -> Pieces:
+        """Pieces over line ends: those of every run of two or more lines with words, as if it were one line."""
+        first, last, text, number = self.lines
+        out = copy(self)
+        new = np.ones(len(first), bool)
+        new[1:] = (np.diff(text) != 0) | (np.diff(number) != 1)
+        start = np.flatnonzero(new)
+        end = np.append(start[1:], len(first))
+        start, end = start[end - start > 1], end[end - start > 1]
+        out._cut(first[start], last[end - 1], text[start], number[start])
+        return out
+
     def buckets(self) -> tuple[np.ndarray, np.ndarray]:
         """Bucket of each word, and of each word with its follower."""
         mask = np.uint64(BUCKETS - 1)
@@ -146,10 +165,16 @@ class Pieces:
             out.append((np.concatenate(place), np.concatenate(share)))
         return out
 
-    def spelt(self, i: int) -> list[bytes]:
-        """A piece's words with those around it on its line: a template may be longer than a piece."""
+    def spelt(self, i: int) -> tuple[int, list[bytes]]:
+        """A piece's words with those around it in its paragraph, and the first one's place: a template may be longer than a piece."""
         own = slice(max(self.first[i] - AROUND, self.line_first[i]), min(self.last[i] + AROUND, self.line_last[i]))
-        return [self.low[a:b].tobytes() for a, b in zip(self.start[own], self.end[own])]
+        return int(own.start), [self.low[a:b].tobytes() for a, b in zip(self.start[own], self.end[own])]
+
+    def line_of(self, word: int) -> tuple[int, int]:
+        """Text and line number of a word."""
+        first, _, text, number = self.lines
+        at = np.searchsorted(first, word, "right") - 1
+        return int(text[at]), int(number[at])
 
 
 def of_texts(texts: list[str | None]) -> Pieces:
@@ -169,6 +194,91 @@ def template_share(own: list[bytes], family: str) -> float:
     return max((found & t).total() / t.total() for t in TEMPLATES[family])
 
 
+def held(own: list[bytes], template: Counter) -> float:
+    return (bag(own) & template).total() / template.total()
+
+
+def tightest(own: list[bytes], template: Counter, share_from: float) -> tuple[int, int] | None:
+    """The shortest range of words that holds enough of a template, and those beside it that hold more."""
+    count, n, a, best = Counter(), 0, 0, None
+
+    def put(key, by: int) -> int:
+        before, count[key] = count[key], count[key] + by
+        return min(count[key], template[key]) - min(before, template[key])
+
+    for b in range(len(own)):
+        n += put(own[b], 1) + (put((own[b - 1], own[b]), 1) if b > a else 0)
+        while a <= b and n / template.total() >= share_from:
+            if best is None or b + 1 - a < best[1] - best[0]:
+                best = a, b + 1
+            n += put(own[a], -1) + (put((own[a], own[a + 1]), -1) if a < b else 0)
+            a += 1
+    if best is None:
+        return None
+    a, b = best
+    share, grown = held(own[a:b], template), True
+    while grown:
+        grown = False
+        for to in [(a - k, b) for k in range(1, GAP + 2)] + [(a, b + k) for k in range(1, GAP + 2)]:
+            if to[0] >= 0 and to[1] <= len(own) and held(own[to[0] : to[1]], template) > share:
+                (a, b), grown = to, True
+                share = held(own[a:b], template)
+                break
+    return a, b
+
+
+def places(own: list[bytes], family: str, share_from: float) -> Iterator[tuple[float, int, int]]:
+    """Every range of words that holds enough of a template of the family, with the share; those of a template lie apart."""
+    for template in TEMPLATES[family]:
+        parts = [(0, len(own))]
+        while parts:
+            start, end = parts.pop()
+            if held(own[start:end], template) < share_from:
+                continue
+            a, b = tightest(own[start:end], template, share_from)
+            yield held(own[start + a : start + b], template), start + a, start + b
+            parts += [(start, start + a), (start + b, end)]
+
+
+@dataclass
+class Notice:
+    """A range of words that is a notice of a family; ``across`` if it was looked for over line ends."""
+
+    family: int
+    across: bool
+    share: float
+    chance: float
+    first: int
+    last: int
+
+
+def merged(found: list[Notice]) -> list[Notice]:
+    """One of those that share words and a family: one of a single line if there is any, else the fullest."""
+    out: list[Notice] = []
+    owner: dict[tuple[int, int], Notice] = {}
+    for notice in sorted(found, key=lambda n: (n.across, -n.share, -n.chance, n.family, n.first, n.last)):
+        words_of = [(notice.family, w) for w in range(notice.first, notice.last)]
+        known = [owner[w] for w in words_of if w in owner]
+        for one in known:
+            one.share, one.chance = max((one.share, one.chance), (notice.share, notice.chance))
+        if not known:
+            out.append(notice)
+            owner.update(dict.fromkeys(words_of, notice))
+    return out
+
+
+def apart(found: list[Notice]) -> list[Notice]:
+    """Without those that have half their words or more in fuller ones of other families, as CC BY has in CC BY-SA."""
+    out: list[Notice] = []
+    taken: set[int] = set()
+    for notice in sorted(found, key=lambda n: (-n.share, n.last - n.first, -n.chance, n.family, n.first)):
+        own = set(range(notice.first, notice.last))
+        if 2 * len(own & taken) < len(own):
+            out.append(notice)
+            taken |= own
+    return out
+
+
 @dataclass(frozen=True)
 class Classifier:
     weights: np.ndarray  # buckets by families and, last, the unknown class
@@ -237,11 +347,25 @@ def unknown_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return sorted({r[0] for r in chosen.collect()})
 
 
+def confirmed(pieces: Pieces, model: Classifier, across: bool, known_from: float, share_from: float) -> list[Notice]:
+    """Notices in the pieces that the model predicts a family for."""
+    chance, out = model.of(pieces), []
+    for i in np.flatnonzero((chance >= known_from).any(axis=1)).tolist():
+        at, words_of = pieces.spelt(i)
+        share, found, k = max(
+            (template_share(words_of, FAMILIES[k]), float(chance[i, k]), -k)
+            for k in np.flatnonzero(chance[i] >= known_from).tolist()
+        )
+        if share >= share_from:
+            out += [Notice(-k, across, s, found, at + a, at + b) for s, a, b in places(words_of, FAMILIES[-k], share_from)]
+    return out
+
+
 def scan(
     docs: DataFrame, model: Classifier, key: str = "doc_id", text: str = "text",
     known_from: float = KNOWN_FROM, share_from: float = SHARE_FROM,
 ) -> DataFrame:
-    """One row per paragraph that is a licence: key, ``paragraph`` (line number), ``family``, ``probability``, ``template_share``."""
+    """One row per line that a licence notice begins on and family: key, ``paragraph`` (line number), ``family``, ``probability``, ``template_share``."""
     docs = narrow(docs, key, text)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded: BUCKETS by families
     schema = T.StructType(
@@ -257,17 +381,12 @@ def scan(
                 pieces = Pieces(*text_bytes(column.slice(start, end - start)))
                 if not len(pieces.first):
                     continue
-                chance = own.of(pieces)
+                found = confirmed(pieces, own, False, known_from, share_from)
+                found += confirmed(pieces.across(), own, True, known_from, share_from)
                 best: dict[tuple[int, int, str], tuple[float, float]] = {}
-                for i in np.flatnonzero(chance.max(axis=1) >= known_from).tolist():
-                    words_of = pieces.spelt(i)
-                    share, found, k = max(
-                        (template_share(words_of, FAMILIES[k]), float(chance[i, k]), -k)
-                        for k in np.flatnonzero(chance[i] >= known_from).tolist()
-                    )
-                    if share >= share_from:
-                        place = (int(pieces.text[i]), int(pieces.line[i]), FAMILIES[-k])
-                        best[place] = max(best.get(place, (0.0, 0.0)), (share, found))
+                for notice in apart(merged(found)):
+                    place = (*pieces.line_of(notice.first), FAMILIES[notice.family])
+                    best[place] = max(best.get(place, (0.0, 0.0)), (notice.share, notice.chance))
                 if best:
                     found = sorted((*place, chance, share) for place, (share, chance) in best.items())
                     rows, *rest = zip(*found)

@@ -63,3 +63,34 @@ def test_odd_rows(spark, model):
     assert found == sorted([(None, 0, "mit"), (5, 0, "mit"), (5, 1, "mit")], key=repr)
     assert L.scan(docs.limit(0), model).count() == 0
     assert L.unknown_paragraphs(docs.limit(0)) == [] and L.train([]) is not None
+
+
+WRAPPED = {
+    "mit": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy",
+        'of this software and associated documentation files (the "Software"), to deal',
+        "in the Software without restriction, including without limitation the rights",
+    ),
+    "bsd": (
+        "Redistribution and use in source and binary forms, with or without",
+        "modification, are permitted provided that the following conditions are met:",
+    ),
+    "gpl-3.0": (
+        "it under the terms of the GNU General Public License as published by",
+        "the Free Software Foundation, either version 3 of the License, or",
+        "(at your option) any later version.",
+    ),
+}
+
+
+@pytest.mark.parametrize("mark, end", [("", "\n"), (" * ", "\n"), ("# ", "\r\n")])
+def test_wrapped_notices_are_found_on_their_first_line(spark, prose, model, mark, end):
+    texts, want = [], set()
+    for i, (family, lines) in enumerate(WRAPPED.items()):
+        texts.append(end.join(mark + line for line in (prose[i], *lines, prose[i + 9])))
+        want.add((i, 1, family))
+        texts.append(end.join(mark + line for line in lines))
+        want.add((i + 10, 0, family))
+    docs = spark.createDataFrame([(i // 2 + i % 2 * 10, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = [(r["doc_id"], r["paragraph"], r["family"]) for r in L.scan(docs, model).collect()]
+    assert sorted(found) == sorted(want)
