@@ -27,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays."""
-    return simhash.one_of_each(docs, simhash.near_duplicates(docs, width=4, budget=4))
+    return simhash.one_of_each(docs, simhash.near_duplicates(docs, width=4, budget=4, keep_label=True))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

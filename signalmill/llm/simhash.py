@@ -345,11 +345,13 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, budget: int = 4, node_rows: int = NODE_ROWS
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, budget: int = 4, node_rows: int = NODE_ROWS,
+    keep_label: bool = False,
 ) -> DataFrame:
     """``key``, ``fingerprint`` (16 hex digits), ``component_id`` (least key reachable by links of ``budget`` bits).
 
-    One row per row of ``docs``.
+    One row per row of ``docs``. With ``keep_label`` also ``component`` (its least fingerprint), which tells
+    components apart whose least key is the same.
     """
     marked = written(fingerprints(docs, key, text, width), "simhash")
     distinct = reliable(marked.groupBy("fp").agg(F.min(key).alias("_first")))
@@ -358,15 +360,18 @@ def near_duplicates(
     placed = distinct.join(tied, "fp", "left").select("fp", "_first", label.alias("_label"))
     # Sums up every fingerprint's first id by label before anything meets the documents.
     lowest = placed.groupBy("_label").agg(F.min("_first").alias("component_id"))
-    of_fp = placed.join(lowest, "_label").select("fp", "component_id")
+    more = [F.col("_label").alias("component")] if keep_label else []
+    of_fp = placed.join(lowest, "_label").select("fp", "component_id", *more)
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return marked.join(of_fp, "fp").select(F.col(key), digits.alias("fingerprint"), "component_id")
+    columns = [c for c in of_fp.columns if c != "fp"]
+    return marked.join(of_fp, "fp").select(F.col(key), digits.alias("fingerprint"), *columns)
 
 
 def one_of_each(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents whose key is their component's id, one row each.
+    """The documents whose key is their component's id, one row for each component.
 
-    Rows without a key stay where no document of their component has one, one row per fingerprint.
+    Of rows with one key in one component the least by fingerprint and text stays. Components with the same least
+    key are told apart by the column ``component`` of ``found``, if it has one. Rows without a key stay where no document of their component has one, one row per fingerprint.
     """
     by_key = found.where(F.col(key).isNotNull()).groupBy(key).agg(
         F.max(F.col(key) == F.col("component_id")).alias("_stays"), F.count("*").alias("_n")
@@ -376,8 +381,18 @@ def one_of_each(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: st
     others = checked_broadcast(odd.select(key))
     repeated = checked_broadcast(odd.where("_stays").select(key))
     first = docs.join(others, key, "left_anti").where(F.col(key).isNotNull())
-    again = docs.join(repeated, key, "left_semi").dropDuplicates([key])
-    named = first.select(*docs.columns).unionByName(again.select(*docs.columns))
+    named = first.select(*docs.columns)
+    if not repeated.isEmpty():
+        label = "component" if "component" in found.columns else "component_id"
+        own = found.join(repeated, key, "left_semi").where(F.col(key) == F.col("component_id"))
+        least = own.groupBy(key, label).agg(F.min("fingerprint").alias("fingerprint"))
+        again = docs.join(repeated, key, "left_semi").withColumn("_text", F.coalesce(text, F.lit("")))
+        texts = fingerprints(again.select("_text").distinct(), "_text", "_text")
+        texts = texts.select("_text", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"))
+        pairs = again.select(key, "_text").distinct().join(texts, "_text").join(least, [key, "fingerprint"])
+        chosen = pairs.groupBy(key, label).agg(F.min("_text").alias("_text")).select(key, "_text")
+        again = again.join(chosen, [key, "_text"], "left_semi").dropDuplicates([key, "_text"])
+        named = named.unionByName(again.select(*docs.columns))
     bare = docs.where(F.col(key).isNull())
     marked = bare.withColumn("_text", F.coalesce(text, F.lit(""))).dropDuplicates(["_text"])
     prints = fingerprints(marked, "_text", "_text").withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))

@@ -122,3 +122,16 @@ def test_null_ids_and_empty_table(spark):
     kept = simhash.one_of_each(docs, simhash.near_duplicates(docs))
     assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(4, "a b c d e"), (None, None)], key=repr)
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_different_texts_under_one_id_stay(spark):
+    rng = random.Random(4)
+    a, b, c = (" ".join(str(rng.random()) for _ in range(60)) for _ in range(3))
+    # 5 has a text of its own and one that 3 has too; both components of 8 have 8 as their least id.
+    rows = [(5, a), (7, a), (3, b), (5, b), (8, c), (8, c + " end"), (8, c), (8, a[::-1]), (9, a[::-1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash.one_of_each(docs, simhash.near_duplicates(docs, keep_label=True)).collect()
+    prints = {t: brute_print(t) for t in (c, c + " end")}
+    least = {c} if bin(prints[c] ^ prints[c + " end"]).count("1") > 4 else set()
+    near = {c, c + " end"} if least else {min(prints, key=lambda t: (f"{prints[t]:016x}", t))}
+    assert sorted(map(tuple, kept)) == sorted([(3, b), (5, a), (8, a[::-1]), *((8, t) for t in near)])
