@@ -3,8 +3,8 @@
 Paragraphs are classified by multinomial logistic regression on hashed words and word pairs: every line, and
 every run of lines with words as one, for notices are mostly wrapped; long ones in overlapping pieces. It is trained on the notices below, each in many worn copies (words lost,
 replaced or framed by corpus text), against paragraphs of the corpus as the unknown class. Families whose
-calibrated probability reaches a threshold are predicted; of these the one of whose templates the paragraph
-holds most words and word pairs is confirmed, if it holds enough. A notice belongs to the line that it begins on.
+calibrated probability reaches a threshold are predicted; those are confirmed of one of whose templates the
+paragraph holds enough words and word pairs, unless most of these belong to a better match. A notice belongs to the line that it begins on.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased; a version number is several
 words. Null, empty and wordless texts have no paragraph. Repeated rows give repeated results.
@@ -188,13 +188,8 @@ def bag(own: list[bytes]) -> Counter:
 TEMPLATES = {family: [bag(words(n)) for n in notices] for family, notices in NOTICES.items()}
 
 
-def template_share(own: list[bytes], family: str) -> float:
-    """The largest share of a template's words and word pairs that a paragraph holds."""
-    found = bag(own)
-    return max((found & t).total() / t.total() for t in TEMPLATES[family])
-
-
 def held(own: list[bytes], template: Counter) -> float:
+    """The share of a template's words and word pairs that a paragraph holds."""
     return (bag(own) & template).total() / template.total()
 
 
@@ -352,12 +347,9 @@ def confirmed(pieces: Pieces, model: Classifier, across: bool, known_from: float
     chance, out = model.of(pieces), []
     for i in np.flatnonzero((chance >= known_from).any(axis=1)).tolist():
         at, words_of = pieces.spelt(i)
-        share, found, k = max(
-            (template_share(words_of, FAMILIES[k]), float(chance[i, k]), -k)
-            for k in np.flatnonzero(chance[i] >= known_from).tolist()
-        )
-        if share >= share_from:
-            out += [Notice(-k, across, s, found, at + a, at + b) for s, a, b in places(words_of, FAMILIES[-k], share_from)]
+        for k in np.flatnonzero(chance[i] >= known_from).tolist():
+            found = float(chance[i, k])
+            out += [Notice(k, across, s, found, at + a, at + b) for s, a, b in places(words_of, FAMILIES[k], share_from)]
     return out
 
 

@@ -94,3 +94,13 @@ def test_wrapped_notices_are_found_on_their_first_line(spark, prose, model, mark
     docs = spark.createDataFrame([(i // 2 + i % 2 * 10, t) for i, t in enumerate(texts)], "doc_id long, text string")
     found = [(r["doc_id"], r["paragraph"], r["family"]) for r in L.scan(docs, model).collect()]
     assert sorted(found) == sorted(want)
+
+
+def test_two_families_on_one_line(spark, model):
+    texts = [
+        "Released under the MIT License. Licensed under CC BY 4.0.", "Licensed under CC BY-SA 4.0.",
+        "Released under the MIT License. Licensed under the Apache License, Version 2.0.",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = sorted((r["doc_id"], r["paragraph"], r["family"]) for r in L.scan(docs, model).collect())
+    assert found == [(0, 0, "cc-by-4.0"), (0, 0, "mit"), (1, 0, "cc-by-sa-4.0"), (2, 0, "apache-2.0"), (2, 0, "mit")]
