@@ -25,8 +25,6 @@ from signalmill.llm.linear import BUCKETS, FAMILIES, Block, fit, platt
 
 #: Labelled rows that the classifier is fitted on (half of each class) and calibrated on, at most.
 FIT_ROWS, CALIBRATION_ROWS = 2000, 2000
-#: Characters of a training text that features are taken from. Scoring always reads whole texts.
-FIT_CHARS = 20_000
 MIN_WORDS, MAX_REPEAT_PERCENT, KEEP_FROM = 10, 20, 0.5
 REPEAT_WIDTH = 5
 SYMBOLS = "#*$%&|<>"
@@ -104,26 +102,28 @@ def fold(key: str):
 
 
 def training_rows(docs: DataFrame, chosen: DataFrame, key: str, text: str, label: str) -> tuple[list, np.ndarray]:
-    """Features and labels of a bounded choice of rows, ordered by key; features are computed on the executors.
+    """Features and labels of a bounded choice of rows, ordered by key; features of the whole texts are computed on the executors.
 
     Rows that the counts reject are left out: the classifier only judges what passes them.
     """
     docs = narrow(docs, key, text).where(F.col(text).isNotNull())
-    rows = docs.join(F.broadcast(chosen), key).select(key, F.substring(text, 1, FIT_CHARS).alias(text), label)
+    rows = docs.join(F.broadcast(chosen), key).select(key, text, label)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            block = Block(batch.column(1).to_pylist())
-            found = block.features()
-            rows = pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), batch.column(2),
-                    pa.array([p.astype("<i4").tobytes() for p, _ in found], pa.binary()),
-                    pa.array([s.astype("<f4").tobytes() for _, s in found], pa.binary()),
-                ],
-                names=["key", "label", "place", "share"],
-            )
-            yield rows.filter(pa.array(~base_failed(counts(block))))
+            texts = batch.column(1).to_pylist()
+            for start, end in blocks(texts):
+                block, part = Block(texts[start:end]), batch.slice(start, end - start)
+                found = block.features()
+                rows = pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0), part.column(2),
+                        pa.array([p.astype("<i4").tobytes() for p, _ in found], pa.binary()),
+                        pa.array([s.astype("<f4").tobytes() for _, s in found], pa.binary()),
+                    ],
+                    names=["key", "label", "place", "share"],
+                )
+                yield rows.filter(pa.array(~base_failed(counts(block))))
 
     schema = T.StructType(
         [T.StructField("key", docs.schema[key].dataType), T.StructField("label", chosen.schema[label].dataType),

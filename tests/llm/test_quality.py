@@ -131,3 +131,14 @@ def test_odd_tables(spark, docs_of):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality_rules.judge(none, quality_rules.train(none, empty)).count() == 0
     assert quality_knn.score(none, quality_knn.train(none, empty)).count() == 0
+
+
+def test_training_reads_whole_texts(spark):
+    rng = random.Random(3)
+    clean = " ".join(str(rng.random()) for _ in range(1500))
+    late = clean + " one two three four five" * 1500  # rejected by the counts, but not for its first 20,000 characters
+    docs = spark.createDataFrame([(1, clean), (2, late)], "doc_id long, text string")
+    chosen = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    rows, code = quality_rules.training_rows(docs, chosen, "doc_id", "text", "quality")
+    assert len(clean) > 20_000 and code.tolist() == [1]
+    assert np.array_equal(rows[0][0], Block([clean]).features()[0][0])
