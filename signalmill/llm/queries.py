@@ -13,6 +13,7 @@ from signalmill.llm import (
     chat,
     decontaminate,
     hard_negatives,
+    lexical,
     license_scan,
     packing,
     pii,
@@ -175,3 +176,35 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vectors = table(spark, sf_dir, "embeddings").withColumn("label", label)
     return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
+@query(
+    "op12_lexical_search",
+    r"""
+    WITH d AS (
+      SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+      FROM documents),
+    held AS (SELECT row_number() OVER () AS doc, doc_id, len(terms) AS n, terms FROM d WHERE len(terms) > 0),
+    corpus AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM held),
+    tf AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(terms) AS term FROM held) GROUP BY ALL),
+    w AS (
+      SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+      FROM tf, corpus GROUP BY term, docs),
+    q AS (
+      SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+      FROM benchmark),
+    times AS (SELECT item_id, term, count(*) AS times FROM q GROUP BY ALL),
+    s AS (
+      SELECT item_id, doc_id, doc,
+             CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total)))) AS BIGINT) AS score
+      FROM times JOIN tf USING (term) JOIN w USING (term) JOIN held USING (doc), corpus GROUP BY ALL)
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+    FROM s WHERE score > 0
+    QUALIFY rank <= 20
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
