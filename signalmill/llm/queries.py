@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from signalmill.llm import (
     bpe,
     chat,
+    cutting_stock,
     decontaminate,
     hard_negatives,
     lexical,
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 PSEUDONYM_KEY = "signalmill"
 
 
@@ -208,3 +210,9 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best documents of every benchmark item."""
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_cutting_stock")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in sequences of 2048 ids."""
+    return cutting_stock.pack(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
