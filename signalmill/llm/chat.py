@@ -32,15 +32,16 @@ def segments(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
         F.col(conv).alias("_conv"), F.col(turn).alias("_turn"),
         F.coalesce(F.col(role), F.lit("unknown")).alias("_role"), F.coalesce(F.col(text), F.lit("")).alias("_text"),
     )
-    # A null chunk would not join: turns without a number have the last chunk, null conversations a flag of their own.
+    # Nulls would not join: turns without a number have the last chunk, null conversations a key that no id has.
+    def key_of(conv: Column) -> Column:
+        return F.when(conv.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), conv.cast("string")))
+
     chunk = F.coalesce(F.floor(F.col("_turn") / CHUNK_TURNS), F.lit(2**62))
-    rows = rows.withColumns({"_chunk": chunk, "_key": F.coalesce(F.col("_conv").cast("string"), F.lit("null"))})
+    rows = rows.withColumns({"_chunk": chunk, "_key": key_of(F.col("_conv"))})
     # The only exchange of texts; grouping, join and windows below keep its partitioning.
-    rows = rows.repartition("_key", "_chunk").groupBy("_key", "_chunk", "_conv", "_turn", "_role", "_text").agg(
-        F.count("*").alias("_n")
-    )
+    rows = rows.repartition("_key", "_chunk").distinct()
     names = turns.select(
-        F.coalesce(F.col(conv).cast("string"), F.lit("null")).alias("_key"),
+        key_of(F.col(conv)).alias("_key"),
         F.coalesce(F.floor(F.col(turn) / CHUNK_TURNS), F.lit(2**62)).alias("_chunk"),
         F.coalesce(F.col(role), F.lit("unknown")).alias("perspective"),
     )

@@ -50,3 +50,9 @@ def test_empty_table_and_no_python(spark):
     assert chat.segments(table.limit(0)).count() == 0
     plan = chat.segments(table)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_null_ids_are_no_conversation_of_another_name(spark):
+    rows = [(c, t, "ann", f"hi {t}") for c in (None, "null", "", "=", "7") for t in (0, 1)]
+    table = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")
+    assert set(map(tuple, chat.segments(table).collect())) == brute(rows)
