@@ -11,7 +11,8 @@ shared ones; all others are left out before their SimHash is computed, which los
 
 Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. Items of fewer than five
 words have one shingle, all their words, and match documents that hold these words in a row. Null or
-wordless texts and items match nothing. Repeated rows give repeated results once per id.
+wordless texts and items match nothing. Repeated rows give repeated results once per id. An item's id may be of any
+simple type; items without an id are searched for like others and reported together under a null id.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from signalmill.llm.common import SpanHash, blocks, narrow, runs_of, spans, text_bytes
 
@@ -202,16 +204,19 @@ def leaks(
     """
     narrowed = narrow(docs, key, text)
     schema = T.StructType(
-        [docs.schema[key], T.StructField(item, T.LongType()), T.StructField("similarity", T.DoubleType()),
+        [docs.schema[key], T.StructField(item, benchmark.schema[item].dataType), T.StructField("similarity", T.DoubleType()),
          T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType())]
     )
 
-    def listed(bench: Benchmark, batch: pa.RecordBatch, start: int, end: int) -> pa.RecordBatch:
+    item_kind = to_arrow_type(benchmark.schema[item].dataType)
+
+    def listed(bench: Benchmark, ids: list, batch: pa.RecordBatch, start: int, end: int) -> pa.RecordBatch:
         column = batch.column(1).slice(start, end - start)
-        rows, *rest = zip(*found) if (found := list(bench.leaks(*text_bytes(column)))) else ((), (), (), (), ())
+        rows, items, *rest = zip(*found) if (found := list(bench.leaks(*text_bytes(column)))) else ((), (), (), (), ())
         keys = batch.column(0).slice(start, end - start).take(pa.array(rows, pa.int64()))
-        kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([keys, *(pa.array(c, k) for c, k in zip(rest, kinds))], names=schema.names)
+        names = pa.array([ids[i] for i in items], item_kind)
+        kinds = (pa.float64(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([keys, names, *(pa.array(c, k) for c, k in zip(rest, kinds))], names=schema.names)
 
     found = None
     for sent in _parts(benchmark, item, item_text):
@@ -229,7 +234,7 @@ def without_leaks(
 ) -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark item."""
 
-    def clean(bench: Benchmark, batch: pa.RecordBatch, start: int, end: int) -> pa.RecordBatch:
+    def clean(bench: Benchmark, ids: list, batch: pa.RecordBatch, start: int, end: int) -> pa.RecordBatch:
         rows = batch.slice(start, end - start)
         kept = np.ones(end - start, bool)
         kept[[found[0] for found in bench.leaks(*text_bytes(rows.column(at)))]] = False
@@ -243,14 +248,15 @@ def without_leaks(
 
 def _parts(benchmark: DataFrame, item: str, item_text: str) -> list:
     """The items, as broadcasts of BENCHMARK_BYTES on average at most: the benchmark is a stated query set."""
-    items = narrow(benchmark, item, item_text).dropna()
+    items = narrow(benchmark, item, item_text).where(F.col(f"`{item_text}`").isNotNull()).distinct()
     size = items.agg(F.sum(F.octet_length(item_text))).head()[0] or 0
     parts = max(1, -(-int(size) // BENCHMARK_BYTES))
     sent = []
     for p in range(parts):
         own = items.where(F.pmod(F.xxhash64(item, item_text), F.lit(parts)) == p) if parts > 1 else items
-        rows = sorted({(int(r[0]), r[1]) for r in own.collect()})
-        sent.append(benchmark.sparkSession.sparkContext.broadcast(rows))
+        # An item's own id may be of any type, null, or that of several items: here it goes by its number.
+        rows = sorted(own.collect(), key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, r[1]))
+        sent.append(benchmark.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [(i, r[1]) for i, r in enumerate(rows)])))
     return sent
 
 
@@ -258,9 +264,10 @@ def _on_blocks(sent, width: int, similarity: float, radius: int, at: int, fn):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench = None
         for batch in batches:
-            bench = bench or Benchmark(sent.value, width, similarity, radius)
+            names, items = sent.value
+            bench = bench or Benchmark(items, width, similarity, radius)
             for start, end in blocks(batch.column(at).to_pylist()):
-                out = fn(bench, batch, start, end)
+                out = fn(bench, names, batch, start, end)
                 if out.num_rows:
                     yield out
 

@@ -84,3 +84,13 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.leaks(docs, none).count() == 0 and D.without_leaks(docs, none).count() == 1
     assert D.leaks(docs.limit(0), docs.withColumnRenamed("doc_id", "item_id")).count() == 0
+
+
+def test_items_of_any_id(spark, docs_of):
+    words = [" ".join(f"{c}{k}" for k in range(12)) for c in "abcd"]
+    docs = docs_of([f"start {words[0]} end", f"start {words[1]} end", f"{words[2]} and {words[3]}", "clean text of nobody"])
+    bench = spark.createDataFrame([("x", words[0]), (None, words[1]), ("7", words[2]), (None, words[3]), ("y", None)], "item_id string, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in D.leaks(docs, bench).collect()}
+    assert found == {(0, "x"), (1, None), (2, "7"), (2, None)}
+    assert [r["doc_id"] for r in D.without_leaks(docs, bench).collect()] == [3]
+    assert dict(D.leaks(docs, bench).dtypes)["item_id"] == "string"
