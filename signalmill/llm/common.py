@@ -17,6 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``docs`` has; Spark doesn't tell cases apart."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def narrow(docs: DataFrame, *columns: str) -> DataFrame:
     """Only these columns: others never reach a Python worker, whatever they are called."""
     return docs.select(*(F.col(f"`{c}`") for c in columns))

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from signalmill.llm.common import unused
+
 ROUNDS = 8
 
 # Formats and number ranges.
@@ -256,7 +258,8 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text", counts: bool = F
     # Every kind has a digit or an @, but for keys, which may be letters only.
     may = value.rlike("[0-9@]") | value.contains("AKIA") | value.contains("ASIA")
     found = F.when(may, F.regexp_extract_all(value, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    rows = docs.withColumn("_found", found)
+    held = unused(docs, "_found")
+    rows = docs.withColumn(held, found)
 
     def kind_of(m: Column) -> Column:
         out = F.lit(None).cast("string")
@@ -270,16 +273,16 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text", counts: bool = F
             out = F.when(x["kind"] == kind, fn(x["value"], key)).otherwise(out)
         return F.struct(x["kind"].alias("kind"), x["value"].alias("value"), out.alias("new"))
 
-    kinds = F.transform("_found", lambda m: F.struct(kind_of(m).alias("kind"), m.alias("value")))
-    rows = rows.withColumn("_found", F.transform(kinds, changed))
+    kinds = F.transform(held, lambda m: F.struct(kind_of(m).alias("kind"), m.alias("value")))
+    rows = rows.withColumn(held, F.transform(kinds, changed))
     parts = F.split(value, ANY, -1)
-    put = F.concat(F.array(F.lit("")), F.transform("_found", lambda x: F.coalesce(x["new"], x["value"])))
+    put = F.concat(F.array(F.lit("")), F.transform(held, lambda x: F.coalesce(x["new"], x["value"])))
     joined = F.array_join(F.zip_with(put, parts, lambda m, gap: F.concat(m, gap)), "")
-    any_new = F.exists("_found", lambda x: x["new"].isNotNull())
-    out = rows.withColumn("_text", F.when(value.isNotNull() & any_new, joined).otherwise(value))
-    new_of = lambda kind: F.size(F.filter("_found", lambda x: (x["kind"] == kind) & x["new"].isNotNull())).cast("long")
+    any_new = F.exists(held, lambda x: x["new"].isNotNull())
+    put_in = F.when(value.isNotNull() & any_new, joined).otherwise(value)
+    new_of = lambda kind: F.size(F.filter(held, lambda x: (x["kind"] == kind) & x["new"].isNotNull())).cast("long")
     extra = [new_of(kind).alias(f"n_{kind}") for kind in KINDS] if counts else []
     if counts:
-        extra.append(F.size(F.filter("_found", lambda x: x["new"].isNotNull())).cast("long").alias("n_values"))
-    kept = [F.col("_text").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*kept, *extra)
+        extra.append(F.size(F.filter(held, lambda x: x["new"].isNotNull())).cast("long").alias("n_values"))
+    kept = [put_in.alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    return rows.select(*kept, *extra)

@@ -136,3 +136,11 @@ def test_counts_extra_columns_and_no_python(spark):
     plan = out._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert pii.pseudonymize(docs.limit(0), KEY).count() == 0
+
+
+def test_no_original_value_reaches_another_column(spark):
+    text = "write to someone.else@example.org or call"
+    docs = spark.createDataFrame([(1, text, "kept", [1], "K")], "doc_id long, text string, _text string, _found array<int>, _FOUND_ string")
+    row = pii.pseudonymize(docs, "key", counts=True).first()
+    assert row["_text"] == "kept" and row["_found"] == [1] and row["_FOUND_"] == "K" and row["n_email"] == 1
+    assert "someone.else" not in str(row)
