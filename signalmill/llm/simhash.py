@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from signalmill.llm.common import narrow
+from signalmill.llm.common import narrow, unused
 from signalmill.operators.skew import checked_broadcast
 from signalmill.session import reliable
 from signalmill.sources.tables import written
@@ -367,12 +367,13 @@ def near_duplicates(
     return marked.join(of_fp, "fp").select(F.col(key), digits.alias("fingerprint"), *columns)
 
 
-def one_of_each(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
     """The documents whose key is their component's id, one row for each component.
 
     Of rows with one key in one component the least by fingerprint and text stays. Components with the same least
-    key are told apart by the column ``component`` of ``found``, if it has one. Rows without a key stay where no document of their component has one, one row per fingerprint.
+    key are told apart by the column ``component`` of ``found``, if it has one. ``width`` is that of ``found``. Rows without a key stay where no document of their component has one, one row per fingerprint.
     """
+    own_text = unused(docs, "_text")
     by_key = found.where(F.col(key).isNotNull()).groupBy(key).agg(
         F.max(F.col(key) == F.col("component_id")).alias("_stays"), F.count("*").alias("_n")
     )
@@ -386,16 +387,16 @@ def one_of_each(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: st
         label = "component" if "component" in found.columns else "component_id"
         own = found.join(repeated, key, "left_semi").where(F.col(key) == F.col("component_id"))
         least = own.groupBy(key, label).agg(F.min("fingerprint").alias("fingerprint"))
-        again = docs.join(repeated, key, "left_semi").withColumn("_text", F.coalesce(text, F.lit("")))
-        texts = fingerprints(again.select("_text").distinct(), "_text", "_text")
-        texts = texts.select("_text", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"))
-        pairs = again.select(key, "_text").distinct().join(texts, "_text").join(least, [key, "fingerprint"])
-        chosen = pairs.groupBy(key, label).agg(F.min("_text").alias("_text")).select(key, "_text")
-        again = again.join(chosen, [key, "_text"], "left_semi").dropDuplicates([key, "_text"])
+        again = docs.join(repeated, key, "left_semi").withColumn(own_text, F.coalesce(F.col(f"`{text}`"), F.lit("")))
+        texts = fingerprints(again.select(own_text).distinct(), own_text, own_text, width)
+        texts = texts.select(own_text, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"))
+        pairs = again.select(key, own_text).distinct().join(texts, own_text).join(least, [key, "fingerprint"])
+        chosen = pairs.groupBy(key, label).agg(F.min(own_text).alias(own_text)).select(key, own_text)
+        again = again.join(chosen, [key, own_text], "left_semi").dropDuplicates([key, own_text])
         named = named.unionByName(again.select(*docs.columns))
     bare = docs.where(F.col(key).isNull())
-    marked = bare.withColumn("_text", F.coalesce(text, F.lit(""))).dropDuplicates(["_text"])
-    prints = fingerprints(marked, "_text", "_text").withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
+    marked = bare.withColumn(own_text, F.coalesce(F.col(f"`{text}`"), F.lit(""))).dropDuplicates([own_text])
+    prints = fingerprints(marked, own_text, own_text, width).withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
     alone = found.where(F.col(key).isNull() & F.col("component_id").isNull()).select("fingerprint").distinct()
-    chosen = prints.join(alone, "fingerprint", "left_semi").groupBy("fingerprint").agg(F.min("_text").alias("_text"))
-    return named.unionByName(marked.join(chosen, "_text", "left_semi").select(*docs.columns))
+    chosen = prints.join(alone, "fingerprint", "left_semi").groupBy("fingerprint").agg(F.min(own_text).alias(own_text))
+    return named.unionByName(marked.join(chosen, own_text, "left_semi").select(*docs.columns))

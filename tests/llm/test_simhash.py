@@ -135,3 +135,15 @@ def test_different_texts_under_one_id_stay(spark):
     least = {c} if bin(prints[c] ^ prints[c + " end"]).count("1") > 4 else set()
     near = {c, c + " end"} if least else {min(prints, key=lambda t: (f"{prints[t]:016x}", t))}
     assert sorted(map(tuple, kept)) == sorted([(3, b), (5, a), (8, a[::-1]), *((8, t) for t in near)])
+
+
+def test_one_of_each_leaves_other_columns_alone(spark):
+    texts = ["one two three four five six", "one two three four five six", "other words are written down here", None]
+    rows = [(i if i < 3 else None, t, f"keep {i}", [i]) for i, t in enumerate(texts)] + [(0, "one two three four five six", "keep 9", [9])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _text string, fp array<int>")
+    for width in (2, 4):
+        found = simhash.near_duplicates(docs, width=width, budget=4, keep_label=True)
+        kept = simhash.one_of_each(docs, found, width=width)
+        assert kept.columns == docs.columns
+        got = sorted(((r["doc_id"], r["_text"]) for r in kept.collect()), key=repr)
+        assert [g[0] for g in got] == [0, 2, None] and {g[1] for g in got} <= {f"keep {i}" for i in (0, 2, 3, 9)}
