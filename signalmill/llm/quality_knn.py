@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from signalmill.llm.common import blocks, narrow
 from signalmill.llm.linear import Block
-from signalmill.llm.quality_rules import fold, sample
+from signalmill.llm.quality_rules import fold, one_text_each, sample
 
 #: Terms by family, dimensions of the space, labelled rows in it at most, neighbours that vote.
 TERMS, DIMENSIONS, LABELLED_ROWS, NEIGHBOURS = (2048, 512, 512), 48, 3000, 15
@@ -96,7 +96,7 @@ def train(
 ) -> Space:
     """The space of at most ``labelled_rows`` labelled texts; their terms are counted on the executors."""
     chosen = sample(labels.where(fold(key) != 1).where(F.col(label).isin(0, 1)), labelled_rows, key, label)
-    rows = narrow(docs, key, text).where(F.col(text).isNotNull()).join(F.broadcast(chosen), key).select(key, text, label)
+    rows = one_text_each(narrow(docs, key, text).where(F.col(text).isNotNull()).join(F.broadcast(chosen), key), key, text, label)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

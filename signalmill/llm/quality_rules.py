@@ -5,13 +5,13 @@ n-grams, whose probabilities are calibrated (Platt) on labelled rows that it was
 whole text is scored in Arrow batches against a fixed threshold.
 
 Nulls are empty texts: they have no words and fail the counts. Rows without a label, with a null label or
-without a text take no part in the training. Where labels of both classes are missing there is no
+without a text take no part in the training, and a key that repeats is learnt from once. Where labels of both classes are missing there is no
 classifier: every score is 1 and the counts alone decide. Repeated rows are judged alike.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -61,8 +61,11 @@ def counts(block: Block) -> dict[str, np.ndarray]:
     filled = np.searchsorted(block.word_start, stops) > np.searchsorted(block.word_start, starts)
     # A line start and a text's first place sort alike, so starts and stops pair up in order.
     line_text = np.repeat(np.arange(block.n), 1 + np.diff(np.searchsorted(ends, block.offsets)))
-    line_hash = mix(block.hash.of(starts, stops) ^ mix(line_text.astype(np.uint64)))[filled]
-    out["n_dup_lines"] = _repeats(line_hash, line_text[filled], block.n)
+    starts, stops, line_text = starts[filled], stops[filled], line_text[filled]
+    line_hash = mix(block.hash.of(starts, stops) ^ mix(line_text.astype(np.uint64)))
+    own = lambda i: (int(line_text[i]), block.points[starts[i] : stops[i]].tobytes())
+    line = same_groups(line_hash, lambda i, j: (line_text[i] == line_text[j]) & same_spans(block.points, starts, stops, i, j), own)
+    out["n_dup_lines"] = _repeats(line, line_text, block.n)
 
     width = REPEAT_WIDTH
     covered = np.zeros(len(block.words) + 1, np.int64)
@@ -70,6 +73,18 @@ def counts(block: Block) -> dict[str, np.ndarray]:
         first = np.arange(len(block.words) - width + 1)
         first = first[text_of_word[first] == text_of_word[first + width - 1]]
         gram = mix(runs_of(block.words, width)[first] ^ mix(text_of_word[first].astype(np.uint64)))
+
+        def same(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            out = text_of_word[first[i]] == text_of_word[first[j]]
+            for k in range(width):
+                out &= same_spans(block.points, block.word_start, block.word_end, first[i] + k, first[j] + k)
+            return out
+
+        def own(i: int) -> tuple:
+            at = range(first[i], first[i] + width)
+            return int(text_of_word[first[i]]), *(block.points[block.word_start[w] : block.word_end[w]].tobytes() for w in at)
+
+        gram = same_groups(gram, same, own)
         _, inverse, times = np.unique(gram, return_inverse=True, return_counts=True)
         twice = first[times[inverse] > 1]
         np.add.at(covered, twice, 1)
@@ -79,6 +94,35 @@ def counts(block: Block) -> dict[str, np.ndarray]:
     return out
 
 
+def same_spans(points: np.ndarray, starts: np.ndarray, stops: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the characters of spans ``i`` are those of spans ``j``."""
+    sizes = stops[i] - starts[i]
+    out = sizes == stops[j] - starts[j]
+    wide = np.flatnonzero(out & (sizes > 0))
+    if len(wide):
+        n = sizes[wide]
+        first = np.cumsum(n) - n
+        at = np.arange(int(n.sum())) - np.repeat(first, n)
+        equal = points[np.repeat(starts[i[wide]], n) + at] == points[np.repeat(starts[j[wide]], n) + at]
+        out[wide] = np.logical_and.reduceat(equal, first)
+    return out
+
+
+def same_groups(hashes: np.ndarray, same: Callable, own: Callable) -> np.ndarray:
+    """Numbers that are equal for equal things only: hashes tell most apart, equal ones are compared (``same``).
+
+    Where a hash turns out to stand for several things, each is named by itself (``own``).
+    """
+    _, first, group, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(times[group] > 1)
+    differ = shared[~same(shared, first[group[shared]])]
+    if len(differ):
+        names: dict = {}
+        for i in np.flatnonzero(np.isin(group, group[differ])).tolist():
+            group[i] = len(first) + names.setdefault(own(i), len(names))
+    return group
+
+
 def base_failed(found: dict[str, np.ndarray]) -> np.ndarray:
     n, repeated = found["n_words"], found["n_repeat_words"]
     return (n < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * n)
@@ -101,13 +145,19 @@ def fold(key: str):
     return F.crc32(F.col(key).cast("string").cast("binary")) % 3
 
 
+def one_text_each(rows: DataFrame, key: str, text: str, label: str) -> DataFrame:
+    """One of the texts of each key, by hash: a key that is repeated is learnt from once."""
+    least = F.min_by(F.struct(text, label), F.struct(F.xxhash64(text), F.col(text))).alias("_least")
+    return rows.groupBy(key).agg(least).select(key, f"_least.{text}", f"_least.{label}")
+
+
 def training_rows(docs: DataFrame, chosen: DataFrame, key: str, text: str, label: str) -> tuple[list, np.ndarray]:
     """Features and labels of a bounded choice of rows, ordered by key; features of the whole texts are computed on the executors.
 
     Rows that the counts reject are left out: the classifier only judges what passes them.
     """
     docs = narrow(docs, key, text).where(F.col(text).isNotNull())
-    rows = docs.join(F.broadcast(chosen), key).select(key, text, label)
+    rows = one_text_each(docs.join(F.broadcast(chosen), key), key, text, label)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

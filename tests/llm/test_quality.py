@@ -142,3 +142,20 @@ def test_training_reads_whole_texts(spark):
     rows, code = quality_rules.training_rows(docs, chosen, "doc_id", "text", "quality")
     assert len(clean) > 20_000 and code.tolist() == [1]
     assert np.array_equal(rows[0][0], Block([clean]).features()[0][0])
+
+
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s
+
+
+def test_counts_hold_where_hashes_collide():
+    """Sums of odd powers modulo 2**64 do not tell a Thue-Morse word of 2,048 letters and more from its complement."""
+    s = thue_morse(4096)
+    t = s.translate(str.maketrans("ab", "ba"))
+    texts = [f"{s}\n{t}\nx y z", f"{s} b c d e {t} b c d e x", f"{s}\n{t}\n{s}\n{t}", f"{s} b c d e {t} b c d e {s} b c d e"]
+    found = quality_rules.counts(Block(texts))
+    assert found["n_dup_lines"].tolist() == [0, 0, 2, 0]
+    assert found["n_repeat_words"].tolist() == [0, 0, 0, 10]
