@@ -43,17 +43,53 @@ NOTICES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "SPDX-License-Identifier: GPL-3.0-only",
+    ),
+    "gpl-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
+        "SPDX-License-Identifier: GPL-2.0-only",
+    ),
+    "agpl-3.0": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+        "SPDX-License-Identifier: AGPL-3.0-only",
     ),
     "lgpl": (
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
         "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "SPDX-License-Identifier: LGPL-2.1-only",
+    ),
+    "isc": (
+        "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "SPDX-License-Identifier: ISC",
     ),
     "bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Released under the BSD 3-Clause License.",
+        "Released under the BSD 2-Clause License.",
+        "SPDX-License-Identifier: BSD-3-Clause",
+        "SPDX-License-Identifier: BSD-2-Clause",
     ),
     "mpl-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "SPDX-License-Identifier: MPL-2.0",
+    ),
+    "cc-by-nc-nd-4.0": (
+        "Licensed under CC BY-NC-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    ),
+    "cc-by-nc-sa-4.0": (
+        "Licensed under CC BY-NC-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    ),
+    "cc-by-nd-4.0": (
+        "Licensed under CC BY-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
     ),
     "cc-by-nc-4.0": (
         "Licensed under CC BY-NC 4.0.",
@@ -71,19 +107,45 @@ NOTICES = {
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     ),
 }
+# Words that decide between families whose notices are much alike. Of each group a notice has one at least;
+# it has none of the words that name another family.
+_NC, _ND, _SA = ("nc", "noncommercial"), ("nd", "noderivatives", "noderivs"), ("sa", "sharealike")
+_GNU = ("affero", "agpl"), ("lesser", "lgpl", "library")
+DECIDING = {
+    "apache-2.0": ((("apache",), ("2",)), ()),
+    "mit": ((("mit", "permission"),), ()),
+    "gpl-3.0": ((("general", "gpl"), ("3",)), (*_GNU[0], *_GNU[1])),
+    "gpl-2.0": ((("general", "gpl"), ("2",)), (*_GNU[0], *_GNU[1])),
+    "agpl-3.0": ((_GNU[0],), _GNU[1]),
+    "lgpl": ((_GNU[1],), _GNU[0]),
+    "isc": ((("isc", "permission"),), ()),
+    "bsd": ((("bsd", "redistribution"),), ()),
+    "mpl-2.0": ((("mozilla", "mpl"), ("2",)), ()),
+    "cc-by-nc-nd-4.0": ((("by", "attribution"), _NC, _ND, ("4",)), _SA),
+    "cc-by-nc-sa-4.0": ((("by", "attribution"), _NC, _SA, ("4",)), _ND),
+    "cc-by-nd-4.0": ((("by", "attribution"), _ND, ("4",)), (*_NC, *_SA)),
+    "cc-by-nc-4.0": ((("by", "attribution"), _NC, ("4",)), (*_ND, *_SA)),
+    "cc-by-sa-4.0": ((("by", "attribution"), _SA, ("4",)), (*_NC, *_ND)),
+    "cc-by-4.0": ((("by", "attribution"), ("4",)), (*_NC, *_ND, *_SA)),
+    "cc0-1.0": ((("waived",),), ()),
+}
+#: Words that deny a notice within it or just before it, how far before, and how far behind a notice a deciding word may stand.
+DENYING, BEFORE, BEHIND = (b"not", b"never", b"neither", b"nor", b"isn", b"wasn", b"aren"), 2, 2
 #: Sentences about licences that name none of the families.
 NO_FAMILY = (
     "This work is licensed under terms that the author will send on request.",
     "All rights reserved; see the license of the vendor for the conditions of use.",
     "The software is released under a proprietary license, version 4.",
     "A driving license is needed to rent a car in this country.",
+    "This work is licensed under a license that is not open.",
+    "The terms of the public license of the city apply to market stalls.",
 )
 FAMILIES = tuple(NOTICES)
 
 #: Hash buckets; words of a piece, how far pieces overlap, and words around a piece that are compared too.
 BUCKETS, PIECE, OVERLAP, AROUND = 1 << 15, 20, 10, 40
 #: Worn copies of each notice; corpus paragraphs of the unknown class, at most; least probability and template share.
-COPIES, UNKNOWN_ROWS, KNOWN_FROM, SHARE_FROM = 40, 3000, 0.2, 0.8
+COPIES, UNKNOWN_ROWS, KNOWN_FROM, SHARE_FROM = 40, 3000, 0.05, 0.8
 #: Words that a range of a template's words may grow over, where that gains more of it.
 GAP = 2
 
@@ -222,8 +284,23 @@ def tightest(own: list[bytes], template: Counter, share_from: float) -> tuple[in
     return a, b
 
 
+def decided(own: list[bytes], a: int, b: int, family: str) -> bool:
+    """Whether a range of words has what decides for the family, nothing that names another, and is not denied.
+
+    A deciding word may stand just behind the range, as a version number does.
+    """
+    groups, others = DECIDING[family]
+    inside, behind = set(own[a:b]), set(own[a : b + BEHIND])
+    if any(w.encode() in inside for w in others) or not all(any(w.encode() in behind for w in group) for group in groups):
+        return False
+    return not any(w in inside or w in own[max(0, a - BEFORE) : a] for w in DENYING)
+
+
 def places(own: list[bytes], family: str, share_from: float) -> Iterator[tuple[float, int, int]]:
     """Every range of words that holds enough of a template of the family, with the share; those of a template lie apart."""
+    there = set(own)
+    if not all(any(w.encode() in there for w in group) for group in DECIDING[family][0]):
+        return
     for template in TEMPLATES[family]:
         parts = [(0, len(own))]
         while parts:
@@ -231,7 +308,8 @@ def places(own: list[bytes], family: str, share_from: float) -> Iterator[tuple[f
             if held(own[start:end], template) < share_from:
                 continue
             a, b = tightest(own[start:end], template, share_from)
-            yield held(own[start + a : start + b], template), start + a, start + b
+            if decided(own, start + a, start + b, family):
+                yield held(own[start + a : start + b], template), start + a, start + b
             parts += [(start, start + a), (start + b, end)]
 
 
@@ -333,13 +411,21 @@ def train(unknown: list[str], seed: int = 11) -> Classifier:
 
 
 def unknown_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: int = UNKNOWN_ROWS) -> list[str]:
-    """First paragraphs of a bounded choice of texts (low hashes of their keys) that do not mention licences."""
+    """Pieces of at most PIECE words of a bounded choice of texts (low hashes of their keys) that do not mention licences.
+
+    From every paragraph of the texts chosen a piece at a hashed place is drawn; the ``rows`` pieces of least hash are taken.
+    """
     some = least_hashes(narrow(docs, key, text), [key], rows, docs.count())
-    bare = some.select(F.element_at(F.split(F.col(f"`{text}`"), "\n", 2), 1).alias("p")).where(
-        ~F.lower("p").rlike("licen[sc]|copyright|permi(t|ssion)|spdx") & (F.length("p") > 0)
+    lines = some.select(F.explode(F.split(F.col(f"`{text}`"), "\n")).alias("p")).where(
+        ~F.lower("p").rlike("licen[sc]|copyright|permi(t|ssion)|spdx")
     )
-    chosen = bare.select(F.substring("p", 1, 400).alias("p")).orderBy(F.xxhash64("p"), "p").limit(rows)
-    return sorted({r[0] for r in chosen.collect()})
+    split = lines.select(F.filter(F.split("p", "\\s+"), lambda w: F.length(w) > 0).alias("w")).where(F.size("w") > 0)
+    places_of = F.greatest(F.lit(1), F.size("w") - PIECE + 1)
+    start = (F.pmod(F.xxhash64("w"), places_of) + 1).cast("int")
+    drawn = split.select(F.array_join(F.slice("w", start, F.lit(PIECE)), " ").alias("p"))
+    # A word may be of any length, but what is learnt is its hash.
+    chosen = drawn.where(F.length("p") <= PIECE * 100).distinct().orderBy(F.xxhash64("p"), "p").limit(rows)
+    return sorted(r[0] for r in chosen.collect())
 
 
 def confirmed(pieces: Pieces, model: Classifier, across: bool, known_from: float, share_from: float) -> list[Notice]:

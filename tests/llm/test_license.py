@@ -104,3 +104,73 @@ def test_two_families_on_one_line(spark, model):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = sorted((r["doc_id"], r["paragraph"], r["family"]) for r in L.scan(docs, model).collect())
     assert found == [(0, 0, "cc-by-4.0"), (0, 0, "mit"), (1, 0, "cc-by-sa-4.0"), (2, 0, "apache-2.0"), (2, 0, "mit")]
+
+
+@pytest.mark.parametrize(
+    "text, family",
+    [
+        ("it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "gpl-2.0"),
+        ("it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "agpl-3.0"),
+        ("This work is licensed under the GNU General Public License, version 2.", "gpl-2.0"),
+        ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "cc-by-nd-4.0"),
+        ("Licensed under CC BY-ND 4.0.", "cc-by-nd-4.0"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "cc-by-nc-sa-4.0"),
+        ("SPDX-License-Identifier: GPL-2.0-or-later", "gpl-2.0"),
+        ("SPDX-License-Identifier: GPL-3.0-only", "gpl-3.0"),
+        ("SPDX-License-Identifier: BSD-3-Clause", "bsd"),
+        ("This work is not licensed under a Creative Commons Attribution 4.0 International License.", None),
+        ("This work was never licensed under the GNU General Public License, version 3.", None),
+    ],
+)
+def test_the_deciding_words_decide(spark, model, prose, text, family):
+    docs = spark.createDataFrame([(1, text), (2, f"{prose[5]}\n{text}\n{prose[6]}")], "doc_id long, text string")
+    found = sorted((r["doc_id"], r["paragraph"], r["family"]) for r in L.scan(docs, model).collect())
+    assert found == ([(1, 0, family), (2, 1, family)] if family else [])
+
+
+def brute_families(line):
+    """By definition: every range of a line's words against every template, fullest first, sharing no half of its words."""
+    own = L.words(line)
+    hits = []
+    for k, family in enumerate(L.FAMILIES):
+        for template in L.TEMPLATES[family]:
+            ranges = [
+                (L.held(own[a:b], template), a - b, -a, k)
+                for a in range(len(own)) for b in range(a + 1, len(own) + 1) if L.held(own[a:b], template) >= L.SHARE_FROM
+            ]
+            if ranges:
+                share, width, start, _ = max(ranges)
+                if L.decided(own, -start, -start - width, family):
+                    hits.append((share, width, k, {*range(-start, -start - width)}))
+    out, taken = set(), set()
+    for _, _, k, places in sorted(hits, key=lambda h: (-h[0], -h[1], h[2])):
+        if 2 * len(places & taken) < len(places):
+            out.add(L.FAMILIES[k])
+            taken |= places
+    return out
+
+
+def test_every_template_between_prose_equals_all_ranges(spark, prose, model):
+    rng = random.Random(3)
+    lines = []
+    for family in L.FAMILIES:
+        for notice in L.NOTICES[family]:
+            own = notice.split()
+            if len(own) > 12:
+                own[rng.randrange(len(own))] = "zzz"  # one word of a long notice lost
+            before, after = (" ".join(rng.choice(prose).split()[: rng.randint(0, 12)]) for _ in range(2))
+            lines.append(" ".join([before, *own, after]).strip())
+    lines += [p[:200] for p in prose[:40]]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    found = {}
+    for r in L.scan(docs, model, known_from=0.0).collect():  # what is confirmed, whatever is predicted
+        found.setdefault(r["doc_id"], set()).add(r["family"])
+    assert {i: found.get(i, set()) for i in range(len(lines))} == {i: brute_families(line) for i, line in enumerate(lines)}
+
+
+def test_unknown_pieces_come_from_whole_texts(spark):
+    texts = ["\n".join(f"line{k} of document{i} " + " ".join(f"w{i}x{k}x{j}" for j in range(60)) for k in range(5)) for i in range(40)]
+    docs = spark.createDataFrame([*enumerate(texts), (99, None), (98, "the license of it")], "doc_id long, text string")
+    found = L.unknown_paragraphs(docs, rows=150)
+    assert len(found) == 150 and all(len(p.split()) == L.PIECE for p in found)
+    assert len({p.split()[0] for p in found}) > 20 and not any("license" in p for p in found)
