@@ -201,42 +201,6 @@ def alert_lifecycle(
     ).select(*ALERTS.names)
 
 
-def merge_alerts(
-    old: DataFrame | None, steps: DataFrame, silences: DataFrame | None = None, row_id: str = "event_id"
-) -> DataFrame:
-    """The alert table after further steps: the old rows updated by what the steps changed."""
-    if old is None:
-        return alert_lifecycle(steps, silences, row_id)
-    fresh = alert_lifecycle(steps, silences, row_id).select("fingerprint", F.struct(*ALERTS.names[1:]).alias("f"))
-    fired = F.col("step").isin("created", "updated")
-    moved = steps.groupBy("fingerprint").agg(
-        F.max(F.when(fired, F.col("occurred_at"))).alias("_seen"),
-        F.max(F.when(F.col("step") == "resolved", F.col("occurred_at"))).alias("_ended"),
-    )
-    rows = (
-        old.select("fingerprint", F.struct(*ALERTS.names[1:]).alias("o"))
-        .join(moved, "fingerprint", "full_outer")
-        .join(fresh, "fingerprint", "left")
-    )
-
-    def pick(name: str) -> Column:
-        kept = F.when(F.col("f").isNotNull(), F.col(f"f.{name}")).otherwise(F.col(f"o.{name}"))
-        if name == "state":
-            kept = F.when(F.col("f").isNull() & F.col("_ended").isNotNull(), "resolved").otherwise(kept)
-        elif name == "resolved_at":
-            kept = F.when(F.col("f").isNull() & F.col("_ended").isNotNull(), F.col("_ended")).otherwise(kept)
-        elif name in ("last_seen_at", "notified_at"):
-            seen = F.col("_seen") if name == "last_seen_at" else F.col("f.notified_at")
-            kept = F.greatest(F.col(f"o.{name}"), seen)
-        elif name == "notify_count":
-            kept = F.coalesce("o.notify_count", F.lit(0)) + F.coalesce("f.notify_count", F.lit(0))
-        return kept.alias(name)
-
-    return rows.where(F.col("o").isNotNull() | F.col("f").isNotNull()).select(
-        "fingerprint", *[pick(c) for c in ALERTS.names[1:]]
-    )
-
-
 def alert_history(steps: DataFrame, silences: DataFrame | None = None, row_id: str = "event_id") -> DataFrame:
     """created / updated / resolved rows, and notified rows for unsilenced transitions."""
     base = steps.where(F.col("step").isNotNull()).select(

@@ -105,7 +105,7 @@ def sliding_rate(
     )
 
 
-def _count_threshold(threshold: float, window: Duration) -> int:
+def count_threshold(threshold: float, window: Duration) -> int:
     """Smallest count whose rate over the window reaches the threshold."""
     if threshold <= 0:
         raise ValueError("threshold must be positive")
@@ -159,7 +159,7 @@ def error_minutes(
 ) -> DataFrame:
     """Per key and minute: rows, errors, both over the minutes before, and the rule's state."""
     n = _buckets(window, "1m")
-    needed = _count_threshold(threshold, window)
+    needed = count_threshold(threshold, window)
     here = df.groupBy(*KEYS, bucket_number(F.col("event_time"), "1m").alias("_b")).agg(
         F.count("*").alias("_rows"), F.count_if(F.col("is_error")).alias("_errors")
     )
@@ -183,7 +183,7 @@ def high_error_rate(
     ``df`` has tenant_id, service_name, event_time, signal_id, is_error (logs and spans).
     ``minutes`` is its :func:`error_minutes`, given where earlier minutes are carried in.
     """
-    needed = _count_threshold(threshold, window)
+    needed = count_threshold(threshold, window)
     if minutes is None:
         minutes = error_minutes(df, window, threshold)
     candidates = minutes.where(
@@ -278,26 +278,6 @@ def high_latency(
     )
 
 
-def carried_minutes(minutes: DataFrame, columns: dict[str, Column], window: Duration) -> DataFrame:
-    """What later batches need: minutes still inside the window, and each key's last minute."""
-    n = _buckets(window, "1m")
-    newest = F.max("_b").over(Window.partitionBy(*KEYS))
-    return (
-        minutes.select(*KEYS, "_b", *[c.alias(name) for name, c in columns.items()], "_firing", newest.alias("_newest"))
-        .where((F.col("_b") > F.col("_newest") - n))
-        .drop("_newest")
-    )
-
-
-def error_state(minutes: DataFrame, window: Duration) -> DataFrame:
-    columns = {c: F.col(c) + F.col(f"_old_{c}") for c in ("_rows", "_errors")}
-    return carried_minutes(minutes, columns, window)
-
-
-def latency_state(minutes: DataFrame, window: Duration) -> DataFrame:
-    return carried_minutes(minutes, {"_peak": F.greatest("_peak", "_old__peak")}, window)
-
-
 def rule_engine(rule_events: list[tuple[str, DataFrame]]) -> DataFrame:
     """All rules' events in rule order; a signal that trips several keeps the first rule's event."""
     merged = None

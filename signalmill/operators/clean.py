@@ -43,6 +43,10 @@ def decode_gate(df: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFra
 
     Unreadable lines do not pass either.
     """
+    return split(df, _decodes(df, strict), "decode")
+
+
+def _decodes(df: DataFrame, strict: bool) -> Column:
     text = F.decode(F.col("payload"), "UTF-8")
     empty = F.col("payload").isNull() | (F.octet_length("payload") == 0)
     good = empty | F.try_parse_json(text).isNotNull()
@@ -50,11 +54,20 @@ def decode_gate(df: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFra
         good = good | (F.col("type") != "METRIC")
     if "_corrupt_record" in df.columns:
         good = good & F.col("_corrupt_record").isNull()
-    return split(df, good, "decode")
+    return good
+
+
+def _has_tenant() -> Column:
+    return F.coalesce("tenant_id", F.lit("")) != ""
 
 
 def tenant_gate(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return split(df, F.coalesce("tenant_id", F.lit("")) != "", "no_tenant")
+    return split(df, _has_tenant(), "no_tenant")
+
+
+def passes_gates(df: DataFrame, strict: bool = False) -> Column:
+    """Whether a row passes both gates."""
+    return F.coalesce(_decodes(df, strict), F.lit(False)) & _has_tenant()
 
 
 def with_attributes(attributes: Column, **added: Column) -> Column:

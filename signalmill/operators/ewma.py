@@ -144,6 +144,18 @@ def _ewm(series: pd.Series, stretch: pd.Series, alpha: float) -> np.ndarray:
     return series.groupby(stretch, sort=False).ewm(alpha=alpha, adjust=False).mean().to_numpy()
 
 
+def fold_on(values: np.ndarray, state: tuple[float, float, int] | None, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, variance and count after each of ``values``, folded in their order from ``state``, or from nothing."""
+    x = np.concatenate([[state[0]], values]) if state else values
+    v0, n0 = (state[1], state[2]) if state else (0.0, 1)
+    one = pd.Series(np.zeros(len(x), np.int8))
+    mean = _ewm(pd.Series(x, dtype="float64"), one, alpha)
+    change = np.concatenate([[v0], (1 - alpha) * (x[1:] - mean[:-1]) ** 2])
+    var, count = _ewm(pd.Series(change), one, alpha), n0 + np.arange(len(x))
+    skip = 1 if state else 0
+    return mean[skip:], var[skip:], count[skip:]
+
+
 def _corrected(folded: DataFrame, columns: list[str], keys: list[str], alpha: float, before: bool) -> DataFrame:
     spark = folded.sparkSession
     key = F.struct(*[F.col(k) for k in keys]).alias("key")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalmill.functions import match
@@ -42,6 +42,11 @@ def trace_score(
     )
     rest = df.where(~F.coalesce(measured, F.lit(False)))
     rows = with_z.unionByName(rest, allowMissingColumns=True).withColumn("z", F.coalesce("z", F.lit(0.0)))
+    return rows.withColumn("score", span_score(boosted_services))
+
+
+def span_score(boosted_services: tuple[str, ...]) -> Column:
+    """Score of a row with ``z``; 0 for what is no span."""
 
     def points(condition, amount):
         return F.when(condition, F.lit(amount)).otherwise(F.lit(0.0))
@@ -53,7 +58,7 @@ def trace_score(
         + points(F.col("service_name").isin(list(boosted_services)), BOOSTED_POINTS)
         + points(match.label("attributes", "parent_sampled") == "true", PARENT_POINTS)
     )
-    return rows.withColumn("score", F.when(F.col("type") == "TRACE", score).otherwise(F.lit(0.0)))
+    return F.when(F.col("type") == "TRACE", score).otherwise(F.lit(0.0))
 
 
 def queue_limit(rate: float, max_size: int) -> int | None:

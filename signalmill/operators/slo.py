@@ -51,7 +51,7 @@ def slo_table(spark, slos: list[Slo]) -> DataFrame:
     return spark.createDataFrame([(s.name, s.target) for s in slos], schema)
 
 
-def _windows(pairs) -> list[int]:
+def window_minutes(pairs) -> list[int]:
     return sorted({minutes for long, short, _, _ in pairs for minutes in (long, short)})
 
 
@@ -69,17 +69,21 @@ def burn_rates(minutes: DataFrame, targets: DataFrame, pairs=WINDOW_PAIRS) -> Da
     def running(name: str, lag: int) -> Column:
         return F.coalesce(F.sum(name).over(order.rangeBetween(Window.unboundedPreceding, -lag)), F.lit(0))
 
-    rows = rows.withColumns({f"_{name}_{lag}": running(name, lag) for name in ("good", "bad") for lag in (0, *_windows(pairs))})
+    rows = rows.withColumns({f"_{name}_{lag}": running(name, lag) for name in ("good", "bad") for lag in (0, *window_minutes(pairs))})
     burns = []
-    for width in _windows(pairs):
+    for width in window_minutes(pairs):
         good, bad = (F.col(f"_{name}_0") - F.col(f"_{name}_{width}") for name in ("good", "bad"))
-        burn = F.when((good + bad > 0) & (budget > 0), bad / (good + bad) / budget).otherwise(F.lit(0.0))
-        burns.append(burn.alias(f"burn_{width}"))
+        burns.append(burn_of(good, bad, budget).alias(f"burn_{width}"))
     return rows.select("slo", "target", "minute", *burns)
 
 
-def slo_decision(burns: DataFrame, pairs=WINDOW_PAIRS) -> DataFrame:
-    """Severity per SLO and minute.
+def burn_of(good: Column, bad: Column, budget: Column) -> Column:
+    """How many times the budget allows; 0 without traffic."""
+    return F.when((good + bad > 0) & (budget > 0), bad / (good + bad) / budget).otherwise(F.lit(0.0))
+
+
+def slo_decision(burns: DataFrame, pairs=WINDOW_PAIRS, keep: list[str] | None = None) -> DataFrame:
+    """Severity per SLO and minute; columns in ``keep`` are carried along.
 
     Pairs are tried from most severe; the first whose long and short burn both reach the threshold
     decides. Without one the result is ``ok`` with the pair of the largest long burn.
@@ -112,7 +116,7 @@ def slo_decision(burns: DataFrame, pairs=WINDOW_PAIRS) -> DataFrame:
     for pair in ranked:
         chain = chain.when((loudest > 0) & (F.col(f"burn_{pair[0]}") == loudest), outcome(pair, "ok"))
     decided = burns.withColumn("_d", chain.otherwise(no_burn))
-    return decided.select("slo", "minute", "_d.*", (1 - F.col("target")).alias("error_budget"))
+    return decided.select("slo", "minute", "_d.*", (1 - F.col("target")).alias("error_budget"), *(keep or []))
 
 
 def slo_worst(decisions: DataFrame) -> DataFrame:

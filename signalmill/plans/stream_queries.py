@@ -94,7 +94,7 @@ ORACLES["stream_sampler"] = ORACLES["sample_decision"]
 def stream_anomaly(spark, sf):
     store = _store(spark, "anomaly")
     feed(spark, views.metrics(spark, sf), "timestamp", lambda s: jobs.stream_anomaly(s, store))
-    scores = store.output(spark, "scores").drop("timestamp", "batch")
+    scores = store.output(spark, "scores").drop("timestamp")
     return R.settled(scores, "baseline")
 
 
@@ -118,7 +118,7 @@ def stream_alerts(spark, sf):
     store = _store(spark, "alerts")
     hush = views.silences(spark, sf)
     feed(spark, views.alert_events(spark, sf), "occurred_at", lambda s: jobs.stream_alerts(s, store, hush))
-    final = spark.read.parquet(store.state_path("alerts", len(CUTS) - 2))
+    final = jobs.latest_alerts(store.output(spark, "alerts"))
     return final.withColumn("service", F.element_at("labels", F.lit("service"))).drop("labels", "annotations", "rule_id")
 
 

@@ -1,29 +1,34 @@
-"""Streaming jobs over the batch operators."""
+"""Streaming jobs.
+
+Keyed ones (rules, sampler, anomalies, burn rates, alerts) keep their state in Spark's state store, see ``keyed``.
+``idle`` drops the state of a key that has had no rows for so long (processing time, for triggers that go on); by default it is kept.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import contextlib
+import keyword
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from signalmill.functions import match
-from signalmill.functions.time import Duration, micros
+from signalmill.functions.time import bucket_number, Duration, duration_text, micros, seconds
 from signalmill.operators import alerts, anomaly, cep, clean, ewma, sampling, slo
 from signalmill.operators.select import for_tenant
 from signalmill.operators.series import _RANGE_AGGREGATES
-from signalmill.streaming.state import Store, Tables, run_stateful
+from signalmill.schemas import ALERTS
+from signalmill.streaming import keyed, processors
+from signalmill.streaming.state import Store, Tables, run_batches
 
 # Fixed value: rows of one tail page.
 TAIL_PAGE = 200
 
 
-def _kept(state: DataFrame | None, new: DataFrame, keys: list[str], order: str | Column) -> DataFrame:
-    """Old and new state rows, the newest per key."""
-    both = new if state is None else new.unionByName(state)
-    rest = [c for c in both.columns if c not in keys]
-    return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_s")).select(*keys, "_s.*")
-
-
 def stream_range_agg(
     stream: DataFrame, metric: str, agg: str = "avg", matchers=(), by=(), step: Duration = "30s",
     watermark: str = "1 minute", tenant: str | None = None,
@@ -60,174 +65,228 @@ def late_rows(query: StreamingQuery) -> int:
 def stream_cep(
     stream: DataFrame, store: Store, window: Duration = cep.WINDOW,
     error_rate: float = cep.ERROR_RATE_THRESHOLD, latency_ms: float = cep.LATENCY_THRESHOLD_MS,
-    lateness: Duration | None = None, trigger: dict | None = None,
+    lateness: Duration | None = None, trigger: dict | None = None, idle: Duration | None = None,
 ) -> StreamingQuery:
-    """Rule events of a stream of logs and spans: outputs ``high_error_rate``, ``high_latency`` and ``late``."""
+    """Rule events of a stream of logs and spans: outputs ``high_error_rate``, ``high_latency`` and ``late``.
 
-    def step(rows: DataFrame, state: Tables) -> tuple[Tables, Tables]:
-        errors = cep.error_minutes(rows, window, error_rate, state.get("errors"))
-        latency = cep.latency_minutes(rows, window, latency_ms, state.get("latency"))
-        outputs = {
-            "high_error_rate": cep.high_error_rate(rows, window, error_rate, errors),
-            "high_latency": cep.high_latency(rows, window, latency_ms, latency),
-        }
-        return outputs, {
-            "errors": cep.error_state(errors, window),
-            "latency": cep.latency_state(latency, window),
-        }
-
-    return run_stateful(
-        stream, store, ["errors", "latency"], step, keys=tuple(cep.KEYS), lateness=lateness, trigger=trigger
+    A service's rows take their place in time: they are held back until it has a row that is newer by ``lateness``
+    (default: not at all). Older rows than one passed on, and rows without a time, go to ``late``. Rows come to a service packed;
+    its state is a window of minutes. ``signal_id`` is a whole number; a duration that is no number counts as none.
+    """
+    if latency_ms <= 0:
+        raise ValueError("threshold must be positive")
+    needed, span = cep.count_threshold(error_rate, window), F.lit(seconds(window))
+    rows = stream.select(
+        *cep.KEYS, keyed.at_micros("event_time").alias("at_us"), F.col("signal_id").cast("long").alias("signal_id"),
+        F.coalesce("is_error", F.lit(False)).alias("is_error"), F.col("duration_ms").cast("double").alias("duration_ms"),
     )
+    packed = keyed.packed(rows, cep.KEYS, processors.RULE_COLUMNS)
+    order = keyed.Ordered("signal_id", lateness, keyed.ttl(idle, trigger))
+    rules = processors.Rules(order, max(1, micros(window) // micros("1m")), needed, float(latency_ms))
+    found = keyed.transform(packed, cep.KEYS, rules, processors.RULE_RESULT, idle)
+    at = [*cep.KEYS, keyed.time_of("at").alias("event_time"), "signal_id"]
+    text = F.lit(duration_text(window)).alias("window")
+    outputs = {
+        "high_error_rate": [
+            *at, (F.col("count") / span).alias("error_rate"), (F.col("count") / F.col("total")).alias("error_ratio"),
+            (F.col("total") / span).alias("total_rate"), text,
+        ],
+        "high_latency": [*at, F.col("duration_ms").alias("peak_latency"), F.lit(float(latency_ms)).alias("threshold"), text],
+        "late": [*at, "is_error", "duration_ms"],
+    }
+    return keyed.write_outputs(found, store, outputs, trigger)
+
+
+#: How long a trace's last sighting is remembered at least, in event time: spans may come that much out of order.
+REMEMBERED = "1h"
+#: Keys that a tenant's traces, and rows that a step passes by, are spread over.
+SPREAD = 64
+
+
+def sampled(
+    spans: DataFrame, rate: float, max_size: int, boosted_services: tuple[str, ...] = sampling.BOOSTED_SERVICES,
+    recent: Duration = sampling.RECENT, remembered: Duration = REMEMBERED,
+) -> DataFrame:
+    """A stream of spans with ``score`` and ``keep``, in three keyed steps: service, trace, tenant.
 
-
-_SERVICE = ["tenant_id", "service_name"]
-_SAMPLER_STATE = ["baselines", "last_seen", "sightings", "cutoffs"]
-
-
-def _sampler_step(rate: float, max_size: int, boosted: tuple[str, ...], recent: Duration):
-    limit = sampling.queue_limit(rate, max_size)
-
-    def step(rows: DataFrame, state: Tables) -> tuple[DataFrame, Tables]:
-        scored = sampling.trace_score(rows, boosted, init=state.get("baselines"))
-        measured = scored.where(F.col("n").isNotNull()).select(*_SERVICE, "mean", "var", "n")
-        baselines = _kept(state.get("baselines"), measured, _SERVICE, "n")
-        seen = rows.where((F.col("type") == "TRACE") & (F.coalesce("trace_id", F.lit("")) != ""))
-        last = seen.groupBy("tenant_id", "trace_id").agg(F.max("event_time").alias("event_time"))
-        last_seen = _kept(state.get("last_seen"), last, ["tenant_id", "trace_id"], "event_time")
-        # Only traces seen within `recent` of the newest row can still count as recent.
-        newest = rows.agg(F.max(F.unix_micros("event_time"))).head()[0]
-        if newest is not None:
-            last_seen = last_seen.where(F.unix_micros("event_time") > newest - micros(recent))
-        sightings, cutoffs = _queue(rows, state, limit)
-        decided = sampling.sample_decision(scored, rate, max_size, recent, state.get("last_seen"), cutoffs)
-        new_state = {
-            "baselines": baselines, "last_seen": last_seen, "sightings": sightings,
-            "cutoffs": cutoffs.select(
-                "tenant_id", F.col("_cutoff.event_time").alias("event_time"), F.col("_cutoff.signal_id").alias("signal_id")
-            ),
-        }
-        return decided, new_state
-
-    return step
-
-
-def _queue(rows: DataFrame, state: Tables, limit: int | None) -> tuple[DataFrame, DataFrame]:
-    """Traces in each tenant's queue and the tenants' cutoffs, after these rows.
-
-    A tenant keeps its sightings only until its queue is full, so they number at most ``limit``.
+    A span is decided in the micro-batch that brings it, those of a micro-batch in time order, so no span waits or
+    is lost, and nobody's clock touches another's traces. A trace counts as recent while one of its spans lies within ``recent``.
+    What a step has no say on passes it under keys of its own, spread by hash: a tenant's step sees one span for each trace and ``recent``.
     """
-    first = sampling.first_sightings(rows)
-    empty_cutoff = first.select("tenant_id", F.struct("event_time", "signal_id").alias("_cutoff")).limit(0)
+    limit = sampling.queue_limit(rate, max_size)
+    aside = F.concat(F.lit(processors.ASIDE), F.pmod(F.xxhash64("signal_id"), F.lit(SPREAD)).cast("string"))
+    columns = spans.columns
+    measured = (F.col("type") == "TRACE") & F.col("duration_ms").isNotNull() & ~F.isnan("duration_ms") & (F.col("service_name") != "")
+    traced = (F.col("type") == "TRACE") & (F.coalesce("trace_id", F.lit("")) != "")
+
+    def step(rows: DataFrame, group: str, takes_part: Column, name: Column, processor, added: str) -> DataFrame:
+        rows = rows.withColumn(group, F.when(takes_part, F.concat(F.lit("+"), name)).otherwise(aside))
+        schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL(added).fields])
+        return keyed.transform(rows, ["tenant_id", group], processor, schema).drop(group)
+
+    # Frames rename columns whose names are no attributes.
+    odd = {c: f"c{i}_" for i, c in enumerate(columns) if c.startswith("_") or not c.isidentifier() or keyword.iskeyword(c)}
+    rows = spans.withColumnsRenamed(odd).withColumn("at_us", keyed.at_micros("event_time"))
+    rows = step(
+        rows, "service_key", measured, F.col("service_name"), processors.ServiceBaseline(ewma.ALPHA), "mean0 double, var0 double, n0 long"
+    )
+    z = ewma.zscore(F.col("duration_ms"), F.col("mean0"), F.col("var0"), F.col("n0"), ewma.MIN_SAMPLES)
+    rows = rows.withColumn("z", F.when(measured, z).otherwise(0.0))
+    rows = rows.withColumn("score", sampling.span_score(boosted_services)).drop("mean0", "var0", "n0", "z")
+    back = {new: old for old, new in odd.items()}
     if limit is None:
-        return first.limit(0), empty_cutoff
-    known = state.get("cutoffs")
-    if known is not None:
-        known = known.select("tenant_id", F.struct("event_time", "signal_id").alias("_cutoff"))
-        old = state["sightings"]
-        first = first.join(old.select("tenant_id", "trace_id"), ["tenant_id", "trace_id"], "left_anti")
-        first = first.join(known.select("tenant_id"), "tenant_id", "left_anti").unionByName(old)
-    found = sampling.queue_cutoffs(first, limit)
-    cutoffs = found if known is None else known.unionByName(found)
-    return first.join(found.select("tenant_id"), "tenant_id", "left_anti"), cutoffs
+        return rows.withColumn("keep", F.lit(True)).drop("at_us").withColumnsRenamed(back)
+    rows = step(
+        rows, "trace_key", traced, F.pmod(F.xxhash64("trace_id"), F.lit(SPREAD)).cast("string"),
+        processors.TraceRecency(micros(recent), max(micros(recent), micros(remembered))), "unseen boolean",
+    )
+    rows = step(rows, "queue_key", F.col("unseen"), F.lit(""), processors.Queue(limit, sampling.KEEP_SCORE), "keep boolean")
+    return rows.drop("at_us", "unseen").withColumnsRenamed(back)
 
 
 def stream_sampler(
     stream: DataFrame, store: Store, rate: float, max_size: int,
     boosted_services: tuple[str, ...] = sampling.BOOSTED_SERVICES, recent: Duration = sampling.RECENT,
-    lateness: Duration | None = None, trigger: dict | None = None,
+    trigger: dict | None = None, remembered: Duration = REMEMBERED,
 ) -> StreamingQuery:
-    """Score and keep decision of a span stream: outputs ``decisions`` and ``late``."""
-    decide = _sampler_step(rate, max_size, boosted_services, recent)
-
-    def step(rows: DataFrame, state: Tables) -> tuple[Tables, Tables]:
-        decided, new_state = decide(rows, state)
-        return {"decisions": decided}, new_state
-
-    return run_stateful(stream, store, _SAMPLER_STATE, step, lateness=lateness, trigger=trigger)
+    """Score and keep decision of every span of a stream: output ``decisions``; see :func:`sampled`."""
+    rows = sampled(stream, rate, max_size, boosted_services, recent, remembered)
+    columns = rows.columns
+    return keyed.write_outputs(rows.withColumn("output", F.lit("decisions")), store, {"decisions": columns}, trigger)
 
 
 def stream_anomaly(
     stream: DataFrame, store: Store, alpha: float = ewma.ALPHA, warmup: int = anomaly.WARMUP,
-    z: float = anomaly.Z_THRESHOLD, lateness: Duration | None = None, trigger: dict | None = None,
+    z: float = anomaly.Z_THRESHOLD, lateness: Duration | None = None, trigger: dict | None = None, idle: Duration | None = None,
 ) -> StreamingQuery:
-    """Anomaly scores of a metric stream: outputs ``scores`` and ``late``."""
-    keys = ["tenant_id", "metric_name"]
-
-    def step(rows: DataFrame, state: Tables) -> tuple[Tables, Tables]:
-        scored = anomaly.anomaly_zscore(rows, alpha, warmup, z, state.get("baselines"), state=True)
-        baselines = _kept(state.get("baselines"), scored.select(*keys, "mean", "var", "n"), keys, "n")
-        return {"scores": scored.drop("mean", "var", "n")}, {"baselines": baselines}
-
-    return run_stateful(
-        stream, store, ["baselines"], step, time="timestamp", keys=tuple(keys), lateness=lateness, trigger=trigger
+    """Anomaly scores of a metric stream: outputs ``scores`` and ``late``; samples take their place in time as rows of rules do."""
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha must be in (0, 1]")
+    keys, value = ["tenant_id", "metric_name"], F.col("value").cast("double")
+    rows = stream.where(F.col("value").isNotNull() & ~F.isnan(value)).select(
+        *keys, keyed.at_micros("timestamp").alias("at_us"), F.col("signal_id").cast("long").alias("signal_id"), value.alias("value")
     )
+    packed = keyed.packed(rows, keys, processors.SAMPLE_COLUMNS)
+    processor = processors.Baseline(keyed.Ordered("signal_id", lateness, keyed.ttl(idle, trigger)), alpha)
+    schema = "tenant_id string, metric_name string, output string, at long, signal_id long, value double, mean double, var double, n long"
+    found = keyed.transform(packed, keys, processor, schema, idle)
+    found = found.withColumn("score", ewma.zscore(F.col("value"), F.col("mean"), F.col("var"), F.col("n"), warmup))
+    sample = [*keys, keyed.time_of("at").alias("timestamp"), "value", "signal_id"]
+    scores = [
+        *sample, "score", F.col("mean").alias("baseline"), F.lit(float(z)).alias("threshold"), (F.abs("score") >= z).alias("anomaly"),
+    ]
+    return keyed.write_outputs(found, store, {"scores": scores, "late": sample}, trigger)
 
 
 def stream_slo(
     stream: DataFrame, store: Store, targets: DataFrame, good: Column, pairs=slo.WINDOW_PAIRS,
-    lateness: Duration | None = None, trigger: dict | None = None,
+    lateness: Duration | None = None, trigger: dict | None = None, idle: Duration | None = None,
 ) -> StreamingQuery:
-    """Burn decisions of an SLO event stream: outputs ``decisions`` and ``late``.
+    """Burn decisions of an SLO event stream: outputs ``decisions`` and ``late`` (counts by minute).
 
-    A minute cut by a batch boundary is decided again by the next batch; the later decision holds
-    (:func:`latest_decisions`).
+    Tasks count their rows by minute before an SLO's minutes come together. Rows out of order by up to ``lateness`` count in their minute;
+    all minutes from there on are decided again, and the decision of the greatest ``revision`` holds (:func:`latest_decisions`).
     """
-    longest = max(pair[0] for pair in pairs)
-
-    def step(rows: DataFrame, state: Tables) -> tuple[Tables, Tables]:
-        here = slo.slo_minutes(rows, good).withColumn("_new", F.lit(True))
-        old = state.get("minutes")
-        if old is not None:
-            here = here.unionByName(old.withColumn("_new", F.lit(False)))
-        minutes = here.groupBy("slo", "minute").agg(
-            F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.max("_new").alias("_new")
-        )
-        touched = minutes.where("_new").select("slo", "minute")
-        decisions = slo.slo_decision(slo.burn_rates(minutes.drop("_new"), targets, pairs), pairs)
-        newest = F.max("minute").over(Window.partitionBy("slo"))
-        kept = minutes.drop("_new").withColumn("_newest", newest).where(
-            F.col("minute") >= F.col("_newest") - longest
-        ).drop("_newest")
-        return {"decisions": decisions.join(touched, ["slo", "minute"], "left_semi")}, {"minutes": kept}
-
-    return run_stateful(stream, store, ["minutes"], step, keys=("slo",), lateness=lateness, trigger=trigger)
+    windows = slo.window_minutes(pairs)
+    minute = F.coalesce(bucket_number(F.col("event_time"), "1m"), F.lit(keyed.NO_TIME))
+    rows = stream.select("slo", minute.alias("minute"), F.coalesce(good, F.lit(False)).alias("_ok"))
+    counted = rows.mapInArrow(_minute_counts, T.StructType([rows.schema["slo"], *T.StructType.fromDDL("minute long, good long, bad long").fields]))
+    # A whole minute more: a lateness need not end with one.
+    late = -(-micros(lateness) // micros("1m")) if lateness else 0
+    processor = processors.Minutes(windows, late, keyed.ttl(idle, trigger))
+    sums = ", ".join(f"good_{w} long, bad_{w} long" for w in windows)
+    found = keyed.transform(counted, ["slo"], processor, f"slo string, output string, minute long, revision long, {sums}, good long, bad long", idle)
+    found = found.join(targets, "slo", "left").where((F.col("output") == "late") | F.col("target").isNotNull())
+    budget = 1 - F.col("target")
+    burns = found.withColumns({f"burn_{w}": slo.burn_of(F.col(f"good_{w}"), F.col(f"bad_{w}"), budget) for w in windows})
+    decided = slo.slo_decision(burns, pairs, keep=["output", "revision", "good", "bad"])
+    names = ["slo", "minute", "severity", "burn_long", "burn_short", "long_s", "short_s", "error_budget", "revision"]
+    at = F.when(F.col("minute") != keyed.NO_TIME, F.col("minute")).alias("minute")
+    return keyed.write_outputs(decided, store, {"decisions": names, "late": ["slo", at, "good", "bad"]}, trigger)
+
+
+def _minute_counts(batches):
+    """Good and bad rows of each Arrow batch by SLO and minute."""
+    for batch in batches:
+        if len(batch):
+            group, first = keyed.key_groups([batch.column(0), batch.column(1)])
+            ok = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            good, every = (np.bincount(group, w, len(first)).astype(np.int64) for w in (ok, None))
+            named = [batch.column(i).take(pa.array(first)) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*named, pa.array(good), pa.array(every - good)], names=["slo", "minute", "good", "bad"])
 
 
 def latest_decisions(decisions: DataFrame) -> DataFrame:
-    """One decision per SLO and minute, from the last batch that touched it."""
-    return _kept(None, decisions, ["slo", "minute"], "batch").drop("batch")
+    """One decision per SLO and minute, the last that was made."""
+    rest = [c for c in decisions.columns if c not in ("slo", "minute")]
+    latest = decisions.groupBy("slo", "minute").agg(F.max_by(F.struct(*rest), "revision").alias("_d"))
+    return latest.select("slo", "minute", "_d.*").drop("revision")
+
+
+_TEXTS = ["tenant_id", "rule_id", "severity", "title", "description", "labels", "annotations"]
+_MOMENTS = ("starts_at", "last_seen_at", "resolved_at", "notified_at")
 
 
 def stream_alerts(
     stream: DataFrame, store: Store, silences: DataFrame | None = None, row_id: str = "event_id",
-    lateness: Duration | None = None, trigger: dict | None = None,
+    lateness: Duration | None = None, trigger: dict | None = None, idle: Duration | None = None,
 ) -> StreamingQuery:
     """Alert lifecycle of an alert event stream.
 
-    Outputs ``changes`` (alert.fired for unsilenced transitions, alert.resolved for every resolve
-    event) and keeps the alert table as state ``alerts``.
+    Outputs ``changes`` (alert.fired for unsilenced transitions, alert.resolved for every resolve event), ``alerts`` (the
+    row of an alert whenever a micro-batch changed it; :func:`latest_alerts` gives the table) and ``late``. A micro-batch touches its own
+    alerts only. Events take their place in time per alert, as rows of rules do. Silences are read anew by every micro-batch.
     """
+    rows = stream if "fingerprint" in stream.columns else alerts.alert_fingerprint(stream)
+    rows = rows.withColumn("resolved", F.coalesce("resolved", F.lit(False)))
+    # Times travel as whole numbers: JSON would round them.
+    moments = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.TimestampType)]
+    whole = F.to_json(F.struct(*[F.unix_micros(c).alias(c) if c in moments else F.col(c) for c in rows.columns]))
+    events = (rows if silences is None else _hushed(rows, silences)).select(
+        "fingerprint", keyed.at_micros("occurred_at").alias("at_us"), row_id, "resolved",
+        (F.lit(False) if silences is None else F.col("_hushed")).alias("hushed"), F.to_json(F.struct(*_TEXTS)).alias("texts"), whole.alias("whole"),
+    )
+    processor = processors.Alert(keyed.Ordered(row_id, lateness, keyed.ttl(idle, trigger)))
+    found = keyed.transform(events, ["fingerprint"], processor, "fingerprint string, output string, row string, revision long", idle)
+    sent = T.StructType([T.StructField(f.name, T.LongType() if f.name in moments else f.dataType) for f in rows.schema.fields])
+    event = F.from_json("row", sent)
+    own = [(F.timestamp_micros(event[c]) if c in moments else event[c]).alias(c) for c in rows.columns]
+    state = T.StructType([T.StructField(c, T.LongType()) for c in (*_MOMENTS, "notify_count")] + [T.StructField(c, T.StringType()) for c in ("texts", "state")])
+    row = F.from_json("row", state)
+    texts = F.from_json(row["texts"], T.StructType([ALERTS[c] for c in _TEXTS]))
+    table = {c: texts[c] for c in _TEXTS} | {c: F.timestamp_micros(row[c]) for c in _MOMENTS}
+    table |= {"fingerprint": F.col("fingerprint"), "state": row["state"], "notify_count": F.coalesce(row["notify_count"], F.lit(0))}
+    changed = found.withColumn("_kind", F.col("output")).withColumn("output", F.when(F.col("output").isin("alerts", "late"), F.col("output")).otherwise("changes"))
+    outputs = {
+        "changes": [*own, F.col("_kind").alias("change_type")], "late": own,
+        "alerts": [*[table[c].alias(c) for c in ALERTS.names], "revision"],
+    }
+    return keyed.write_outputs(changed, store, outputs, trigger)
+
+
+def latest_alerts(changed: DataFrame) -> DataFrame:
+    """The alert table: each alert's last row."""
+    rest = ALERTS.names[1:]
+    latest = changed.groupBy("fingerprint").agg(F.max_by(F.struct(*rest), "revision").alias("_a"))
+    return latest.select("fingerprint", *[F.col(f"_a.{c}").alias(c) for c in rest])
+
+
+def _hushed(rows: DataFrame, silences: DataFrame) -> DataFrame:
+    """Alert events with whether a silence covers them at their time, ``_hushed``: a join with the tenant's silences as one array."""
+    created = F.col("created_at") if "created_at" in silences.columns else F.lit(None).cast("timestamp")
+    own = silences.groupBy(F.col("tenant_id").alias("_tenant")).agg(
+        F.collect_list(F.struct("matcher", F.col("expires_at").alias("until"), created.alias("since"))).alias("_silences")
+    )
+    labels = F.coalesce("labels", F.create_map().cast("map<string,string>"))
 
-    def step(rows: DataFrame, state: Tables) -> tuple[Tables, Tables]:
-        old = state.get("alerts")
-        carried = None
-        if old is not None:
-            carried = old.select("fingerprint", (F.col("state") == "firing").alias("firing"))
-        steps = alerts.alert_steps(rows, row_id, carried)
-        fired = steps.where("step = 'created'")
-        if silences is not None:
-            hits = alerts.silence_hits(fired, [row_id], F.col("occurred_at"), silences)
-            fired = fired.join(hits, row_id, "left_anti")
-        changes = fired.withColumn("change_type", F.lit("alert.fired")).unionByName(
-            steps.where("resolved").withColumn("change_type", F.lit("alert.resolved"))
+    def covers(s: Column) -> Column:
+        same = F.forall(
+            F.map_entries(s["matcher"]), lambda e: F.coalesce(F.element_at(labels, e["key"]), F.lit("")) == F.coalesce(e["value"], F.lit(""))
         )
-        return {"changes": changes.drop("step")}, {"alerts": alerts.merge_alerts(old, steps, silences, row_id)}
+        return (s["until"] > F.col("occurred_at")) & (s["since"].isNull() | (s["since"] <= F.col("occurred_at"))) & same
 
-    return run_stateful(
-        stream, store, ["alerts"], step, time="occurred_at", keys=("tenant_id", "rule_id"), lateness=lateness,
-        trigger=trigger,
-    )
+    joined = rows.join(own, F.col("tenant_id") == F.col("_tenant"), "left")
+    return joined.withColumn("_hushed", F.coalesce(F.exists("_silences", covers), F.lit(False))).drop("_tenant", "_silences")
 
 
 def log_tail(
@@ -248,7 +307,6 @@ def log_tail(
         batch.orderBy("timestamp", "span_id").write.mode("overwrite").option("maxRecordsPerFile", page).parquet(
             f"{store.output_path('pages')}/batch={batch_id}"
         )
-        store.finish(batch.sparkSession, batch_id)
 
     writer = rows.writeStream.foreachBatch(on_batch).option("checkpointLocation", store.checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
@@ -265,49 +323,48 @@ def stream_ingest(
     a time gets that of its arrival. Outputs ``metrics``, ``logs``, ``traces``, ``rejects`` (the rows
     that did not pass a gate, with the reason) and ``dropped`` (counts per tenant, type and reason).
     """
+    rows = stream.withColumn("received_at", F.coalesce("received_at", F.current_timestamp()))
     # A rate of 1 keeps every span, so nothing has to be scored.
-    decide = _sampler_step(rate, max_size, boosted_services, sampling.RECENT) if rate < 1 else None
+    sampling_on = sampling.queue_limit(rate, max_size) is not None
+    if sampling_on:
+        rows = _kept_signals(rows, strict, rate, max_size, boosted_services)
 
-    def step(rows: DataFrame, state: Tables) -> tuple[Tables, Tables]:
-        rows = rows.withColumn("received_at", F.coalesce("received_at", F.current_timestamp()))
+    def step(rows: DataFrame) -> Tables:
+        keep = F.col("keep") if sampling_on else F.lit(True)
         decoded, bad_payload = clean.decode_gate(rows, strict)
         kept, no_tenant = clean.tenant_gate(decoded)
         rejects = bad_payload.unionByName(no_tenant)
-        kept = kept.drop("_corrupt_record")
-        stamped = clean.enrich_stamp(kept, version, at)
-        text = lambda key: match.label("attributes", key)
-        spans, sampled_out, new_state = stamped.where("type = 'TRACE'"), None, {}
-        if decide is not None:
-            sampled, new_state = decide(
-                spans.select(
-                    "*",
-                    F.col("received_at").alias("event_time"),
-                    F.xxhash64("tenant_id", text("trace_id"), text("span_id"), "received_at").alias("signal_id"),
-                    F.when(cep.service_of() == "unknown", "").otherwise(cep.service_of()).alias("service_name"),
-                    text("trace_id").alias("trace_id"),
-                    text("severity").alias("severity"),
-                    text("duration_ms").try_cast("double").alias("duration_ms"),
-                ),
-                state,
-            )
-            spans = sampled.where("keep").select(*stamped.columns)
-            sampled_out = sampled.where(~F.col("keep")).withColumn("reason", F.lit("sampled_out"))
-        metrics, logs, traces = clean.route_signals(
-            stamped.where("type <> 'TRACE'").unionByName(spans)
-        )
+        stamped = clean.enrich_stamp(kept.drop("_corrupt_record"), version, at)
+        sampled_out = stamped.where(~keep).withColumn("reason", F.lit("sampled_out"))
+        stamped, rejects = (df.drop("keep") for df in (stamped.where(keep), rejects))
+        metrics, logs, traces = clean.route_signals(stamped)
         outputs = {
             "metrics": metrics.withColumn("date", F.to_date("timestamp")),
             "logs": logs.withColumn("date", F.to_date("timestamp")),
             "traces": traces.withColumn("date", F.to_date("start_time")),
             "rejects": rejects,
-            "dropped": clean.drop_accounting(
-                stamped.where("type <> 'TRACE'").unionByName(spans), bad_payload, no_tenant,
-                *([] if sampled_out is None else [sampled_out]),
-            ),
+            "dropped": clean.drop_accounting(stamped, bad_payload, no_tenant, sampled_out),
         }
-        return outputs, new_state
+        return outputs
 
     by_day = {name: ["date", "tenant_id"] for name in ("metrics", "logs", "traces")}
-    names = _SAMPLER_STATE if decide is not None else []
-    return run_stateful(stream, store, names, step, time=None, trigger=trigger, partitions=by_day)
+    with keyed.state_store(rows.sparkSession) if sampling_on else contextlib.nullcontext():
+        return run_batches(rows, store, step, trigger, by_day)
+
+
+def _kept_signals(rows: DataFrame, strict: bool, rate: float, max_size: int, boosted_services: tuple[str, ...]) -> DataFrame:
+    """Signals with the sampler's decision ``keep``; only spans that pass the gates are put to it."""
+    text = lambda key: match.label("attributes", key)
+    passes = clean.passes_gates(rows, strict)
+    span = F.coalesce((F.col("type") == "TRACE") & passes, F.lit(False))
+    service = F.when(cep.service_of() == "unknown", "").otherwise(cep.service_of())
+    seen = rows.select(
+        *[F.col(c).alias(f"s_{c}") for c in rows.columns], F.when(span, "TRACE").otherwise("").alias("type"), "tenant_id", "attributes",
+        F.col("received_at").alias("event_time"),
+        F.xxhash64("tenant_id", text("trace_id"), text("span_id"), "received_at").alias("signal_id"),
+        service.alias("service_name"), text("trace_id").alias("trace_id"), text("severity").alias("severity"),
+        text("duration_ms").try_cast("double").alias("duration_ms"),
+    )
+    decided = sampled(seen, rate, max_size, boosted_services)
+    return decided.select(*[F.col(f"s_{c}").alias(c) for c in rows.columns], "keep")
 

@@ -1,11 +1,4 @@
-"""Stateful streams as incremental batches.
-
-Every micro-batch runs the batch operators over its rows, with the state tables of the batch before.
-Outputs and state go to paths named by the batch id, so a batch that is repeated after a failure
-overwrites its own results and reads the same state again. State is a set of Parquet tables spread
-like any other data: no key has to fit into one task, and the batch and streaming forms of an
-operator share one definition.
-"""
+"""Folders of a stream, and streams that write each micro-batch to several tables."""
 
 from __future__ import annotations
 
@@ -16,143 +9,62 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from signalmill.functions.time import Duration, micros
-from signalmill.session import listed, remove, scratch_removed, touch
+from signalmill.session import listed
 
 Tables = dict[str, DataFrame]
-Step = Callable[[DataFrame, Tables], tuple[Tables, Tables]]
-
-_CLOCK, _HELD = "clock", "held"
-#: State versions that are kept: the last one, and the one before it for a batch that is repeated.
-KEPT_VERSIONS = 2
 
 
 @dataclass(frozen=True)
 class Store:
-    """Folder of a stream: outputs, state versions and the query's checkpoint."""
+    """Folder of a stream: its outputs and the query's checkpoint."""
 
     path: str
 
     def output_path(self, name: str) -> str:
         return f"{self.path}/out/{name}"
 
-    def state_path(self, name: str, batch_id: int) -> str:
-        return f"{self.path}/state/{name}/v={batch_id}"
+    @property
+    def rows_path(self) -> str:
+        """Rows of a query with keyed state, all its outputs together."""
+        return f"{self.path}/rows"
 
     @property
     def checkpoint(self) -> str:
         return f"{self.path}/checkpoint"
 
-    def finish(self, spark: SparkSession, batch_id: int) -> None:
-        """Mark a batch whose outputs and state are complete."""
-        touch(spark, f"{self.path}/done/{batch_id}")
-
     def last_batch(self, spark: SparkSession) -> int:
-        """The last complete batch, -1 if there is none."""
-        return max((int(name) for name in listed(spark, f"{self.path}/done")), default=-1)
+        """The last complete batch by Spark's own commit log, -1 if there is none."""
+        return max((int(name) for name in listed(spark, f"{self.checkpoint}/commits") if name.isdigit()), default=-1)
 
     def output(self, spark: SparkSession, name: str) -> DataFrame:
-        """Everything that complete batches emitted, with the micro-batch it came from."""
+        """Everything that complete batches emitted; where batches have folders of their own, with its number."""
+        if listed(spark, self.rows_path):
+            return spark.read.parquet(self.rows_path).where(F.col("output") == name).select(f"{name}.*")
         rows = spark.read.option("basePath", self.output_path(name)).parquet(self.output_path(name))
         return rows.where(F.col("batch") <= self.last_batch(spark))
 
 
-def run_stateful(
-    stream: DataFrame,
-    store: Store,
-    state_names: list[str],
-    step: Step,
-    time: str | None = "event_time",
-    keys: tuple[str, ...] = ("tenant_id",),
-    lateness: Duration | None = None,
-    trigger: dict | None = None,
+def run_batches(
+    stream: DataFrame, store: Store, step: Callable[[DataFrame], Tables], trigger: dict | None = None,
     partitions: dict[str, list[str]] | None = None,
 ) -> StreamingQuery:
-    """Start a query that applies ``step(rows, state) -> (outputs, new state)`` to every micro-batch.
+    """Start a query that writes the tables of ``step`` of every micro-batch.
 
-    With ``time``, each key's rows reach ``step`` in time order across batches. A key's rows are held
-    back until it has a row that is newer by ``lateness`` (default: not at all), so rows that come out
-    of order by less take their place. Keys do not wait for each other. A row older than one of its key
-    that has been passed on, or without a time, goes to the output ``late`` as it is. Without ``time``
-    every row is passed on at once.
-
-    ``partitions`` names the partition columns of outputs that have any.
+    A batch's files lie in folders named by its number, so that a repeated batch overwrites its own.
+    ``partitions`` names the partition columns of tables that have any.
     """
-    names = [*state_names, *([_CLOCK, _HELD] if time else [])]
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        state = {}
-        if batch_id > 0:
-            state = {name: spark.read.parquet(store.state_path(name, batch_id - 1)) for name in names}
-        # The operators read the rows several times; lost cached blocks are read again from the source.
-        cached = []
+        # The tables read the rows several times; lost cached blocks are read again from the source.
+        rows = batch.persist()
         try:
-            with scratch_removed(spark):
-                rows, outputs, new_state = batch.persist(), {}, {}
-                cached.append(rows)
-                if time:
-                    rows, outputs, new_state = _in_order(rows, state, time, list(keys), lateness)
-                    rows = rows.persist()
-                    cached.append(rows)
-                emitted, changed = step(rows, state)
-                outputs.update(emitted)
-                new_state.update(changed)
-                for name, df in outputs.items():
-                    by = (partitions or {}).get(name, [])
-                    # Small partitions share a task, a hot one is split over several.
-                    laid_out = df.hint("rebalance", *by) if by else df
-                    laid_out.write.mode("overwrite").partitionBy(*by).parquet(f"{store.output_path(name)}/batch={batch_id}")
-                for name, df in new_state.items():
-                    df.write.mode("overwrite").parquet(store.state_path(name, batch_id))
-                store.finish(spark, batch_id)
-            for name in names:
-                remove(spark, store.state_path(name, batch_id - KEPT_VERSIONS))
+            for name, df in step(rows).items():
+                by = (partitions or {}).get(name, [])
+                # Small partitions share a task, a hot one is split over several.
+                laid_out = df.hint("rebalance", *by) if by else df
+                laid_out.write.mode("overwrite").partitionBy(*by).parquet(f"{store.output_path(name)}/batch={batch_id}")
         finally:
-            for df in cached:
-                df.unpersist()
+            rows.unpersist()
 
     writer = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", store.checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
-
-
-def _in_order(rows: DataFrame, state: Tables, time: str, keys: list[str], lateness: Duration | None):
-    """(rows to pass on, late output, clock and held rows); takes its own tables out of ``state``."""
-    clock, held = state.pop(_CLOCK, None), state.pop(_HELD, None)
-    columns, at = rows.columns, F.unix_micros(time)
-    same = F.lit(True)
-    for key in keys:
-        same = same & F.col(key).eqNullSafe(F.col(f"_k_{key}"))
-    timed = rows.where(F.col(time).isNotNull())
-    late = rows.where(F.col(time).isNull())
-    if clock is not None:
-        passed = clock.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "passed")
-        met = timed.join(passed, same, "left")
-        too_late = F.coalesce(at < F.col("passed"), F.lit(False))
-        late = late.unionByName(met.where(too_late).select(*columns))
-        timed = met.where(~too_late).select(*columns)
-    waiting = timed if held is None else timed.unionByName(held.select(*columns))
-    newest = waiting.groupBy(*keys).agg(F.max(at).alias("newest"))
-    horizon = newest.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], (F.col("newest") - (micros(lateness) if lateness else 0)).alias("_upto")
-    )
-    if clock is not None:
-        # A key may have been passed on further than its held rows reach.
-        horizon = horizon.join(passed.select(*[F.col(f"_k_{k}").alias(f"_p_{k}") for k in keys], "passed"), _same(keys), "left")
-        horizon = horizon.withColumn("_upto", F.greatest("_upto", "passed")).select(*[f"_k_{k}" for k in keys], "_upto")
-    if not lateness:
-        ready, kept = waiting, waiting.limit(0)
-    else:
-        met = waiting.join(horizon, same)
-        ready, kept = (met.where(c).select(*columns) for c in (at <= F.col("_upto"), at > F.col("_upto")))
-    seen = ready.groupBy(*keys).agg(F.max(at).alias("passed"))
-    if clock is not None:
-        seen = seen.unionByName(clock).groupBy(*keys).agg(F.max("passed").alias("passed"))
-    return ready, {"late": late}, {_CLOCK: seen, _HELD: kept}
-
-
-def _same(keys: list[str]):
-    out = F.lit(True)
-    for key in keys:
-        out = out & F.col(f"_k_{key}").eqNullSafe(F.col(f"_p_{key}"))
-    return out
