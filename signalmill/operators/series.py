@@ -46,12 +46,23 @@ def range_quantile(
     df: DataFrame, metric: str, phi: float, matchers=(), by=(), t0=None, t1=None,
     step: Duration = "30s", tenant: str | None = None, exact: bool = True,
 ) -> DataFrame:
-    """Quantile per bucket: exact by rank selection, or one approximate pass with bounded sketches."""
+    """Quantile per bucket: exact by rank selection, or one approximate pass with bounded sketches (see :func:`sketched`)."""
     rows = _selected(df, metric, matchers, t0, t1, tenant).select(_bucket(step), *_label_columns(by), "value")
     groups = ["t", *map(match.label_alias, by)]
     if exact:
         return exact_quantiles(rows, groups, "value", {"v": phi})
-    return rows.groupBy(*groups).agg(F.percentile_approx("value", phi).alias("v"))
+    return sketched(rows, groups).select(*groups, F.kll_sketch_get_quantile_double("_sketch", F.lit(float(phi))).alias("v"))
+
+
+#: Size of quantile sketches: ranks are within about half a percent of the rows, whatever their number.
+SKETCH_K = 800
+
+
+def sketched(rows: DataFrame, groups: list[str]) -> DataFrame:
+    """A mergeable quantile sketch of ``value`` per group, ``_sketch``, built map-side; nulls and NaN count for nothing."""
+    value = F.col("value").cast("double")
+    rows = rows.where(value.isNotNull() & ~F.isnan(value))
+    return rows.groupBy(*groups).agg(F.kll_sketch_agg_double(value, SKETCH_K).alias("_sketch"))
 
 
 def range_without(
@@ -114,9 +125,9 @@ def irate(
 
 def over_time(
     df, metric, fn: str, matchers=(), by=(), t0=None, t1=None, step: Duration = "30s", tenant=None,
-    lookback: Duration | None = None, phi: float = 0.5,
+    lookback: Duration | None = None, phi: float = 0.5, exact: bool = True,
 ) -> DataFrame:
-    """``avg|sum|min|max|count|quantile`` over time, evaluated at every step.
+    """``avg|sum|min|max|count|quantile`` over time, evaluated at every step; quantiles exact, or merged from sketches.
 
     Without ``lookback`` the range is the step bucket. With it (a multiple of the step) the value
     at bucket ``t`` covers the ``lookback / step`` whole buckets ending with that one, also those before ``t0``.
@@ -127,19 +138,21 @@ def over_time(
             raise ValueError("lookback must be a multiple of step")
         # Each sample counts towards `times` consecutive evaluation buckets. For the mergeable
         # aggregates the samples are reduced to step buckets before they are repeated.
-        return _looking_back(df, metric, fn, matchers, by, t0, t1, step, tenant, times, phi)
+        return _looking_back(df, metric, fn, matchers, by, t0, t1, step, tenant, times, phi, exact)
     if fn == "quantile":
-        return range_quantile(df, metric, phi, matchers, by, t0, t1, step, tenant)
+        return range_quantile(df, metric, phi, matchers, by, t0, t1, step, tenant, exact)
     return range_agg(df, metric, fn, matchers, by, t0, t1, step, tenant)
 
 
-def _looking_back(df, metric, fn, matchers, by, t0, t1, step, tenant, times, phi):
+def _looking_back(df, metric, fn, matchers, by, t0, t1, step, tenant, times, phi, exact):
     groups = ["t", *map(match.label_alias, by)]
     # The first points look back behind t0: samples are read from there, points are given from t0's bucket on.
     first = bucket_start(instant(t0), step) if t0 is not None else None
     earliest = F.timestamp_micros(F.unix_micros(first) - F.lit((times - 1) * micros(step))) if t0 is not None else None
     rows = _selected(df, metric, matchers, earliest, t1, tenant).select(_bucket(step), *_label_columns(by), "value")
-    if fn != "quantile":
+    if fn == "quantile" and not exact:
+        rows = sketched(rows, groups)  # what is repeated below are sketches, not samples
+    elif fn != "quantile":
         rows = rows.groupBy(*groups).agg(
             F.sum("value").alias("_s"), F.count("value").alias("_c"),
             F.min("value").alias("_lo"), F.max("value").alias("_hi"),
@@ -158,6 +171,9 @@ def _looking_back(df, metric, fn, matchers, by, t0, t1, step, tenant, times, phi
         shifted = shifted.where(F.col("t") <= last)
     if first is not None:
         shifted = shifted.where(F.col("t") >= first)
+    if fn == "quantile" and not exact:
+        merged = shifted.groupBy(*groups).agg(F.kll_merge_agg_double("_sketch", SKETCH_K).alias("_sketch"))
+        return merged.select(*groups, F.kll_sketch_get_quantile_double("_sketch", F.lit(float(phi))).alias("v"))
     if fn == "quantile":
         return exact_quantiles(shifted, groups, "value", {"v": phi})
     merged = {

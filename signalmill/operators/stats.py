@@ -15,6 +15,27 @@ def table_stats(df: DataFrame, columns: list[str], table_name: str, exact: bool
     )
 
 
+def column_sketches(df: DataFrame, columns: list[str], by: list[str], precision: int = 14) -> DataFrame:
+    """Per group of ``by`` (such as the day): ``row_count`` and a distinct-count sketch of each column.
+
+    Kept beside a table they make its statistics without its rows: a new day is sketched alone, and
+    :func:`merged_stats` puts all days together. A sketch has at most 2**``precision`` bytes.
+    """
+    text = lambda c: F.col(c) if dict(df.dtypes)[c] in ("string", "bigint", "int", "binary") else F.col(c).cast("string")
+    return df.groupBy(*by).agg(F.count("*").alias("row_count"), *[F.hll_sketch_agg(text(c), precision).alias(c) for c in columns])
+
+
+def merged_stats(sketches: DataFrame, columns: list[str], table_name: str) -> DataFrame:
+    """:func:`table_stats` from sketches, whatever groups they were made by."""
+    merged = sketches.agg(
+        F.coalesce(F.sum("row_count"), F.lit(0)).alias("row_count"),
+        *[F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(c)), F.lit(0)).alias(c) for c in columns],
+    )
+    return merged.unpivot("row_count", list(columns), "column_name", "ndv").select(
+        F.lit(table_name).alias("table_name"), "column_name", "row_count", "ndv"
+    )
+
+
 def default_ndv(row_count: int) -> int:
     """Assumed distinct values of a column without statistics."""
     return row_count // 10

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from signalmill.functions import match
 from signalmill.functions.time import Duration, bucket_start, half_open_range, seconds
 from signalmill.operators.select import for_tenant
+from signalmill.operators.series import sketched
 from signalmill.operators.skew import checked_broadcast, exact_quantiles
 from signalmill.session import reliable
 
@@ -79,8 +80,8 @@ def latency_percentiles(
     names = {f"p{p * 100:g}".replace(".", "_"): p for p in ps}
     if exact:
         return exact_quantiles(rows, ["t"], "ms", names)
-    sketch = F.percentile_approx("ms", [float(p) for p in ps]).alias("_q")
-    return rows.groupBy("t").agg(sketch).select("t", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    found = sketched(rows.withColumnRenamed("ms", "value"), ["t"])
+    return found.select("t", *[F.kll_sketch_get_quantile_double("_sketch", F.lit(float(p))).alias(n) for n, p in names.items()])
 
 
 def _is_error(status: Column) -> Column:

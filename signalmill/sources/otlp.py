@@ -111,11 +111,13 @@ def _entries(attributes: Column) -> Column:
 
 def last_wins(entries: Column) -> Column:
     """Entries as a map in which a later entry replaces an earlier one of the same key."""
-    keys = F.transform(entries, lambda e: e["key"])
-    kept = F.filter(
-        entries, lambda e, i: ~F.array_contains(F.slice(keys, i + F.lit(2), F.size(keys)), e["key"])
-    )
-    return F.map_from_entries(kept)
+
+    def of(own: Column) -> Column:
+        later = lambda e, i: F.exists(F.slice(own, i + F.lit(2), F.size(own)), lambda o: o["key"] == e["key"])
+        return F.map_from_entries(F.filter(own, lambda e, i: ~later(e, i)))
+
+    # Bound once: named within the filter, the entries would be worked out anew for each of them.
+    return F.get(F.transform(F.array(entries), of), F.lit(0))
 
 
 def _optional(name: str, value: Column) -> Column:
