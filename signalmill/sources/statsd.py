@@ -31,7 +31,9 @@ def statsd_metrics(
     kind = F.get("_parts", 1)
     good = F.coalesce((F.col("_colon") > 1) & kind.isin(list(TYPES)) & raw.rlike(_NUMBER), F.lit(False))
 
-    extras = F.slice("_parts", 3, F.greatest(F.size("_parts"), F.lit(1)))
+    # Columns of their own, so that what refers to them often is worked out once.
+    parsed = parsed.withColumn("_extras", F.slice("_parts", 3, F.greatest(F.size("_parts"), F.lit(1))))
+    extras = F.col("_extras")
     rates = F.filter(
         F.transform(
             F.filter(extras, lambda p: p.startswith("@")), lambda p: F.substr(p, F.lit(2)).try_cast("double")
@@ -49,7 +51,8 @@ def statsd_metrics(
         ),
     )
     entry = lambda key, value: F.struct(F.lit(key).alias("key"), value.alias("value"))
-    kept_rate = F.when((rate > 0) & (rate < 1), rate)
+    parsed = parsed.withColumn("_rate", rate)
+    kept_rate = F.when((F.col("_rate") > 0) & (F.col("_rate") < 1), F.col("_rate"))
     labels = F.concat(
         F.array(entry("source", F.lit("statsd")), entry("metric_type", kind)),
         tags,
