@@ -2,30 +2,28 @@
 
     m' = m + a (x - m)          v' = (1 - a) (v + a (x - m)^2)          first sample: m = x, v = 0
 
-Both are first-order recurrences, so a stretch of rows folded on its own can be corrected once the
-state before it is known. With q = 1 - a, a stretch whose first value is c, its own fold (m_t, v_t)
-after t rows, and the true state (M, V) before it, D = M - c:
+Both are first-order recurrences, so a stretch of rows folded on its own can be placed behind any state. With q = 1 - a, a
+stretch of t rows whose first value is c, its own fold (m, v), and the true state (M, V) before it, D = M - c:
 
-    true m_t = m_t + q^t D
-    true v_t = v_t + q^t V - 2 q^t (m_t - c) D + q^t (1 - q^t) D^2
+    state after it:  m + q^t D          v + q^t V - 2 q^t (m - c) D + q^t (1 - q^t) D^2
 
-Rows are range-partitioned on (key, time, id). Each partition folds its own stretches; one state
-row per partition links them; the correction is a column expression. A series holding a third of
-all rows is therefore folded by a third of the tasks.
+Rows are cut into chunks by key and time. A first pass folds the value column of each chunk and leaves one row per chunk; a
+scan over those rows gives the state before each chunk; the second pass starts every chunk from that state, which travels as
+the row before the chunk's first. A series holding a third of all rows is therefore folded by as many tasks as it has chunks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import timedelta
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from signalmill.operators.skew import ordered_chunks
-from signalmill.session import scratch_path
+from signalmill.functions.time import bucket_number
+from signalmill.operators.skew import LEAF_ROWS, fitting_ids, fitting_step, id_slot
 
 # Baseline defaults.
 ALPHA = 0.05
@@ -33,7 +31,7 @@ MIN_SAMPLES = 30
 MIN_STDDEV = 1e-9
 
 _STATE = ["mean", "var", "n"]
-_FOLD_COLUMNS = ["_m", "_v", "_t", "_pm", "_pv", "_pt", "_first"]
+_CHUNK = ["_b", "_i"]
 
 
 def ewma_baseline(
@@ -45,99 +43,125 @@ def ewma_baseline(
     alpha: float = ALPHA,
     init: DataFrame | None = None,
     before: bool = False,
+    chunk_rows: int = LEAF_ROWS,
 ) -> DataFrame:
     """Adds ``mean``, ``var`` and ``n`` after each row (and ``mean_before`` … with ``before``).
 
     ``init`` (keys, mean, var, n) continues from saved baselines. Rows with a null value are left
-    out, as they are no samples.
+    out, as they are no samples. Rows of equal time and id follow each other by value.
+
+    A chunk is a day of a key, or as much less as ``chunk_rows`` needs. Python sees numbers only; all
+    other columns stay in Spark's rows.
     """
     if not 0 < alpha <= 1:
         raise ValueError("alpha must be in (0, 1]")
-    columns = df.columns
-    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(
-        "*", *[F.lit(None).cast("double").alias(f"_init_{c}") for c in _STATE], F.lit(1).alias("_rank")
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    width = fitting_step(rows, keys, time, "1d", chunk_rows)
+    ids = fitting_ids(rows, keys, time, row_id, width, chunk_rows)
+    rows = rows.withColumns(
+        {"_b": bucket_number(F.col(time), timedelta(microseconds=width)), "_i": id_slot(row_id, ids)}
+        | {f"_{c}0": F.lit(None).cast("double") for c in _STATE}
     )
-    if init is not None:
-        # A saved baseline travels as the row before the key's first sample: no join, no hot key.
-        seeds = init.select(
-            *[
-                F.col(c) if c in keys else F.lit(None).cast(df.schema[c].dataType).alias(c)
-                for c in columns
-            ],
-            *[F.col(c).cast("double").alias(f"_init_{c}") for c in _STATE],
-            F.lit(0).alias("_rank"),
+    order = [time, row_id, value]
+    narrow = rows.select(*dict.fromkeys([*keys, *_CHUNK, *order]), *[f"_{c}0" for c in _STATE])
+    ends = (
+        _folded(narrow, keys, value, order, alpha)
+        .groupBy(*keys, *_CHUNK)
+        .agg(
+            F.max_by(F.struct("_f.mean", "_f.var", "_f.n"), "_number").alias("_end"),
+            F.min_by(F.col(value).cast("double"), "_number").alias("_first"),
         )
-        rows = rows.unionByName(seeds)
-    sorted_rows = ordered_chunks(rows, keys, ["_rank", time, row_id])
-    schema = T.StructType(
-        sorted_rows.schema.fields + [T.StructField(c, T.DoubleType()) for c in _FOLD_COLUMNS]
+        .select(*keys, *_CHUNK, "_end.*", "_first")
     )
-    folded = sorted_rows.mapInPandas(_folder(keys, value, alpha), schema)
-    path = scratch_path(df.sparkSession, "ewma")
-    folded.write.parquet(path)
-    folded = df.sparkSession.read.parquet(path)
-    return _corrected(folded, columns, keys, alpha, before)
+    entered = _entered(ends, keys, alpha, init)
+    both = rows.unionByName(entered, allowMissingColumns=True)
+    state = _folded(both, keys, value, order, alpha).where(F.col("_n0").isNull())
+    out = [F.col("_f.mean"), F.col("_f.var"), F.col("_f.n").cast("long").alias("n")]
+    if before:
+        out += [F.col(f"_f.{c}_before").cast("long" if c == "n" else "double").alias(f"{c}_before") for c in _STATE]
+    return state.select(*[F.col(c) for c in df.columns], *out)
 
 
-def _folder(keys: list[str], value: str, alpha: float):
+def _folded(rows: DataFrame, keys: list[str], value: str, order: list[str], alpha: float) -> DataFrame:
+    """Each chunk folded in its order, from the state in its first row if there is one.
+
+    The window sorts a chunk and numbers its rows; the fold reads them in that order. It is declared
+    nondeterministic, so that no later filter is moved below it.
+    """
+    in_order = Window.partitionBy(*keys, *_CHUNK).orderBy(F.col("_n0").isNull(), *order)
+    numbered = rows.withColumn("_number", F.row_number().over(in_order))
+    fold = F.pandas_udf(
+        _folder(alpha), ", ".join(f"{c} double" for c in [*_STATE, *[f"{c}_before" for c in _STATE]])
+    ).asNondeterministic()
+    return numbered.withColumn("_f", fold("_number", F.col(value).cast("double"), *[F.col(f"_{c}0") for c in _STATE]))
+
+
+def _folder(alpha: float):
     q = 1.0 - alpha
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        carry = None
-        for batch in batches:
-            if batch.empty:
-                continue
-            batch = batch.reset_index(drop=True)
-            x = batch[value].to_numpy(dtype="float64", na_value=np.nan)
-            seeded = batch["_init_n"].notna().to_numpy()
-            x = np.where(seeded, batch["_init_mean"].to_numpy(dtype="float64"), x)
-            v0 = np.where(seeded, batch["_init_var"].to_numpy(dtype="float64"), 0.0)
-            n0 = np.where(seeded, batch["_init_n"].to_numpy(dtype="float64"), 1.0)
-            change = np.zeros(len(batch), dtype=bool)
-            for key in keys:
-                col = batch[key]
-                change[1:] |= (col.ne(col.shift()) & ~(col.isna() & col.shift().isna())).to_numpy()[1:]
-            same_key = carry is not None and _same(carry["key"], batch.iloc[0][keys].tolist())
-            if same_key:
-                x = np.concatenate([[carry["m"]], x])
-                v0 = np.concatenate([[carry["v"]], v0])
-                n0 = np.concatenate([[carry["t"]], n0])
-                change = np.concatenate([[False], change])
-            start = change.copy()
-            start[0] = True
-            stretch = pd.Series(np.cumsum(start))
-            head = np.flatnonzero(start)[stretch.to_numpy() - 1]
-            mean = _ewm(pd.Series(x), stretch, alpha)
-            prev_mean = np.concatenate([[np.nan], mean[:-1]])
-            z = np.where(start, v0, q * (x - prev_mean) ** 2)
-            var = _ewm(pd.Series(z), stretch, alpha)
-            count = n0[head] + (np.arange(len(x)) - head)
-            first = x[head]
-            prev_mean = np.where(start, first, prev_mean)
-            prev_var = np.where(start, 0.0, np.concatenate([[0.0], var[:-1]]))
-            prev_count = np.where(start, 0.0, count - 1)
-            if same_key:
-                mine = stretch.to_numpy() == 1
-                first = np.where(mine, carry["first"], first)
-                mean, var, count, first, prev_mean, prev_var, prev_count = (
-                    a[1:] for a in (mean, var, count, first, prev_mean, prev_var, prev_count)
-                )
-            carry = {
-                "key": batch.iloc[-1][keys].tolist(),
-                "m": mean[-1],
-                "v": var[-1],
-                "t": count[-1],
-                "first": first[-1],
-            }
-            yield batch.assign(
-                _m=mean, _v=var, _t=count, _pm=prev_mean, _pv=prev_var, _pt=prev_count, _first=first
+    def fold(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        last = (0.0, 0.0, 0.0)
+        for number, value, mean0, var0, n0 in batches:
+            start, seeded = number.to_numpy() == 1, n0.notna().to_numpy()
+            x = np.where(seeded, mean0, value).astype("float64")
+            v0 = np.where(seeded, var0, 0.0).astype("float64")
+            first_n = np.where(seeded, n0, 1.0).astype("float64")
+            # The chunk that the last batch left open goes on from its last row.
+            open_rows = int(len(start) > 0 and not start[0])
+            if open_rows:
+                start = np.concatenate([[True], start])
+                x, v0, first_n = (np.concatenate([[s], a]) for s, a in zip(last, (x, v0, first_n), strict=True))
+            chunk = pd.Series(np.cumsum(start))
+            mean = _ewm(pd.Series(x), chunk, alpha)
+            earlier = np.where(start, x, np.roll(mean, 1))
+            var = _ewm(pd.Series(np.where(start, v0, q * (x - earlier) ** 2)), chunk, alpha)
+            head = np.flatnonzero(start)[chunk.to_numpy() - 1]
+            n = first_n[head] + (np.arange(len(x)) - head)
+            out = pd.DataFrame(
+                {
+                    "mean": mean, "var": var, "n": n, "mean_before": earlier,
+                    "var_before": np.where(start, 0.0, np.roll(var, 1)), "n_before": np.where(start, 0.0, n - 1),
+                }
             )
+            if len(out):
+                last = (mean[-1], var[-1], n[-1])
+            yield out.iloc[open_rows:]
 
     return fold
 
 
-def _same(a: list, b: list) -> bool:
-    return all((x == y) or (pd.isna(x) and pd.isna(y)) for x, y in zip(a, b, strict=True))
+def _entered(ends: DataFrame, keys: list[str], alpha: float, init: DataFrame | None) -> DataFrame:
+    """The state before each chunk that has one: a scan over one row per key and chunk.
+
+    A key's rows are read by one task; their number depends on its time range and the width of a chunk.
+    """
+    if init is not None:
+        saved = init.select(*keys, *[F.col(c).cast("double").alias(c) for c in _STATE])
+        ends = ends.unionByName(saved, allowMissingColumns=True)
+    in_order = Window.partitionBy(*keys).orderBy(F.col("_first").isNotNull(), *_CHUNK)
+    scan = F.pandas_udf(_scanner(1.0 - alpha), ", ".join(f"{c} double" for c in _STATE)).asNondeterministic()
+    before = ends.withColumn("_number", F.row_number().over(in_order)).withColumn(
+        "_s", scan("_number", *_STATE, "_first")
+    )
+    return before.where(F.col("_first").isNotNull() & F.col("_s.n").isNotNull()).select(
+        *keys, *_CHUNK, *[F.col(f"_s.{c}").alias(f"_{c}0") for c in _STATE]
+    )
+
+
+def _scanner(q: float):
+    def scan(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        state = None
+        for columns in batches:
+            before = []
+            for number, mean, var, n, first in zip(*[c.tolist() for c in columns], strict=True):
+                if number == 1:
+                    state = None
+                before.append(state or (None, None, None))
+                # Saved baselines have no first value: they are a state, not a stretch.
+                state = (mean, var, n) if state is None else _advance(state, (mean, var, n, first), q)
+            yield pd.DataFrame(before, columns=_STATE, dtype="float64")
+
+    return scan
 
 
 def _ewm(series: pd.Series, stretch: pd.Series, alpha: float) -> np.ndarray:
@@ -156,74 +180,8 @@ def fold_on(values: np.ndarray, state: tuple[float, float, int] | None, alpha: f
     return mean[skip:], var[skip:], count[skip:]
 
 
-def _corrected(folded: DataFrame, columns: list[str], keys: list[str], alpha: float, before: bool) -> DataFrame:
-    spark = folded.sparkSession
-    key = F.struct(*[F.col(k) for k in keys]).alias("key")
-    # One row per partition: its first key, and the fold of its last stretch. The number of rows is
-    # the number of shuffle partitions, whatever the data.
-    position = F.struct(key, "_rank", "_t")
-    links = (
-        folded.groupBy("_chunk")
-        .agg(
-            F.min(key).alias("head"),
-            F.max(key).alias("tail"),
-            F.max_by(F.struct("_m", "_v", "_t", "_first"), position).alias("end"),
-        )
-        .orderBy("_chunk")
-        .collect()
-    )
-    q = 1.0 - alpha
-    carried, state, last_key = {}, None, None
-    for link in links:
-        end = link["end"]
-        continues = last_key is not None and link["head"] == last_key
-        if continues:
-            carried[link["_chunk"]] = tuple(float(s) for s in state)
-        if continues and link["tail"] == link["head"]:
-            state = _advance(state, (end["_m"], end["_v"], end["_t"], end["_first"]), q)
-        else:
-            state = (end["_m"], end["_v"], end["_t"])
-        last_key = link["tail"]
-
-    heads = spark.createDataFrame(
-        [
-            (link["_chunk"], *[link["head"][k] for k in keys], *carried.get(link["_chunk"], (None, None, None)))
-            for link in links
-        ],
-        T.StructType(
-            [T.StructField("_chunk", T.IntegerType())]
-            + [T.StructField(f"_head_{k}", folded.schema[k].dataType) for k in keys]
-            + [T.StructField(c, T.DoubleType()) for c in ("_mean0", "_var0", "_n0")]
-        ),
-    )
-    in_head = F.lit(True)
-    for k in keys:
-        in_head = in_head & F.col(k).eqNullSafe(F.col(f"_head_{k}"))
-    fix = in_head & F.col("_mean0").isNotNull()
-    joined = folded.where(F.col("_rank") == 1).join(F.broadcast(heads), "_chunk", "left")
-
-    def state_at(m: str, v: str, t: str, suffix: str) -> list[Column]:
-        qt = F.pow(F.lit(q), F.col(t))
-        delta = F.col("_mean0") - F.col("_first")
-        true_mean = F.col(m) + qt * delta
-        true_var = (
-            F.col(v) + qt * F.col("_var0") - 2 * qt * (F.col(m) - F.col("_first")) * delta + qt * (1 - qt) * delta * delta
-        )
-        count = (F.col(t) + F.when(fix, F.col("_n0")).otherwise(0.0)).cast("long")
-        return [
-            F.when(fix, true_mean).otherwise(F.col(m)).alias("mean" + suffix),
-            F.when(fix, F.greatest(true_var, F.lit(0.0))).otherwise(F.col(v)).alias("var" + suffix),
-            count.alias("n" + suffix),
-        ]
-
-    out = state_at("_m", "_v", "_t", "")
-    if before:
-        out += state_at("_pm", "_pv", "_pt", "_before")
-    return joined.select(*columns, *out)
-
-
 def _advance(state, fold, q):
-    """State after a whole partition that continues a stretch."""
+    """State after a stretch that follows ``state``."""
     m, v, t, first = fold
     qt = q**t
     delta = state[0] - first

@@ -5,9 +5,8 @@ Three ideas recur:
 * histogram first: counts per (key, small time bucket) are combined map-side, so a hot key costs
   its number of buckets, not its number of rows; windows run over the histogram;
 * select inside one bucket: only the bucket that holds a wanted rank is read at row level;
-* ordered chunks: where a fold really needs every row in order, rows are range-partitioned on
-  (key, time, id), which cuts a hot key into many partitions, and each partition passes one
-  small state row to the next.
+* chunks: where a fold really needs every row in order, a key is cut by time (and id) into chunks
+  of bounded size, and a scan over one small state row per chunk links them.
 """
 
 from __future__ import annotations
@@ -149,19 +148,6 @@ def _bucket_with_nth(rows: DataFrame, inside: list[str], sub: str, hit: DataFram
     return placed.where(found).select(*inside, sub, *earlier, "_rows")
 
 
-def ordered_chunks(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Rows sorted by (keys, order) within range partitions; a hot key spans many partitions.
-
-    ``_chunk`` numbers the partitions in sort order. The assignment is only stable inside one
-    evaluation, so callers freeze the result with :func:`signalmill.session.reliable`.
-    """
-    return (
-        df.repartitionByRange(*keys, *order)
-        .sortWithinPartitions(*keys, *order)
-        .withColumn("_chunk", F.spark_partition_id())
-    )
-
-
 def previous_value(
     df: DataFrame, keys: list[str], time: str, row_id: str, col: str, out: str, step: Duration = "1m",
     leaf_rows: int = LEAF_ROWS,

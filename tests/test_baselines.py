@@ -40,8 +40,11 @@ def values():
     return out
 
 
-def test_hot_series_is_split_and_exact(spark, values):
-    got = by_key(ewma.ewma_baseline(series(spark, values), ["k"], "x", "at", "rid", 0.05, before=True).collect())
+@pytest.mark.parametrize("chunk_rows", [1_000_000, 50])
+def test_hot_series_is_split_and_exact(spark, values, chunk_rows):
+    df = series(spark, values)
+    state = ewma.ewma_baseline(df, ["k"], "x", "at", "rid", 0.05, before=True, chunk_rows=chunk_rows)
+    got = by_key(state.collect())
     for key, xs in values.items():
         for r, (before, after) in zip(got[key], models.ewma(xs, 0.05), strict=True):
             assert (r["mean"], r["n"]) == (pytest.approx(after[0], rel=1e-12), after[2])
@@ -52,32 +55,43 @@ def test_hot_series_is_split_and_exact(spark, values):
                 assert r["var_before"] == pytest.approx(before[1], rel=1e-7, abs=1e-9)
 
 
-def test_hot_series_spans_partitions(spark, values):
-    from signalmill.operators.skew import ordered_chunks
-
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        chunks = ordered_chunks(series(spark, values), ["k"], ["at", "rid"])
-        assert chunks.where("k = 'hot'").select("_chunk").distinct().count() > 3
-        test_hot_series_is_split_and_exact(spark, values)
-        test_saved_baselines_continue(spark, values)
-    finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-
-
-def test_saved_baselines_continue(spark, values):
+@pytest.mark.parametrize("chunk_rows", [1_000_000, 50])
+def test_saved_baselines_continue(spark, values, chunk_rows):
     df = series(spark, values)
     cut = F.lit(START + timedelta(seconds=40))
-    first = ewma.ewma_baseline(df.where(F.col("at") < cut), ["k"], "x", "at", "rid")
-    saved = ewma.final_baselines(first, ["k"])
-    rest = ewma.ewma_baseline(df.where(F.col("at") >= cut), ["k"], "x", "at", "rid", init=saved)
-    whole = {r["rid"]: r for r in ewma.ewma_baseline(df, ["k"], "x", "at", "rid").collect()}
-    for r in rest.collect():
+
+    def state(rows, init=None):
+        return ewma.ewma_baseline(rows, ["k"], "x", "at", "rid", init=init, chunk_rows=chunk_rows)
+
+    saved = ewma.final_baselines(state(df.where(F.col("at") < cut)), ["k"])
+    whole = {r["rid"]: r for r in state(df).collect()}
+    rest = state(df.where(F.col("at") >= cut), saved).collect()
+    assert len(rest) == df.where(F.col("at") >= cut).count()
+    for r in rest:
         want = whole[r["rid"]]
         assert (r["mean"], r["n"]) == (pytest.approx(want["mean"], rel=1e-12), want["n"])
         assert r["var"] == pytest.approx(want["var"], rel=1e-6, abs=1e-9)
 
 
+def test_chunks_of_one_instant_are_split_by_id(spark, values):
+    xs = values["hot"][:400]
+    df = spark.createDataFrame([("a", START, i, x) for i, x in enumerate(xs)], "k string, at timestamp, rid long, x double")
+    got = by_key(ewma.ewma_baseline(df, ["k"], "x", "at", "rid", chunk_rows=64).collect())["a"]
+    for r, (_, after) in zip(got, models.ewma(xs, 0.05), strict=True):
+        assert (r["mean"], r["n"]) == (pytest.approx(after[0], rel=1e-12), after[2])
+
+
+def test_null_keys_and_filters_above(spark):
+    df = spark.createDataFrame(
+        [(k, START + timedelta(days=i), i, float(i)) for k in (None, "b") for i in range(5)],
+        "k string, at timestamp, rid long, x double",
+    )
+    state = ewma.ewma_baseline(df, ["k"], "x", "at", "rid", 0.5)
+    late = state.where(F.col("at") >= F.lit(START + timedelta(days=3))).orderBy("k", "rid").collect()
+    assert [(r["k"], r["rid"], r["n"]) for r in late] == [(None, 3, 4), (None, 4, 5), ("b", 3, 4), ("b", 4, 5)]
+    assert state.where("rid = 4").count() == 2
+
+
 def test_null_values_are_no_samples(spark):
     df = spark.createDataFrame(
         [("a", START + timedelta(seconds=i), i, x) for i, x in enumerate([1.0, None, float("nan"), 3.0])],
