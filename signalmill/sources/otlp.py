@@ -26,11 +26,8 @@ _ERROR_STATUS = ("2", "STATUS_CODE_ERROR")
 
 # Numbers are read as strings: 64-bit integers may be quoted, and their text is kept as it is.
 _SCALARS = "stringValue:string,boolValue:string,intValue:string,doubleValue:string,bytesValue:string"
-# Levels of nested arrays that are read apart; what lies deeper is kept as the JSON text it is.
-_LEVELS = 6
+# An array value stays the JSON text it is, whatever its depth; it is rendered from its tokens.
 _ANY = f"struct<{_SCALARS},arrayValue:string>"
-for _ in range(_LEVELS):
-    _ANY = f"struct<{_SCALARS},arrayValue:struct<values:array<{_ANY}>>>"
 _ATTRS = f"array<struct<key:string,value:{_ANY}>>"
 _RESOURCE = f"resource:struct<attributes:{_ATTRS}>"
 _SCOPE = "scope:struct<name:string>"
@@ -89,18 +86,60 @@ def _scalar_text(value: Column) -> Column:
     )
 
 
-def _array_text(value: Column, item_text) -> Column:
-    items = F.transform(value["arrayValue"]["values"], lambda v: F.coalesce(item_text(v), F.lit("")))
-    return F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def any_value_text(value: Column, levels: int = _LEVELS) -> Column:
-    """An attribute value as text; arrays as ``[a,b]`` however nested, bytes as hex."""
-    if levels == 0:
-        return F.coalesce(_scalar_text(value), value["arrayValue"], F.lit(""))
-    return F.coalesce(
-        _scalar_text(value), _array_text(value, lambda item: any_value_text(item, levels - 1)), F.lit("")
-    )
+# A quoted JSON text; possessive, so that long ones need no stack.
+_QUOTED = r'"(?:[^"\\]++|\\.)*+"'
+_SCALAR = rf'"(?:string|bool|int|double|bytes)Value":(?:{_QUOTED}|[^",\[\]{{}}]++)'
+# What an array is rendered from: scalars, empty arrays, brackets and the commas between items. Keys are matched to be passed over.
+_PARTS = rf'{_SCALAR}|"arrayValue":\{{\}}|{_QUOTED}:?|[\[\]]|,(?=[{{n])'
+
+
+def _tokens(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+
+def _array_text(array: Column) -> Column:
+    """An array value given as JSON text: ``[a,b]``, nested as deep as it is."""
+
+    def part(token: Column) -> Column:
+        scalar = F.from_json(F.concat(F.lit("{"), token, F.lit("}")), f"struct<{_SCALARS}>")
+        return (
+            F.when(token.isin("[", "]", ","), token)
+            .when(token == '"arrayValue":{}', "[]")
+            .when(token.rlike(f"^{_SCALAR}$"), F.coalesce(_scalar_text(scalar), F.lit("")))
+            .otherwise("")
+        )
+
+    def rendered(text: Column) -> Column:
+        known = F.when(text.contains('"kvlistValue":'), _without_lists_of_pairs(text)).otherwise(text)
+        return F.when(text == "{}", "[]").otherwise(F.array_join(F.transform(_tokens(known, _PARTS), part), ""))
+
+    return _bound(F.array_join(_tokens(array, rf'{_QUOTED}|[^\s"]++'), ""), rendered)
+
+
+def _without_lists_of_pairs(text: Column) -> Column:
+    """JSON text without the lists of pairs in it, which have no text of their own."""
+
+    def step(state: Column, token: Column) -> Column:
+        depth = state["depth"] + F.when(token == "{", 1).when(token == "}", -1).otherwise(0)
+        opened = (state["since"] == 0) & (token == '"kvlistValue":')
+        closed = (token == "}") & (depth <= state["since"])
+        since = F.when(opened, state["depth"]).when(closed, 0).otherwise(state["since"])
+        kept = F.when(opened | (state["since"] > 0), state["kept"]).otherwise(F.concat(state["kept"], token))
+        return F.struct(kept.alias("kept"), depth.alias("depth"), since.alias("since"))
+
+    start = F.struct(F.lit("").alias("kept"), F.lit(0).alias("depth"), F.lit(0).alias("since"))
+    return F.aggregate(_tokens(text, rf'{_QUOTED}:?|[{{}}]|[^"{{}}]++'), start, step, lambda state: state["kept"])
+
+
+def any_value_text(value: Column) -> Column:
+    """An attribute value as text; arrays as ``[a,b]`` however nested, bytes as hex, lists of pairs empty."""
+    array = F.when(value["arrayValue"].isNotNull(), _array_text(value["arrayValue"]))
+    return F.coalesce(_scalar_text(value), array, F.lit(""))
 
 
 def _entries(attributes: Column) -> Column:
@@ -117,7 +156,7 @@ def last_wins(entries: Column) -> Column:
         return F.map_from_entries(F.filter(own, lambda e, i: ~later(e, i)))
 
     # Bound once: named within the filter, the entries would be worked out anew for each of them.
-    return F.get(F.transform(F.array(entries), of), F.lit(0))
+    return _bound(entries, of)
 
 
 def _optional(name: str, value: Column) -> Column:

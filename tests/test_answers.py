@@ -1,6 +1,7 @@
 """Answers at the edges: ranges, unreadable input, hooks, names, infinities, limits, nesting."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,10 +73,51 @@ def test_arrays_nested_deeply(spark, tmp_path):
     def nested(depth):
         return {"stringValue": "x"} if depth == 0 else {"arrayValue": {"values": [nested(depth - 1), {"intValue": "1"}]}}
 
-    attributes = [{"key": f"k{d}", "value": nested(d)} for d in (0, 1, 3, 6, 9)]
+    attributes = [{"key": f"k{d}", "value": nested(d)} for d in (0, 1, 3, 8, 30)]
     request = {"resourceSpans": [{"resource": {"attributes": attributes}, "scopeSpans": [{"scope": {"name": "s"}, "spans": [{"traceId": "t", "spanId": "s"}]}]}]}
     (tmp_path / "a.json").write_text(json.dumps(request))
     spans = otlp.otlp_traces(otlp.read_otlp(spark, str(tmp_path), "traces"), "t", "2024-01-01")
     attributes = spans.head()["attributes"]
     assert attributes["k0"] == "x" and attributes["k1"] == "[x,1]" and attributes["k3"] == "[[[x,1],1],1]"
-    assert attributes["k6"].count("[") == 6 and "x" in attributes["k9"]
+    for depth in (8, 30):
+        assert attributes[f"k{depth}"] == "[" * depth + "x" + ",1]" * depth
+
+
+def test_arrays_of_odd_values_equal_a_recursive_decoder(spark, tmp_path):
+    def text(value):
+        if value is None:
+            return ""
+        if "arrayValue" in value:
+            return "[" + ",".join(text(v) for v in value["arrayValue"].get("values", [])) + "]"
+        if "boolValue" in value:
+            return str(value["boolValue"]).lower()
+        return next((str(v) for k, v in value.items() if k in ("stringValue", "intValue")), "")
+
+    rng = random.Random(4)
+    odd = ['a,b', '{"arrayValue":{}}', '[x]', 'back\\slash "quoted"', '"kvlistValue":', "", " two  words\n\t", "ünïcode 😀", "},{", "q\\" * 20_000]
+
+    def value(depth):
+        kind = rng.randrange(8 if depth else 5)
+        if kind == 0:
+            return {"intValue": str(rng.randrange(-9, 2**62))}
+        if kind == 1:
+            return {"boolValue": rng.random() < 0.5}
+        if kind == 2:
+            return rng.choice([None, {}, {"arrayValue": {}}, {"arrayValue": {"values": []}}])
+        if kind == 3:
+            pairs = [{"key": "[k", "value": value(max(0, depth - 1))} for _ in range(rng.randrange(3))]
+            return {"kvlistValue": {"values": pairs}}
+        if kind == 4:
+            return {"stringValue": rng.choice(odd)}
+        return {"arrayValue": {"values": [value(depth - 1) for _ in range(rng.randrange(5))]}}
+
+    values = [{"arrayValue": {"values": [value(6) for _ in range(4)]}} for _ in range(120)]
+    for i, indent in enumerate((None, 1)):
+        attributes = [{"key": f"k{j}", "value": v} for j, v in enumerate(values)]
+        request = {"resourceSpans": [{"scopeSpans": [{"spans": [{"spanId": "s", "attributes": attributes}]}]}]}
+        folder = tmp_path / str(i)
+        folder.mkdir()
+        body = json.dumps(request, indent=indent, ensure_ascii=bool(i))
+        (folder / "a.json").write_text(body.replace("\n", " "))
+        got = otlp.otlp_traces(otlp.read_otlp(spark, str(folder), "traces"), "t", "2024-01-01").head()["attributes"]
+        assert {k: v for k, v in got.items() if k.startswith("k")} == {f"k{j}": text(v) for j, v in enumerate(values)}
