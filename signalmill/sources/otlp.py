@@ -195,7 +195,7 @@ def otlp_traces(df_json: DataFrame, tenant: str, received_at) -> DataFrame:
         _entries(F.col("p.attributes")),
         _optional("otel.scope.name", F.col("_scope")),
         _optional("span.kind", _enum_name(F.col("p.kind"), _SPAN_KINDS)),
-        _optional("duration_ms", F.format_string("%.3f", duration / 1e6)),
+        _optional("duration_ms", F.when(duration.isNotNull(), F.format_string("%.3f", duration / 1e6))),
         _optional("severity", F.when(is_error, F.lit("ERROR"))),
         _optional("status.message", F.col("p.status.message")),
     )

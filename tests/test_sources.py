@@ -64,6 +64,13 @@ def test_otlp_spans(spark, tmp_path):
     assert want.items() <= r["attributes"].items()
 
 
+def test_span_without_duration_has_no_duration_label(spark, tmp_path):
+    spans = [{"spanId": "a", "startTimeUnixNano": "1000", "endTimeUnixNano": "1000"}, {"spanId": "b"}]
+    path = lines(tmp_path, "t.json", [{"resourceSpans": [{"scopeSpans": [{"spans": spans}]}]}])
+    rows = otlp.otlp_traces(otlp.read_otlp(spark, path, "traces"), "a", AS_OF).collect()
+    assert [(r["duration_ns"], "duration_ms" in r["attributes"]) for r in rows] == [(0, False), (0, False)]
+
+
 def test_otlp_metrics(spark, tmp_path):
     metrics = [
         {"name": "reqs", "sum": {"aggregationTemporality": 2, "dataPoints": [{"asInt": "42", "attributes": [attr("method", stringValue="GET")]}]}},
