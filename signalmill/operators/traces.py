@@ -100,9 +100,10 @@ def waterfall(spans: DataFrame, large_trace: int = 50_000) -> DataFrame:
     Children follow their parent by start time (then span id); a span whose parent is absent is a
     root. Spans on a cycle have no root and do not appear; a repeated span id keeps its first span.
 
-    Traces up to ``large_trace`` spans are laid out whole, many of them per Arrow batch. Larger ones
-    never come together in one task: they are walked level by level with joins and numbered from
-    subtree sizes.
+    Spans without a trace id form one trace of their tenant. Traces up to ``large_trace`` spans are
+    laid out whole, many of them per Arrow batch. Larger ones never come together in one task: they
+    are numbered from subtree sizes by joins, twice the logarithm of their depth many, and their
+    layout is the same.
     """
     rows = spans.select(
         *_TRACE,
@@ -117,9 +118,11 @@ def waterfall(spans: DataFrame, large_trace: int = 50_000) -> DataFrame:
     big = reliable(sizes)
     if big.isEmpty():
         return _waterfall_whole(rows)
-    big = checked_broadcast(big)
-    small = _waterfall_whole(rows.join(big, _TRACE, "left_anti"))
-    return small.unionByName(_waterfall_by_level(_first_spans(rows.join(big, _TRACE, "left_semi"))))
+    big = checked_broadcast(big.select(F.struct(*_TRACE).alias("_trace")))
+    # As a struct, a trace without an id equals itself.
+    rows = rows.withColumn("_trace", F.struct(*_TRACE))
+    small = _waterfall_whole(rows.join(big, "_trace", "left_anti").drop("_trace"))
+    return small.unionByName(_waterfall_by_joins(_first_spans(rows.join(big, "_trace", "left_semi").drop("_trace"))))
 
 
 def _first_spans(rows: DataFrame) -> DataFrame:
@@ -192,48 +195,47 @@ def _layout(rows: pd.DataFrame, keys: list[tuple]) -> pd.DataFrame:
     return out.assign(ordinal=ordinals, depth=depths)[_WATERFALL_COLUMNS]
 
 
-def _waterfall_by_level(rows: DataFrame) -> DataFrame:
-    """Layout of very large traces: one join per level, subtree sizes bottom-up, ordinals top-down."""
-    key = [*_TRACE, "span_id"]
-    rows = reliable(rows)
-    ids = rows.select(*_TRACE, F.col("span_id").alias("parent"))
-    levels = [reliable(rows.join(ids, [*_TRACE, "parent"], "left_anti").withColumn("parent", F.lit("")))]
+def _waterfall_by_joins(rows: DataFrame) -> DataFrame:
+    """Layout of very large traces by pointer doubling.
+
+    A round lets every span look twice as far up as the round before, so ``log2(depth)`` rounds give
+    depths and subtree sizes. A span's ordinal is the sum, over itself and its ancestors, of the spans
+    ahead of it among its siblings' subtrees, plus one for each level; the pointers of the first
+    rounds, taken again, sum it.
+    """
+    spans = rows.withColumn("_id", F.struct(*_TRACE, "span_id")).withColumn("_up", F.struct(*_TRACE, "parent"))
+    known = spans.select(F.col("_id").alias("_up"), F.col("_id").alias("_anc"))
+    spans = reliable(spans.join(known, "_up", "left").drop("_up"))
+
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    state = spans.select("_id", "_anc", F.when(F.col("_anc").isNull(), none).otherwise(one).alias("depth"), one.alias("_size"))
+    pointers: list[DataFrame] = []
+    unfinished = None
     while True:
-        above = levels[-1].select(*_TRACE, F.col("span_id").alias("parent"))
-        below = reliable(rows.join(above, [*_TRACE, "parent"], "left_semi"))
-        if below.isEmpty():
+        active = state.where("_anc IS NOT NULL")
+        left = active.count()
+        # Depths have no gaps: a round that finishes no span leaves only those on or below a cycle.
+        if left in (0, unfinished):
             break
-        levels.append(below)
-
-    sized: list[DataFrame] = []
-    under = None
-    for level in reversed(levels):
-        if under is None:
-            level = level.withColumn("_size", F.lit(1).cast("long"))
-        else:
-            sums = under.groupBy(*_TRACE, F.col("parent").alias("span_id")).agg(F.sum("_size").alias("_below"))
-            level = level.join(sums, key, "left").withColumn("_size", 1 + F.coalesce("_below", F.lit(0))).drop("_below")
-        under = reliable(level)
-        sized.insert(0, under)
-
-    placed = []
-    for depth, level in enumerate(sized):
-        level = _offsets_among_siblings(level)
-        if depth == 0:
-            level = level.withColumn("ordinal", F.col("_ahead"))
-        else:
-            parent = placed[-1].select(*_TRACE, F.col("span_id").alias("parent"), F.col("ordinal").alias("_up"))
-            level = level.join(parent, [*_TRACE, "parent"]).withColumn("ordinal", F.col("_up") + 1 + F.col("_ahead"))
-        placed.append(reliable(level.withColumn("depth", F.lit(depth).cast("long")).drop("_up")))
-
-    walked = placed[0]
-    for level in placed[1:]:
-        walked = walked.unionByName(level)
+        unfinished = left
+        pointers.append(active.select("_id", "_anc"))
+        state = reliable(_twice_as_far(state))
+
+    finished = state.where("_anc IS NULL").select("_id", "depth", "_size")
+    placed = reliable(_offsets_among_siblings(spans.join(finished, "_id")))
+    ordinal = placed.select("_id", (F.col("_ahead") + F.when(F.col("_anc").isNull(), none).otherwise(one)).alias("ordinal"))
+    for pointer in pointers:
+        above = ordinal.select(F.col("_id").alias("_anc"), F.col("ordinal").alias("_above"))
+        added = pointer.join(above, "_anc").select("_id", "_above")
+        ordinal = reliable(
+            ordinal.join(added, "_id", "left").select("_id", (F.col("ordinal") + F.coalesce("_above", none)).alias("ordinal"))
+        )
+
     extent = checked_broadcast(
-        rows.groupBy(*_TRACE).agg(F.min("start_us").alias("_first"), F.max("end_us").alias("_last"))
+        rows.groupBy(F.struct(*_TRACE).alias("_trace")).agg(F.min("start_us").alias("_first"), F.max("end_us").alias("_last"))
     )
     width = F.greatest(F.lit(1), F.col("_last") - F.col("_first"))
-    return walked.join(extent, _TRACE).select(
+    return placed.join(ordinal, "_id").withColumn("_trace", F.struct(*_TRACE)).join(extent, "_trace").select(
         *_TRACE,
         "ordinal",
         "span_id",
@@ -245,25 +247,33 @@ def _waterfall_by_level(rows: DataFrame) -> DataFrame:
     )
 
 
-def _offsets_among_siblings(level: DataFrame) -> DataFrame:
-    """Spans ahead of each span among its siblings' subtrees, by (start, span id).
+def _twice_as_far(state: DataFrame) -> DataFrame:
+    """Sizes counted and ancestors found twice as far away; a span without an ancestor there takes no part in the join."""
+    active, done = state.where("_anc IS NOT NULL"), state.where("_anc IS NULL")
+    gains = active.groupBy(F.col("_anc").alias("_id")).agg(F.sum("_size").alias("_gain"))
+    above = state.select(F.col("_id").alias("_anc"), F.col("_anc").alias("_next"), F.col("depth").alias("_further"))
+    moved = active.join(above, "_anc").select("_id", F.col("_next").alias("_anc"), (F.col("depth") + F.col("_further")).alias("depth"), "_size")
+    both = moved.unionByName(done).join(gains, "_id", "left")
+    return both.withColumn("_size", F.col("_size") + F.coalesce("_gain", F.lit(0))).drop("_gain")
+
+
+def _offsets_among_siblings(spans: DataFrame) -> DataFrame:
+    """Spans ahead of each span among its siblings' subtrees, by (start, span id); roots are siblings.
 
     Siblings are summed per millisecond of start first; only one millisecond's siblings are ever
     windowed together.
     """
-    group = [*_TRACE, "parent"]
-    level = level.withColumn("_ms", F.col("start_us").cast("long") - F.pmod("start_us", F.lit(1000)))
-    before = Window.partitionBy(*group).orderBy("_ms").rowsBetween(Window.unboundedPreceding, -1)
+    siblings = F.struct(*_TRACE, F.col("_anc.span_id").alias("span_id"), F.col("_anc").isNull().alias("root"))
+    spans = spans.withColumns({"_group": siblings, "_ms": F.coalesce(F.floor(F.col("start_us") / 1000), F.lit(-(2**62)))})
+    before = Window.partitionBy("_group").orderBy("_ms").rowsBetween(Window.unboundedPreceding, -1)
     per_ms = (
-        level.groupBy(*group, "_ms")
+        spans.groupBy("_group", "_ms")
         .agg(F.sum("_size").alias("_sum"))
-        .select(*group, "_ms", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_earlier"))
-    )
-    inside = (
-        Window.partitionBy(*group, "_ms").orderBy("start_us", "span_id").rowsBetween(Window.unboundedPreceding, -1)
+        .select("_group", "_ms", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_earlier"))
     )
+    inside = Window.partitionBy("_group", "_ms").orderBy("start_us", "span_id").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        level.join(per_ms, [*group, "_ms"])
+        spans.join(per_ms, ["_group", "_ms"])
         .withColumn("_ahead", F.col("_earlier") + F.coalesce(F.sum("_size").over(inside), F.lit(0)))
-        .drop("_ms", "_earlier")
+        .drop("_group", "_ms", "_earlier")
     )

@@ -2,6 +2,7 @@
 
 import base64
 import json
+import random
 from datetime import UTC, datetime, timedelta
 
 import pyarrow.parquet as pq
@@ -201,6 +202,32 @@ def test_waterfall_of_odd_trees(spark, large_trace):
     assert all(r["width_pct"] == pytest.approx(20) and r["duration_ms"] == 10 for r in got)
 
 
+def test_waterfalls_by_joins_equal_whole_ones(spark):
+    rng = random.Random(2)
+    rows = []
+
+    def add(tenant, trace, sid, parent, ms):
+        at = START + timedelta(milliseconds=ms)
+        rows.append((tenant, trace, sid, parent, "op", "svc", at, at + timedelta(milliseconds=7), 7_000_000, {}, "OK"))
+
+    for tenant, trace in (("t", "tr"), ("t", None), ("u", None), ("u", "tr")):
+        for i in range(60 if tenant == "t" else 40):
+            add(tenant, trace, f"s{i:02d}", f"s{rng.randrange(70):02d}" if rng.random() < 0.9 else None, rng.randrange(8))
+    for i in range(300):
+        add("t", "chain", f"c{i}", f"c{i - 1}", 300 - i)
+    for i in range(300):
+        add("t", "star", f"w{i}", "w0" if i else None, i // 100)
+    for i in range(60):
+        add("t", "cycle", f"y{i}", f"y{(i - 1) % 10}" if i < 10 else f"y{i - 1}", i)
+    df = spark.createDataFrame(rows, TRACES)
+    whole = traces.waterfall(df)
+    key = lambda r: (r["tenant_id"], r["trace_id"] or "", r["ordinal"])
+    want = sorted(whole.collect(), key=key)
+    assert len(want) > 600 and {r["trace_id"] for r in want} == {"tr", None, "chain", "star"}
+    assert max(r["depth"] for r in want) == 299
+    assert sorted(traces.waterfall(df, 50).select(whole.columns).collect(), key=key) == want
+
+
 def test_metrics_schema_round_trip(spark, tmp_path):
     rows = [("7", "m", START, 1.0, {"k": "v"}, START)]
     tables.write_source(spark.createDataFrame(rows, METRICS), "metrics", str(tmp_path))
