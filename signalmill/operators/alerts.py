@@ -19,6 +19,12 @@ OTHER_ICON = ":information_source:"
 RESOLVED_ICON = ":white_check_mark:"
 NOTIFICATION_SOURCE = "alert-manager"
 
+# Hours under which a spell of silence has rows at most, the slot of longer ones, and the start of those without one.
+SLOTTED_HOURS = 48
+HOUR_US = 3_600_000_000
+LONG = -(1 << 62)
+NEVER = -(1 << 62)
+
 
 def alert_fingerprint(alerts: DataFrame) -> DataFrame:
     """Adds the SHA-256 of tenant, rule and sorted labels; equal alerts share it."""
@@ -97,32 +103,86 @@ def slo_to_alerts(decisions: DataFrame, previous: DataFrame | None = None) -> Da
     )
 
 
+def silence_spells(silences: DataFrame) -> DataFrame:
+    """When each matcher of a tenant is silenced: ``_tenant``, ``_anchor``, ``_matcher``, ``_slot``, ``_since``, ``_until``.
+
+    Silences of equal matchers that meet are one spell, so many silences come to few rows. A spell has a row under every hour
+    it touches, a longer one than ``SLOTTED_HOURS`` hours one row under ``LONG``: a matcher's long spells lie apart, so their number
+    is bounded by the time they cover. ``_anchor`` is a label pair that every covered row has, or empty.
+    """
+    wanted = F.filter(match.sorted_labels("matcher"), lambda e: F.coalesce(e["value"], F.lit("")) != "")
+    blank = F.map_filter("matcher", lambda _, value: F.coalesce(value, F.lit("")) == "")
+    own = silences.where(F.col("tenant_id").isNotNull() & F.col("matcher").isNotNull()).select(
+        F.col("tenant_id").alias("_tenant"),
+        F.when(F.size(wanted) > 0, _pair(F.get(wanted, 0))).otherwise(F.lit("")).alias("_anchor"),
+        F.struct(wanted.alias("wanted"), F.array_sort(F.map_keys(blank)).alias("missing")).alias("_matcher"),
+        _micros(F.col("created_at") if "created_at" in silences.columns else F.lit(None).cast("timestamp"), NEVER).alias("_since"),
+        _micros(F.col("expires_at")).alias("_until"),
+    ).where(F.col("_since") < F.col("_until"))
+    keys = ["_tenant", "_anchor", "_matcher"]
+    own = own.groupBy(*keys, "_since").agg(F.max("_until").alias("_until"))
+    # First by the hour of their start, so that a hot matcher is spread over its hours.
+    own = _joined_spells(own.withColumn("_hour", _hour("_since")), [*keys, "_hour"])
+    own = _joined_spells(own, keys)
+    first, last = _hour("_since"), _hour(F.col("_until") - 1)
+    slots = F.when(last - first < SLOTTED_HOURS, F.sequence(first, last)).otherwise(F.array(F.lit(LONG)))
+    return own.withColumn("_slot", F.explode(slots))
+
+
+def _joined_spells(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (``_since``, ``_until``) of equal keys, those that overlap or meet as one."""
+    order = Window.partitionBy(*keys).orderBy("_since")
+    before = F.max("_until").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_new", F.coalesce(F.col("_since") > before, F.lit(True)).cast("long"))
+    rows = rows.withColumn("_spell", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy(*keys, "_spell").agg(F.min("_since").alias("_since"), F.max("_until").alias("_until")).drop("_spell")
+
+
+def _micros(at: Column, none: int | None = None) -> Column:
+    us = F.unix_micros(at.cast("timestamp"))
+    return us if none is None else F.coalesce(us, F.lit(none))
+
+
+def _hour(us: Column | str) -> Column:
+    us = F.col(us) if isinstance(us, str) else us
+    return ((us - F.pmod(us, F.lit(HOUR_US))) / F.lit(HOUR_US)).cast("long")
+
+
+def _pair(entry: Column) -> Column:
+    return F.concat(entry["key"], F.lit("="), entry["value"])
+
+
+def label_anchors(labels: Column) -> Column:
+    """The anchors under which silences of a row with these labels are found."""
+    return F.array_union(F.array(F.lit("")), F.filter(F.transform(F.map_entries(labels), _pair), lambda p: p.isNotNull()))
+
+
+def slot_of(at: Column) -> Column:
+    return _hour(_micros(at))
+
+
+def spell_covers(spell: Column, labels: Column, at: Column) -> Column:
+    """Whether a spell (``_matcher``, ``_since``, ``_until``) covers labels at a time."""
+    own = lambda key: F.coalesce(F.element_at(labels, key), F.lit(""))
+    same = F.forall(spell["_matcher"]["wanted"], lambda e: own(e["key"]) == e["value"])
+    blank = F.forall(spell["_matcher"]["missing"], lambda key: own(key) == "")
+    return (spell["_since"] <= _micros(at)) & (spell["_until"] > _micros(at)) & same & blank
+
+
 def silence_hits(rows: DataFrame, ids: list[str], at: Column, silences: DataFrame) -> DataFrame:
     """Distinct ``ids`` of rows (tenant_id, labels) that an active silence of their tenant covers.
 
     A silence covers a row when its matcher is a subset of the labels, a missing label reading as
-    the empty string; an empty matcher covers everything. Each silence is looked up under one of
-    its label pairs, so the join is an equi-join on (tenant, pair).
+    the empty string; an empty matcher covers everything. Spells of silence are looked up under one of
+    their label pairs and the hour, so the join is an equi-join on (tenant, pair, slot).
     """
-    pair = lambda e: F.concat(e["key"], F.lit("="), e["value"])
-    anchored = F.filter(match.sorted_labels("matcher"), lambda e: F.coalesce(e["value"], F.lit("")) != "")
-    s = silences.select(
-        F.col("tenant_id").alias("_tenant"),
-        "matcher",
-        F.col("expires_at").alias("_expires"),
-        (F.col("created_at") if "created_at" in silences.columns else F.lit(None).cast("timestamp")).alias("_created"),
-        F.when(F.size(anchored) > 0, pair(F.get(anchored, 0))).otherwise(F.lit("")).alias("_anchor"),
-    )
     labels = F.coalesce("labels", F.create_map().cast("map<string,string>"))
-    keys = F.array_union(F.array(F.lit("")), F.transform(F.map_entries(labels), pair))
-    r = rows.select(*ids, "tenant_id", labels.alias("labels"), at.alias("_at")).withColumn("_key", F.explode(keys))
-    covered = F.forall(
-        F.map_entries("matcher"),
-        lambda e: F.coalesce(F.element_at("labels", e["key"]), F.lit("")) == F.coalesce(e["value"], F.lit("")),
-    )
-    active = (F.col("_expires") > F.col("_at")) & (F.col("_created").isNull() | (F.col("_created") <= F.col("_at")))
-    match_on = (F.col("tenant_id") == F.col("_tenant")) & (F.col("_key") == F.col("_anchor")) & active & covered
-    return r.join(s, match_on, "left_semi").select(*ids).distinct()
+    r = rows.select(*ids, "tenant_id", labels.alias("labels"), at.alias("_at")).where(F.col("_at").isNotNull())
+    r = r.withColumn("_key", F.explode(label_anchors(F.col("labels"))))
+    r = r.withColumn("_in", F.explode(F.array(slot_of(F.col("_at")), F.lit(LONG))))
+    spell = {name: F.col(name) for name in ("_matcher", "_since", "_until")}
+    same = (F.col("tenant_id") == F.col("_tenant")) & (F.col("_key") == F.col("_anchor")) & (F.col("_in") == F.col("_slot"))
+    return r.join(silence_spells(silences), same & spell_covers(spell, F.col("labels"), F.col("_at")), "left_semi").select(*ids).distinct()
 
 
 def silenced_alerts(alerts: DataFrame, silences: DataFrame, *, as_of) -> DataFrame:

@@ -242,9 +242,10 @@ def stream_alerts(
     # Times travel as whole numbers: JSON would round them.
     moments = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.TimestampType)]
     whole = F.to_json(F.struct(*[F.unix_micros(c).alias(c) if c in moments else F.col(c) for c in rows.columns]))
-    events = (rows if silences is None else _hushed(rows, silences)).select(
-        "fingerprint", keyed.at_micros("occurred_at").alias("at_us"), row_id, "resolved",
-        (F.lit(False) if silences is None else F.col("_hushed")).alias("hushed"), F.to_json(F.struct(*_TEXTS)).alias("texts"), whole.alias("whole"),
+    noted = rows.withColumns({"_hushed": F.lit(False), "_vote": F.lit(False)}) if silences is None else _with_votes(rows, silences)
+    events = noted.select(
+        "fingerprint", keyed.at_micros("occurred_at").alias("at_us"), row_id, "resolved", F.col("_hushed").alias("hushed"),
+        F.col("_vote").alias("vote"), F.to_json(F.struct(*_TEXTS)).alias("texts"), F.when(~F.col("_vote"), whole).alias("whole"),
     )
     processor = processors.Alert(keyed.Ordered(row_id, lateness, keyed.ttl(idle, trigger)))
     found = keyed.transform(events, ["fingerprint"], processor, "fingerprint string, output string, row string, revision long", idle)
@@ -271,22 +272,26 @@ def latest_alerts(changed: DataFrame) -> DataFrame:
     return latest.select("fingerprint", *[F.col(f"_a.{c}").alias(c) for c in rest])
 
 
-def _hushed(rows: DataFrame, silences: DataFrame) -> DataFrame:
-    """Alert events with whether a silence covers them at their time, ``_hushed``: a join with the tenant's silences as one array."""
-    created = F.col("created_at") if "created_at" in silences.columns else F.lit(None).cast("timestamp")
-    own = silences.groupBy(F.col("tenant_id").alias("_tenant")).agg(
-        F.collect_list(F.struct("matcher", F.col("expires_at").alias("until"), created.alias("since"))).alias("_silences")
+def _with_votes(rows: DataFrame, silences: DataFrame) -> DataFrame:
+    """Alert events with ``_hushed``, and further rows (``_vote``) for events that a silence covers which lies under a pair of their labels.
+
+    The events' own rows look silences up that lie under no pair. An event's row and votes agree in ``texts`` and time.
+    """
+    spells = alerts.silence_spells(silences)
+    named = F.collect_list(F.struct("_matcher", "_since", "_until"))
+    by_hour = spells.where(F.col("_slot") != alerts.LONG).groupBy("_tenant", "_anchor", "_slot").agg(named.alias("_near"))
+    long = spells.where(F.col("_slot") == alerts.LONG).groupBy(F.col("_tenant").alias("_owner"), F.col("_anchor").alias("_pair")).agg(
+        named.alias("_far")
     )
     labels = F.coalesce("labels", F.create_map().cast("map<string,string>"))
-
-    def covers(s: Column) -> Column:
-        same = F.forall(
-            F.map_entries(s["matcher"]), lambda e: F.coalesce(F.element_at(labels, e["key"]), F.lit("")) == F.coalesce(e["value"], F.lit(""))
-        )
-        return (s["until"] > F.col("occurred_at")) & (s["since"].isNull() | (s["since"] <= F.col("occurred_at"))) & same
-
-    joined = rows.join(own, F.col("tenant_id") == F.col("_tenant"), "left")
-    return joined.withColumn("_hushed", F.coalesce(F.exists("_silences", covers), F.lit(False))).drop("_tenant", "_silences")
+    found = rows.select("*", F.posexplode(alerts.label_anchors(labels)).alias("_n", "_key"))
+    here = (F.col("tenant_id") == F.col("_tenant")) & (F.col("_key") == F.col("_anchor"))
+    found = found.join(by_hour, here & (alerts.slot_of(F.col("occurred_at")) == F.col("_slot")), "left")
+    found = found.join(long, (F.col("tenant_id") == F.col("_owner")) & (F.col("_key") == F.col("_pair")), "left")
+    hit = lambda spells: F.exists(spells, lambda s: alerts.spell_covers(s, labels, F.col("occurred_at")))
+    hushed = F.coalesce(hit("_near"), F.lit(False)) | F.coalesce(hit("_far"), F.lit(False))
+    found = found.withColumns({"_hushed": hushed, "_vote": F.col("_n") > 0}).where(~F.col("_vote") | F.col("_hushed"))
+    return found.select(*rows.columns, "_hushed", "_vote")
 
 
 def log_tail(

@@ -279,6 +279,17 @@ class Queue(StatefulProcessor):
 # Alerts
 
 
+def counted_votes(rows: pd.DataFrame) -> pd.DataFrame:
+    """The events among ``rows``, hushed too where a vote for the same time and texts says so."""
+    vote = rows["vote"].to_numpy(dtype=bool)
+    events = rows[~vote].drop(columns="vote")
+    if vote.any():
+        at, texts = rows["at_us"], rows["texts"]
+        hushed = set(zip(at[vote], texts[vote]))
+        events["hushed"] |= np.fromiter((k in hushed for k in zip(events["at_us"], events["texts"])), bool, len(events))
+    return events.reset_index(drop=True)
+
+
 class Alert(StatefulProcessor):
     """The row of one alert, changed by its events in order."""
 
@@ -290,7 +301,7 @@ class Alert(StatefulProcessor):
         self.alert = handle.getValueState("alert", "row string", self.order.ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        ready, late = self.order.pass_on(pd.concat(list(rows), ignore_index=True))
+        ready, late = self.order.pass_on(counted_votes(pd.concat(list(rows), ignore_index=True)))
         own = json.loads(self.alert.get()[0]) if self.alert.exists() else {"revision": 0}
         outputs, moved = ["late"] * len(late), False
         events = [*late.itertuples(index=False)]

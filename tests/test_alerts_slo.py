@@ -243,3 +243,50 @@ def test_audit_export(spark, tmp_path):
         assert len(mine) == r["records"]
         assert hashlib.sha256("".join(x + "\n" for x in mine).encode()).hexdigest() == r["sha256"]
     assert [r["id"] for r in audit.recent_audit(df, k=2).collect()] == [202, 201]
+
+
+def odd_silences(rng):
+    """Silences that overlap, meet, last an instant or years, or have no start; matchers with empty, missing and null values."""
+    matchers = [{}, {"service": "s0"}, {"service": "s1", "team": ""}, {"service": "s1", "team": None}, {"service": "s2", "team": "core"}, {"pod": ""}]
+    out = []
+    for i in range(300):
+        start, length = rng.uniform(-9e5, 9e5), rng.choice([0, 1, 60, 3600, 40_000, 400_000])
+        at = lambda s: START + timedelta(seconds=s)
+        since = None if i % 97 == 0 else at(start)
+        out.append((rng.choice(["t0", "t1", "t2", None]), rng.choice(matchers) if i % 50 else None, since, None if i % 41 == 0 else at(start + length)))
+    return [*out, ("t2", {"service": "s0"}, None, START), ("t1", {"pod": ""}, START, START + timedelta(days=9000))]
+
+
+def covered(tenant, labels, at, silences):
+    own = {k: v or "" for k, v in (labels or {}).items()}
+    return any(
+        t is not None and t == tenant and m is not None and until is not None and at is not None and at < until and (since is None or since <= at)
+        and all(own.get(k, "") == (v or "") for k, v in m.items())
+        for t, m, since, until in silences
+    )
+
+
+SILENCE = "tenant_id string, matcher map<string,string>, created_at timestamp, expires_at timestamp"
+
+
+def test_silences_are_found_by_hour(spark):
+    rng = random.Random(8)
+    silences = odd_silences(rng)
+    rows = [
+        (i, rng.choice(["t0", "t1", "t2", None]), rng.choice([None, {}, {"service": f"s{i % 4}"}, {"service": f"s{i % 3}", "team": "core", "pod": None}]),
+         None if i % 61 == 0 else START + timedelta(seconds=rng.uniform(-1e6, 1e6)))
+        for i in range(700)
+    ]
+    df = spark.createDataFrame(rows, "id long, tenant_id string, labels map<string,string>, at timestamp")
+    hits = alerts.silence_hits(df, ["id"], F.col("at"), spark.createDataFrame(silences, SILENCE))
+    want = {i for i, tenant, labels, at in rows if covered(tenant, labels, at, silences)}
+    assert 100 < len(want) < 600 and {r["id"] for r in hits.collect()} == want
+
+
+def test_silences_of_a_matcher_come_to_few_spells(spark):
+    """Events are compared with spells of their hour, however many silences there are."""
+    at = lambda s: START + timedelta(seconds=s)
+    rows = [("t", {"service": "api"}, at(s * 10), at(s * 10 + 600)) for s in range(2000)] + [("t", {"service": "api"}, at(10**6), at(10**7))] * 5
+    spells = alerts.silence_spells(spark.createDataFrame(rows, SILENCE)).collect()
+    assert len(spells) == 6 + 1 and sum(r["_slot"] == alerts.LONG for r in spells) == 1
+    assert len({(r["_since"], r["_until"]) for r in spells}) == 2

@@ -314,3 +314,29 @@ def test_ingest_stores_what_the_sampler_keeps(spark, tmp_path):
     dropped = {(r["tenant_id"], r["reason"]): r["n"] for r in rows}
     assert dropped["a", "sampled_out"] == 11 and dropped["", "no_tenant"] == 2 and dropped["a", "received"] == 18
     assert store.output(spark, "rejects").count() == 4
+
+
+def test_streamed_alerts_find_silences_by_hour(spark, tmp_path):
+    from test_alerts_slo import EVENT, SILENCE, covered, odd_silences
+
+    from signalmill.operators import alerts
+
+    rng = random.Random(9)
+    silences = odd_silences(rng)
+    rows = [
+        (i, rng.choice(["t0", "t1", "t2"]), f"r{i}", "info", "title", "d", rng.choice([None, {}, {"service": f"s{i % 4}"}, {"service": f"s{i % 3}", "team": "core"}]),
+         {}, False, START + timedelta(seconds=rng.uniform(-1e6, 1e6)))
+        for i in range(300)
+    ]
+    rows += rows[:20]
+    store = Store(str(tmp_path / "store"))
+    hush = spark.createDataFrame(silences, SILENCE)
+    start = lambda s: jobs.stream_alerts(s, store, hush)
+    feed(spark, str(tmp_path / "in"), EVENT, [rows], start)
+    # Every rule is its own alert, so each fires once unless a silence covers it.
+    want = sorted(i for i, tenant, _, _, _, _, labels, _, _, at in rows[:300] if not covered(tenant, labels, at, silences))
+    assert sorted(r["event_id"] for r in store.output(spark, "changes").where("change_type = 'alert.fired'").collect()) == want
+    noted = {r["rule_id"]: r["notify_count"] for r in jobs.latest_alerts(store.output(spark, "alerts")).collect()}
+    assert noted == {f"r{i}": int(i in want) for i in range(300)}
+    # The rows that a batch looks silences up in grow with the hours and matchers, not with the silences.
+    assert alerts.silence_spells(hush.unionByName(hush)).count() == alerts.silence_spells(hush).count()
