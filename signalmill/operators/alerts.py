@@ -224,6 +224,14 @@ def transitions(steps: DataFrame) -> DataFrame:
     )
 
 
+def _noted(steps: DataFrame, silences: DataFrame | None, row_id: str) -> DataFrame:
+    """``steps`` with ``_silenced``, true where a silence covers the creation of an alert and else null."""
+    if silences is None:
+        return steps.withColumn("_silenced", F.lit(None).cast("boolean"))
+    hits = silence_hits(steps.where("step = 'created'"), [row_id], F.col("occurred_at"), silences)
+    return steps.join(hits.withColumn("_silenced", F.lit(True)), row_id, "left")
+
+
 def alert_lifecycle(
     steps: DataFrame, silences: DataFrame | None = None, row_id: str = "event_id"
 ) -> DataFrame:
@@ -231,11 +239,7 @@ def alert_lifecycle(
 
     Severity, texts and labels are those of the last transition; a refresh only moves last_seen_at.
     """
-    if silences is None:
-        noted = steps.withColumn("_silenced", F.lit(None).cast("boolean"))
-    else:
-        hits = silence_hits(steps.where("step = 'created'"), [row_id], F.col("occurred_at"), silences)
-        noted = steps.join(hits.withColumn("_silenced", F.lit(True)), row_id, "left")
+    noted = _noted(steps, silences, row_id)
     order = F.struct("occurred_at", row_id)
     created = F.col("step") == "created"
     fired = F.col("step").isin("created", "updated")
@@ -263,18 +267,15 @@ def alert_lifecycle(
 
 def alert_history(steps: DataFrame, silences: DataFrame | None = None, row_id: str = "event_id") -> DataFrame:
     """created / updated / resolved rows, and notified rows for unsilenced transitions."""
-    base = steps.where(F.col("step").isNotNull()).select(
-        "fingerprint", "tenant_id", F.col("step").alias("event"),
-        F.when(F.col("step") != "resolved", F.col("severity")).alias("severity"), "occurred_at",
-    )
-    created = steps.where("step = 'created'")
-    if silences is not None:
-        created = created.join(silence_hits(created, [row_id], F.col("occurred_at"), silences), row_id, "left_anti")
-    notified = created.select(
-        "fingerprint", "tenant_id", F.lit("notified").alias("event"),
-        F.lit(None).cast("string").alias("severity"), "occurred_at",
+    noted = _noted(steps.where(F.col("step").isNotNull()), silences, row_id)
+    severity = F.when(F.col("step") != "resolved", F.col("severity"))
+    step = F.struct(F.col("step").alias("event"), severity.alias("severity"))
+    notified = F.when(
+        (F.col("step") == "created") & F.col("_silenced").isNull(),
+        F.struct(F.lit("notified").alias("event"), F.lit(None).cast("string").alias("severity")),
     )
-    return base.unionByName(notified)
+    noted = noted.withColumn("_e", F.explode(F.filter(F.array(step, notified), lambda e: e.isNotNull())))
+    return noted.select("fingerprint", "tenant_id", "_e.event", "_e.severity", "occurred_at")
 
 
 def _chat_payload() -> Column:
@@ -332,10 +333,8 @@ def notification_outbox(
 
     ``channels`` maps a channel name to its kind: ``chat``, ``pager`` or ``webhook``.
     """
-    created = steps.where("step = 'created'")
-    if silences is not None:
-        created = created.join(silence_hits(created, [row_id], F.col("occurred_at"), silences), row_id, "left_anti")
-    rows = created.unionByName(steps.where("resolved").select(*created.columns))
+    sent = steps.where(F.col("resolved") | (F.col("step") == "created"))
+    rows = _noted(sent, silences, row_id).where(F.col("resolved") | F.col("_silenced").isNull())
     payloads = {"chat": _chat_payload(), "pager": _pager_payload(routing_key), "webhook": _generic_payload()}
     messages = F.array(
         *[F.struct(F.lit(name).alias("channel"), payloads[kind].alias("payload")) for name, kind in channels.items()]
